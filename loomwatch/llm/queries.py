@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwatch.llm.exact_dedup import exact_duplicates
 from loomwatch.llm.langid import identify
 from loomwatch.llm.packing import pack_documents
+from loomwatch.llm.secrets import secret_report
 from loomwatch.llm.shared import documents
 
 
@@ -26,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -33,6 +38,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_language_id": op4_language_id,
+    "op9_secrets": op9_secrets,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
