@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwatch.llm.exact_dedup import exact_duplicates
 from loomwatch.llm.langid import identify
+from loomwatch.llm.licenses import license_report
 from loomwatch.llm.packing import pack_documents
 from loomwatch.llm.secrets import secret_report
 from loomwatch.llm.shared import documents
@@ -27,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(documents(spark, sf_dir))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
@@ -38,6 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_language_id": op4_language_id,
+    "op7_licenses": op7_licenses,
     "op9_secrets": op9_secrets,
     "op10_exact_dedup": op10_exact_dedup,
 }
