@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwatch.llm.exact_dedup import exact_duplicates
 from loomwatch.llm.langid import identify
 from loomwatch.llm.licenses import license_report
+from loomwatch.llm.ngram_join import ngram_components
 from loomwatch.llm.packing import pack_documents
 from loomwatch.llm.secrets import secret_report
 from loomwatch.llm.shared import documents
@@ -24,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
@@ -42,6 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
     "op7_licenses": op7_licenses,
     "op9_secrets": op9_secrets,
