@@ -90,10 +90,12 @@ class Words:
     entry per word; the words of row ``i`` are ``first[i]:first[i + 1]``.
     """
 
+    gap = SPACE
+
     def __init__(self, column: pa.Array):
         self.data, self.offsets = buffers(column)
-        low = LOWER[self.data]
-        word = ~SPACE[low]
+        low = self.lowered()
+        word = ~self.gap[low]
         cut = np.zeros(len(low) + 1, dtype=bool)
         cut[self.offsets] = True
         if len(low):
@@ -109,6 +111,9 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.hash = self._hashes(low)
 
+    def lowered(self) -> np.ndarray:
+        return LOWER[self.data]
+
     def bounds(self, low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
         """For subclasses that cut words further."""
 
@@ -136,3 +141,21 @@ class Words:
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
+
+
+class PlainWords(Words):
+    """Runs of ASCII letters and digits and of other characters above 0x7F, without case.
+
+    The case of Latin-1 letters is folded as well: their UTF-8 form is 0xC3 and
+    a byte that differs by 0x20.
+    """
+
+    gap = np.ones(256, dtype=bool)
+    gap[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+    def lowered(self) -> np.ndarray:
+        low = LOWER[self.data]
+        if len(low) > 1:
+            upper = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
+            low[1:][upper] += 0x20
+        return low
