@@ -10,6 +10,7 @@ from loomwatch.llm.decontaminate import decontamination_report
 from loomwatch.llm.exact_dedup import exact_duplicates
 from loomwatch.llm.langid import identify
 from loomwatch.llm.licenses import license_report
+from loomwatch.llm.lm_score import lm_scores
 from loomwatch.llm.ngram_join import ngram_components
 from loomwatch.llm.packing import pack_documents
 from loomwatch.llm.secrets import secret_report
@@ -38,6 +39,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
+    "op6_lm_score": op6_lm_score,
     "op7_licenses": op7_licenses,
     "op9_secrets": op9_secrets,
     "op10_exact_dedup": op10_exact_dedup,
