@@ -13,6 +13,7 @@ from loomwatch.llm.licenses import license_report
 from loomwatch.llm.lm_score import lm_scores
 from loomwatch.llm.ngram_join import ngram_components
 from loomwatch.llm.packing import pack_documents
+from loomwatch.llm.pii import pii_report
 from loomwatch.llm.secrets import secret_report
 from loomwatch.llm.shared import documents
 
@@ -47,6 +48,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(documents(spark, sf_dir))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op6_lm_score": op6_lm_score,
     "op7_licenses": op7_licenses,
+    "op8_pii": op8_pii,
     "op9_secrets": op9_secrets,
     "op10_exact_dedup": op10_exact_dedup,
 }
