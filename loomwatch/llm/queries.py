@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwatch.llm.decontaminate import decontamination_report
 from loomwatch.llm.exact_dedup import exact_duplicates
@@ -16,6 +17,15 @@ from loomwatch.llm.packing import pack_documents
 from loomwatch.llm.pii import pii_report
 from loomwatch.llm.secrets import secret_report
 from loomwatch.llm.shared import documents
+from loomwatch.llm.url_filters import evaluate_captures, host_of
+
+#: Fixed list changes of op5: domain, path, category, day, action.
+LIST_CHANGES = [
+    ("spam-farm.example.org", "/", "spam", 0, "add"),
+    ("cheap-pills.example.com", "/", "spam", 30, "add"),
+    ("example.net", "/fr/", "region", 100, "add"),
+    ("example.net", "/fr/", "region", 300, "remove"),
+]
 
 
 def tokenizer_path() -> str:
@@ -40,6 +50,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a dated list derived from their hosts; a page's day of fetching comes from its id."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    captures = pages.withColumn("day", (F.col("page_id") % 365).cast("int"))
+    mark = F.conv(F.substring(F.md5("domain"), 1, 4), 16, 10).cast("int")
+    hosts = pages.select(host_of(F.col("url")).alias("domain")).filter("domain <> ''").distinct().withColumn("h", mark).filter("h % 10 < 3")
+    entry = lambda day, action: F.struct((F.col("h") % 200 + day).alias("at"), F.lit(action).alias("action"))
+    steps = F.array(
+        entry(0, "add"),
+        F.when(F.col("h") % 2 == 0, entry(60, "remove")),
+        F.when(F.col("h") % 6 == 0, entry(120, "add")),
+    )
+    derived = hosts.select("domain", F.lit("/").alias("path"), F.lit("listed").alias("category"), F.explode(F.array_compact(steps)).alias("c")).select("domain", "path", "category", "c.at", "c.action")
+    fixed = spark.createDataFrame(LIST_CHANGES, "domain string, path string, category string, at int, action string")
+    found = evaluate_captures(captures, derived.unionByName(fixed), "url", "day")
+    return found.select("capture.page_id", "host", "matches", "rule", "category", (F.col("matches") > 0).alias("blocked"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
@@ -65,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
+    "op5_url_filters": op5_url_filters,
     "op6_lm_score": op6_lm_score,
     "op7_licenses": op7_licenses,
     "op8_pii": op8_pii,
@@ -73,6 +102,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_url_filters": r"""
+        WITH captures AS (
+            SELECT page_id, url, CAST(page_id % 365 AS INTEGER) AS day,
+                   regexp_replace(lower(regexp_replace(regexp_replace(
+                       regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '\.$', '') AS host,
+                   regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS raw_path
+            FROM pages),
+        hosts AS (
+            SELECT host AS domain, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS h
+            FROM (SELECT DISTINCT host FROM captures WHERE host <> '')),
+        changes AS (
+            SELECT domain, '/' AS path, 'listed' AS category, h % 200 AS since, 'add' AS action FROM hosts WHERE h % 10 < 3
+            UNION ALL SELECT domain, '/', 'listed', h % 200 + 60, 'remove' FROM hosts WHERE h % 10 < 3 AND h % 2 = 0
+            UNION ALL SELECT domain, '/', 'listed', h % 200 + 120, 'add' FROM hosts WHERE h % 10 < 3 AND h % 6 = 0
+            UNION ALL SELECT * FROM (VALUES ('spam-farm.example.org', '/', 'spam', 0, 'add'),
+                ('cheap-pills.example.com', '/', 'spam', 30, 'add'),
+                ('example.net', '/fr/', 'region', 100, 'add'), ('example.net', '/fr/', 'region', 300, 'remove')) AS f (domain, path, category, since, action)),
+        once AS (SELECT domain, path, category, since, max(action) AS action FROM changes GROUP BY ALL),
+        spans AS (
+            SELECT *, lead(since) OVER (PARTITION BY domain, path, category ORDER BY since) AS until FROM once),
+        hits AS (
+            SELECT c.page_id, s.domain || s.path AS rule, s.category,
+                   row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.domain) DESC, length(s.path) DESC, s.category, s.domain, s.path) AS rank,
+                   count(*) OVER (PARTITION BY c.page_id) AS matches
+            FROM captures c JOIN spans s
+              ON s.action = 'add' AND (c.host = s.domain OR ends_with(c.host, '.' || s.domain))
+             AND starts_with(CASE WHEN c.raw_path = '' THEN '/' ELSE c.raw_path END, s.path)
+             AND c.day >= s.since AND (s.until IS NULL OR c.day < s.until))
+        SELECT c.page_id, c.host, coalesce(h.matches, 0) AS matches, h.rule, h.category, h.matches IS NOT NULL AS blocked
+        FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.rank = 1
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256,
