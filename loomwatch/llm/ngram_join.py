@@ -57,17 +57,18 @@ def ngram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     first = words.first[:-1]
     at = np.repeat(first, grams) + np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
     tokens = chain(*[h[at + k] for k in range(n)])
-    row = np.repeat(np.arange(rows), grams)
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
         whole = [mix(chain(*[h[first[i] + k : first[i] + k + 1] for k in range(counts[i])]) + np.uint64(counts[i])) for i in short]
-        tokens, row = np.concatenate([tokens, *whole]), np.concatenate([row, short])
-    order = np.lexsort((tokens, row))
-    tokens, row = tokens[order], row[order]
+        tokens = np.insert(tokens, np.cumsum(grams)[short], np.concatenate(whole))
+        grams[short] = 1
+    ends = np.cumsum(grams)
+    for a, b in zip((ends - grams).tolist(), ends.tolist()):
+        tokens[a:b].sort()
+    row = np.repeat(np.arange(rows), grams)
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1])
-    tokens, row = tokens[new], row[new]
-    return tokens, np.searchsorted(row, np.arange(rows + 1))
+    return tokens[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=rows))])
 
 
 def _least(n: np.ndarray, percent: int) -> np.ndarray:
@@ -114,7 +115,7 @@ def frequent_tokens(source: DataFrame, n: int, df: int, most: int) -> np.ndarray
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
-def profiles(source: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def profiles(source: DataFrame, n: int, percent: int, shared_tokens: int, frequent: np.ndarray) -> DataFrame:
     """Set size, fingerprint, group key and prefix of every document."""
     shared = source.sparkSession.sparkContext.broadcast(frequent)
 
@@ -133,9 +134,8 @@ def profiles(source: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
                         f1[full] = np.add.reduceat(mix(tokens), at[:-1][full])
                         f2[full] = np.add.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][full])
                         key[full] = tokens[at[:-1][full]]
-                rank = np.isin(tokens, often)
-                order = np.lexsort((tokens, rank, row))
-                length = np.where(size > 0, size - _least(size, percent) + 1, 0)
+                order = np.argsort(2 * row + np.isin(tokens, often), kind="stable")
+                length = np.minimum(size - _least(size, percent) + shared_tokens, size)
                 place = np.arange(len(tokens)) - np.repeat(at[:-1], size)
                 taken = order[place < np.repeat(length, size)]
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
@@ -159,7 +159,7 @@ def open_groups(n: int, percent: int):
     """
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["query", "doc_id"], kind="stable")
+        block = block.drop_duplicates(["query", "doc_id", "text"]).sort_values(["query", "doc_id"], kind="stable")
         members = block[~block["query"]]
         ids = members["doc_id"].to_numpy()
         sets = _sets(members["text"], n)
@@ -210,21 +210,23 @@ def open_groups(n: int, percent: int):
     return run
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, block: int = 256, queries: int = 512, frequent_df: int = 24, most_frequent: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, shared: int = 4, block: int = 256, queries: int = 512, frequent_df: int = 24, most_frequent: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): nodes has doc_id, n, rep for every document; edges join representatives.
 
     ``rep`` is the smallest id with the same set, the own id for empty sets.
-    ``block`` and ``queries`` bound what one task holds at once; the frequent
+    ``shared`` is the number of prefix tokens that partners must share (fewer
+    for sets so small that partners may share fewer tokens in all). ``block``
+    and ``queries`` bound what one task holds at once; the frequent
     tokens are broadcast, ``most_frequent`` at most.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = stored(profiles(source, n, percent, frequent_tokens(source, n, frequent_df, most_frequent)), "ngram-profile")
+    profile = stored(profiles(source, n, percent, shared, frequent_tokens(source, n, frequent_df, most_frequent)), "ngram-profile")
     slim = profile.select("doc_id", "n", "f1", "f2")
     classes = slim.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     nodes = slim.join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
 
     # One row per class, in groups that are cut into blocks of bounded size.
-    own = profile.select("doc_id", "n", "f1", "f2", "key", "prefix").join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "n", "doc_id"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
+    own = profile.select("doc_id", "n", "f1", "f2", "key", "prefix").join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "n", "doc_id"], "left_semi")
     sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / block)).cast("int")
     reps = stored(own.join(sizes, "key").select("doc_id", "n", "key", part.alias("part"), "members", "prefix"), "ngram-groups")
@@ -238,8 +240,10 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = (
         cells.join(matrix.withColumnRenamed("g", "to"), "token")
         .filter((F.col("g") != F.col("to")) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100))
+        .groupBy("doc_id", "n", "to")
+        .agg(F.count(F.lit(1)).alias("common"))
+        .filter(F.col("common") >= F.least(F.lit(shared), F.ceil(F.col("n") * percent / 100)))
         .select("doc_id", "to.key", "to.part")
-        .distinct()
     )
     # Blocks to open: those with several members, and those that a query has met. Queries come in bounded shares.
     waiting = met.groupBy("key", "part").agg(F.count(F.lit(1)).alias("waiting"))
@@ -252,8 +256,7 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     asked = met.join(waiting, ["key", "part"]).select("doc_id", "key", "part", F.pmod(F.xxhash64("doc_id"), shares).cast("int").alias("share"), F.lit(True).alias("query"))
     work = members.unionByName(asked)
-    texts = source.filter(F.col("doc_id").isNotNull()).join(own.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    edges = texts.join(work, "doc_id").groupBy("key", "part", "share").applyInPandas(open_groups(n, percent), "a long, b long")
+    edges = source.join(work, "doc_id").groupBy("key", "part", "share").applyInPandas(open_groups(n, percent), "a long, b long")
     return nodes, stored(edges, "ngram-edges")
 
 
