@@ -294,14 +294,13 @@ def assemble_corpus_counts(spark, sf):
 
 @_query(
     "leakage_safe_split",
-    f"""{_EVAL}, used AS (SELECT DISTINCT is_malicious, source_capture_id FROM sample WHERE is_malicious OR user_id >= 0),
-    held AS (SELECT * FROM sample WHERE NOT is_malicious OR source_capture_id IN ('cap-0', 'cap-1'))
+    f"""{_EVAL.replace("THEN 385 ELSE 1540", "THEN 80 ELSE 320")}, held AS (SELECT * FROM sample WHERE NOT is_malicious OR source_capture_id IN ('cap-0', 'cap-1'))
     SELECT is_malicious, count(*) AS n FROM alerts a WHERE CASE WHEN is_malicious THEN source_capture_id NOT IN (SELECT source_capture_id FROM held WHERE is_malicious)
         ELSE id NOT IN (SELECT id FROM held) END GROUP BY 1""",
 )
 def leakage_safe_split(spark, sf):
     rows = views.alerts(spark, sf)
-    held = sampling.eval_sample(rows, "event_code").filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1"))
+    held = sampling.eval_sample(rows, "event_code", size=400).filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1"))
     fit, _ = corpus.leakage_safe_split(rows, held)
     return fit.groupBy("is_malicious").agg(F.count(F.lit(1)).alias("n"))
 
