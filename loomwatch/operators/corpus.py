@@ -58,7 +58,7 @@ def assemble_corpus(rows: DataFrame, ratio: float = 4.0, seed: int = 20260818, m
     malicious, benign = rows.filter("is_malicious"), rows.filter(~F.col("is_malicious"))
     want = round(m * ratio)
     if want <= b:
-        benign = uniform_sample(benign, want, seed)
+        benign = uniform_sample(benign, want, b, seed)
     else:
         fewer = round(b / ratio)
         if fewer < 1:

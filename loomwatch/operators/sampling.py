@@ -1,10 +1,10 @@
 """Reproducible sampling: by stratum, by class, with quotas in closed form.
 
 A sample is decided by a hash of id and seed, so it doesn't depend on how rows
-are partitioned. The rows of a stratum are ranked in two steps: those whose
-hash is certainly beyond the quota are dropped first, by a bound on their
-share, and the rest is ranked exactly; a stratum with most of the rows is never
-sorted by one task.
+are partitioned. Most rows of a stratum are decided by the hash alone, since
+their share lies far below or above the quota's; only the band in between,
+whose size is about the square root of the quota, is ranked. So a stratum with
+most of the rows is never sorted by one task.
 """
 
 from __future__ import annotations
@@ -44,13 +44,18 @@ def take_quota(rows: DataFrame, quota: DataFrame, strata: list[str], seed: int,
     """At most ``quota`` rows of each stratum, those with the least hashes. ``quota`` has strata, n, quota."""
     joined = rows.join(quota.select(*[F.col(s).alias(f"__{s}") for s in strata], F.col("n").alias("__n"), F.col("quota").alias("__q")), [rows[s].eqNullSafe(F.col(f"__{s}")) for s in strata])
     joined = joined.drop(*[f"__{s}" for s in strata])
-    # A hash beyond this share belongs to the quota with a chance of far less than 1e-12; for small strata it is no bound.
+    # Shares that are certainly within the quota need no rank, and those that are certainly beyond it neither.
     q, n = F.col("__q"), F.col("__n")
-    bound = (q + 8 * F.sqrt(q) + 64) / n
+    slack = 8 * F.sqrt(q) + 64
     share = uniform(F.col(id_col), str(seed))
-    near = joined.filter((share <= bound) & (q > 0)).withColumn("__h", draw_key(F.col(id_col), seed))
+    near = joined.filter((q > 0) & (share <= (q + slack) / n)).withColumn("__sure", share <= (q - slack) / n)
+    sure = near.filter("__sure").groupBy(*strata).agg(F.count(F.lit(1)).alias("__in"))
+    band = near.filter("NOT __sure").withColumn("__h", draw_key(F.col(id_col), seed))
     rank = Window.partitionBy(*strata).orderBy("__h", id_col)
-    return near.withColumn("__r", F.row_number().over(rank)).filter("__r <= __q").drop("__r", "__h", "__q", "__n")
+    ranked = band.withColumn("__r", F.row_number().over(rank))
+    had = sure.select(*[F.col(s).alias(f"__{s}") for s in strata], "__in")
+    rest = ranked.join(had, [ranked[s].eqNullSafe(F.col(f"__{s}")) for s in strata], "left").filter(F.col("__r") <= F.col("__q") - F.coalesce("__in", F.lit(0)))
+    return near.filter("__sure").select(*rows.columns).unionByName(rest.select(*rows.columns))
 
 
 def stratified_sample(rows: DataFrame, target: int, stratum: str, seed: int, id_col: str = "id") -> DataFrame:
@@ -83,6 +88,9 @@ def sample_report(sample: DataFrame, size: int = 1925, fraction: float = 385 / 1
     return counts.select(F.lit(malicious).cast("long").alias("target_malicious"), F.lit(benign).cast("long").alias("target_benign"), "malicious", "benign", (F.least("malicious", "benign") >= FLOOR).alias("floor_met"))
 
 
-def uniform_sample(rows: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
-    """Exactly ``n`` rows without replacement, or all if there are fewer."""
-    return rows.orderBy(draw_key(F.col(id_col), seed), id_col).limit(n)
+def uniform_sample(rows: DataFrame, n: int, total: int, seed: int, id_col: str = "id") -> DataFrame:
+    """Exactly ``n`` of ``total`` rows without replacement, or all if there are fewer."""
+    if n >= total:
+        return rows
+    quota = rows.sparkSession.createDataFrame([(0, total, n)], "__all int, n long, quota long")
+    return take_quota(rows.withColumn("__all", F.lit(0)), quota, ["__all"], seed, id_col).drop("__all")
