@@ -11,7 +11,7 @@ from loomwatch.functions import constants as C
 from loomwatch.functions import expressions as X
 from loomwatch.functions.measures import wilson_or_null
 from loomwatch.operators import audit, corpus, evaluation, leakage, sampling, scorers, significance
-from loomwatch.plans import views
+from loomwatch.plans import experiments, views
 from loomwatch.sources import ingest
 from loomwatch.streaming import incremental
 
@@ -604,3 +604,70 @@ def resume_pending(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     log = turns.filter("role = 'assistant'").select(F.col("id").alias("record_id"))
     return incremental.pending(turns, log).select("conv_id", "turn")
+
+
+# --- whole evaluations -----------------------------------------------------
+
+_RICH = f"""{_WITH_KV}, rich AS (SELECT DISTINCT id FROM kv WHERE key IN ({_quote(C.ACTOR_FIELDS + C.OBJECT_FIELDS)}) AND trim(val) NOT IN ({_quote(C.EMPTY_VALUES)})),
+    bucketed AS (SELECT a.*, CASE WHEN r.id IS NULL THEN 'context_poor' ELSE 'context_rich' END AS bucket FROM alerts a LEFT JOIN rich r ON r.id = a.id)"""
+
+
+@_query("base_rate", f"{_ALERTS} SELECT count(*) AS n, round(avg(is_malicious::INTEGER), 6) AS rate FROM alerts")
+def base_rate(spark, sf):
+    return _rounded(experiments.base_rate(views.alerts(spark, sf)))
+
+
+@_query("bucket_events", f"{_RICH} SELECT event_code, count(*) FILTER (bucket = 'context_rich') AS rich, count(*) FILTER (bucket = 'context_poor') AS poor FROM bucketed GROUP BY 1")
+def bucket_events(spark, sf):
+    return experiments.bucket_events(experiments.with_bucket(views.alerts(spark, sf)))
+
+
+@_query(
+    "bucket_sample",
+    f"""{_RICH}, sizes AS (SELECT bucket, is_malicious, event_code, count(*) AS n FROM bucketed GROUP BY 1, 2, 3),
+    {_quota_sql('CASE WHEN is_malicious THEN 385 ELSE 1540 END', 'bucket, is_malicious')},
+    r AS (SELECT *, row_number() OVER (PARTITION BY bucket, is_malicious, event_code ORDER BY md5(id || ':{experiments.CONTEXT_SEED}'), id) AS r FROM bucketed)
+    SELECT id, r.bucket, r.is_malicious FROM r JOIN quota q ON q.bucket = r.bucket AND q.event_code = r.event_code AND q.is_malicious = r.is_malicious WHERE r.r <= q.quota""",
+)
+def bucket_sample(spark, sf):
+    rows = experiments.with_bucket(views.alerts(spark, sf))
+    return sampling.eval_sample(rows, "event_code", seed=experiments.CONTEXT_SEED, by=["bucket"]).select("id", "bucket", "is_malicious")
+
+
+@_query(
+    "take_per_class",
+    f"{_ALERTS}, r AS (SELECT id, is_malicious, row_number() OVER (PARTITION BY is_malicious ORDER BY md5(id || ':{SEED}'), id) AS r FROM alerts) SELECT id, is_malicious FROM r WHERE r <= 150",
+)
+def take_per_class(spark, sf):
+    return experiments.take_per_class(views.alerts(spark, sf), 150).select("id", "is_malicious")
+
+
+@_query(
+    "text_rules",
+    "WITH t AS (SELECT d.lang AS stratum, l.toxic = 1 AS is_malicious, ("
+    + _PATTERN.replace("blob", "d.text")
+    + f") AS pred FROM documents d JOIN labels l USING (doc_id)), c AS (SELECT stratum, {_COUNTS} FROM t WHERE stratum IS NOT NULL GROUP BY 1) SELECT stratum, tp, fp, fn, tn, {_MEASURES} FROM c",
+)
+def text_rules(spark, sf):
+    return _rounded(evaluation.metric_table(scorers.rules(views.text_items(spark, sf)), ["stratum"]))
+
+
+def _evaluated(spark, sf) -> dict[str, DataFrame]:
+    rows = views.alerts(spark, sf)
+    pool = rows.filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1"))
+    return experiments.evaluate(rows, views.verdicts(spark, sf), size=400, pool=pool)
+
+
+@_query("evaluation_report")
+def evaluation_report(spark, sf):
+    return _evaluated(spark, sf)["slices"]
+
+
+@_query("significance_report")
+def significance_report(spark, sf):
+    return _evaluated(spark, sf)["significance"]
+
+
+@_query("context_experiment")
+def context_experiment(spark, sf):
+    return experiments.context_experiment(views.alerts(spark, sf), views.verdicts(spark, sf))
