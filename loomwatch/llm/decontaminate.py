@@ -13,9 +13,9 @@ the exact edit distance of the item to the best part of the window.
 How it runs: texts are scanned once, in Arrow batches, with windows of each
 item size (sizes are rounded up in steps of a tenth) at every word. A window
 can only be within ``d`` edits of an item of ``m`` words if ``m - 1 - 2 d`` of
-its word pairs occur in the benchmark; windows that fail this are dropped
-before they are embedded, which loses nothing. The test needs one bitmap of
-fixed size. Keys meet in a join on the key, so the benchmark may be of any
+its word pairs occur in items of its size; windows that fail this are dropped
+before they are embedded, which loses nothing. The test needs one table of
+fixed size, which says for a hashed pair in which sizes it occurs. Keys meet in a join on the key, so the benchmark may be of any
 size; a small one is broadcast by Spark's own size check.
 
 Nulls and ties: null or empty texts and items match nothing. An item whose text
@@ -36,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwatch.llm.bytescan import PlainWords, chain, mix, slices
+from loomwatch.llm.shared import stored
 
-_BITMAP_BITS = 22
+_TABLE_BITS = 20
 _PAD = np.uint64(0xA0761D6478BD642F)
 _ITEM = "item_id long, size int, words array<long>, keys array<long>"
-_WINDOW = "doc_id long, start long, words array<long>, keys array<long>"
+_WINDOW = "doc_id long, start long, zone long, words array<long>, keys array<long>"
 _MATCH = "doc_id long, item_id long, start_word long, distance int, item_words int"
 
 
@@ -64,25 +65,30 @@ def repeats_for(recall: float, agreement: float, samples: int) -> int:
 
 def walk_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, repeats: int, samples: int) -> np.ndarray:
     """LSH keys of the sequences words[starts:ends], one column for each walk."""
-    out = np.empty((len(starts), repeats), np.uint64)
     steps = max(2, size * 5 // 4)
+    rng = np.random.Generator(np.random.PCG64([size, 7919]))
+    seeds = rng.integers(1, 2**63, (steps, repeats), dtype=np.uint64)
+    picked = np.zeros((steps, repeats), bool)
     for r in range(repeats):
-        rng = np.random.Generator(np.random.PCG64([size, r, 7919]))
-        picks = set(rng.choice(steps, size=min(samples, steps), replace=False).tolist())
-        seeds = rng.integers(1, 2**63, steps, dtype=np.uint64)
-        at, key = starts.copy(), np.full(len(starts), np.uint64(size * 1000 + r))
-        for j in range(max(picks) + 1):
-            inside = at < ends
+        picked[rng.choice(steps, size=min(samples, steps), replace=False), r] = True
+    out = np.empty((len(starts), repeats), np.uint64)
+    for lo in range(0, len(starts), 4096):
+        end = ends[lo : lo + 4096, None]
+        at = np.repeat(starts[lo : lo + 4096, None], repeats, axis=1)
+        key = np.broadcast_to(np.arange(repeats, dtype=np.uint64) + np.uint64(size * 1000), at.shape).copy()
+        for j in range(steps):
+            inside = at < end
             word = np.where(inside, words[np.minimum(at, len(words) - 1)], _PAD)
-            if j in picks:
-                key = chain(key, word)
-            at += inside & ((mix(word ^ seeds[j]) >> np.uint64(17)) & np.uint64(1)).astype(bool)
-        out[:, r] = mix(key)
+            take = picked[j]
+            if take.any():
+                key[:, take] = chain(key[:, take], word[:, take])
+            at += inside & (((mix(word ^ seeds[j]) >> np.uint64(17)) & np.uint64(1)) != 0)
+        out[lo : lo + 4096] = mix(key)
     return out
 
 
 def _slots(pairs: np.ndarray) -> np.ndarray:
-    return (pairs >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)
+    return (pairs >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
 def read_items(benchmark: DataFrame, id_col: str, text_col: str, repeats: int, samples: int) -> DataFrame:
@@ -134,66 +140,88 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     repeats = repeats_for(recall, agreement, samples)
-    items = read_items(benchmark, item_col, item_text_col, repeats, samples)
+    items = stored(read_items(benchmark, item_col, item_text_col, repeats, samples), "leak-items")
     m = F.size("words")
     spare = F.floor(m * (100 - percent) / 100)
     sizes = items.groupBy("size").agg(F.min(m - 1 - 2 * spare).alias("need")).collect()  # as many as the size series has terms
     classes = sorted((r["size"], int(r["need"])) for r in sizes)
 
+    bit = {size: k % 64 for k, (size, _) in enumerate(classes)}
+
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in batch.column(0).to_pylist():
+            for size, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = np.array(words, np.int64).view(np.uint64)
                 pairs = chain(h[:-1], h[1:]) if len(h) > 1 else h
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(pairs)))], names=["slot"])
+                slot = np.unique(_slots(pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.full(len(slot), 1 << bit[size], np.uint64).view(np.int64))], names=["slot", "mask"])
 
-    bits = items.select("words").mapInArrow(slots, "slot long").distinct().toPandas()["slot"].to_numpy()  # 2**22 at most
-    bitmap = np.zeros(1 << _BITMAP_BITS, bool)
-    bitmap[bits] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
+    masks = items.select("size", "words").mapInArrow(slots, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # 2**20 rows at most
+    table = np.zeros(1 << _TABLE_BITS, np.int64)
+    table[masks["slot"].to_numpy(np.int64)] = masks["mask"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(table.view(np.uint64))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
+        known = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 found = PlainWords(part.column(1))
                 h, first = found.hash, found.first
-                if not len(h):
+                if not len(h) or not classes:
                     continue
-                row = np.repeat(np.arange(part.num_rows), np.diff(first))
-                stop = first[1:][row]
                 single = known[_slots(h)]
-                double = np.zeros(len(h), bool)
+                double = np.zeros(len(h), np.uint64)
                 double[:-1] = known[_slots(chain(h[:-1], h[1:]))]
-                double[first[1:][first[1:] > 0] - 1] = False  # no pair across documents
-                sums = np.concatenate([[0], np.cumsum(double)])
+                double[first[1:][first[1:] > 0] - 1] = 0  # no pair across documents
+                # rows with as many known pairs as the least demanding size needs
+                sums = np.concatenate([[0], np.cumsum(double != 0)])
+                enough = sums[first[1:]] - sums[first[:-1]] >= min(max(need, 1) for _, need in classes)
+                if classes[0][0] == 1:
+                    enough |= np.add.reduceat(np.append(single != 0, False), first[:-1]) > 0
+                rows = np.flatnonzero(enough)
+                if not len(rows):
+                    continue
+                width = first[rows + 1] - first[rows]
+                row = np.repeat(rows, width)
+                place = np.repeat(first[rows] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+                stop = first[1:][row]
                 doc_ids = part.column(0)
-                place = np.arange(len(h))
+                shift = np.arange(len(place)) - place  # from a word's place in the batch to that among the chosen rows
                 for size, need in classes:
+                    mine = np.uint64(1 << bit[size])
                     end = np.minimum(place + size, stop)
                     if size == 1:
-                        at = np.flatnonzero(single)
+                        at = np.flatnonzero(single[place] & mine)
                     else:
-                        at = np.flatnonzero(sums[np.maximum(end - 1, place)] - sums[place] >= max(need, 1))
+                        sums = np.concatenate([[0], np.cumsum((double[place] & mine) != 0)])
+                        at = np.flatnonzero(sums[np.maximum(end - 1, place) + shift] - sums[place + shift] >= max(need, 1))
                     if not len(at):
                         continue
-                    keys = walk_keys(h, at, end[at], size, repeats, samples).view(np.int64)
+                    keys = walk_keys(h, place[at], end[at], size, repeats, samples).view(np.int64)
                     # room for edits on either side
-                    more = size // 2 + 1
-                    lo = np.maximum(at - more, first[:-1][row[at]])
+                    more = size // 2 + 2
+                    lo = np.maximum(place[at] - more, first[:-1][row[at]])
                     hi = np.minimum(end[at] + more, stop[at])
                     width = hi - lo
                     flat = np.repeat(lo - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
                     words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(h[flat].view(np.int64)))
                     key_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, repeats, dtype=np.int32)), pa.array(keys.ravel()))
-                    yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row[at])), pa.array(lo - first[:-1][row[at]]), words, key_lists], names=["doc_id", "start", "words", "keys"])
+                    begin = first[:-1][row[at]]
+                    zone = (place[at] - begin) // (size // 4 + 1)
+                    columns = [doc_ids.take(pa.array(row[at])), pa.array(lo - begin), pa.array(zone), words, key_lists]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "zone", "words", "keys"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    windows = source.mapInArrow(scan, _WINDOW)
+    windows = stored(source.mapInArrow(scan, _WINDOW).withColumn("window", F.monotonically_increasing_id()), "leak-windows")
+    # Windows that begin within a quarter of their size of each other hold the same best part: one of them is verified.
+    asked = windows.select("window", "doc_id", "zone", F.explode(F.array_distinct("keys")).alias("key"))
+    offered = items.select("item_id", F.explode(F.array_distinct("keys")).alias("key"))
     met = (
-        windows.select("doc_id", "start", "words", F.explode(F.array_distinct("keys")).alias("key"))
-        .join(items.select("item_id", F.col("words").alias("item"), F.explode(F.array_distinct("keys")).alias("key")), "key")
-        .dropDuplicates(["doc_id", "start", "item_id", "words"])
+        asked.join(offered, "key")
+        .groupBy("doc_id", "zone", "item_id")
+        .agg(F.min("window").alias("window"))
+        .join(windows.select("window", "start", "words"), "window")
+        .join(items.select("item_id", F.col("words").alias("item")), "item_id")
         .select("doc_id", "start", "words", "item_id", "item")
     )
 
@@ -202,6 +230,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             rows = []
             for r in batch.to_pylist():
                 item, window = np.array(r["item"], np.int64), np.array(r["words"], np.int64)
+                if np.isin(item, window).sum() < len(item) - budget(len(item), percent):
+                    continue  # too few words in common, whatever their order
                 distance, begin = edit_distance(item, window)
                 if distance <= budget(len(item), percent):
                     rows.append((r["doc_id"], r["item_id"], r["start"] + begin, distance, len(item)))
