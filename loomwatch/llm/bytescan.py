@@ -9,6 +9,7 @@ mixed. Two different words collide with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -71,6 +72,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system, since Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text, one row at least."""
     i = batch.schema.get_field_index(name)
@@ -81,6 +91,7 @@ def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[pa
         hi = min(max(hi, lo + 1), n)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    release()
 
 
 class Words:

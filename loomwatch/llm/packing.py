@@ -20,6 +20,7 @@ of the input are not read.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -54,51 +55,73 @@ class _Pretokens(Words):
 class WordEncoder:
     """Ids of words by a tokenizer whose tokens never cross white space.
 
-    Each distinct word is encoded once per worker, in batches; the known words
-    are three flat arrays, emptied when they exceed ``most`` words.
+    Each distinct word is encoded once per worker. Known words are flat arrays
+    (hashes in order, place and number of ids), emptied beyond ``most`` words.
+    Words of ASCII letters alone go to the vocabulary's merges directly, since
+    lower case is all that the tokenizer does to them before.
     """
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.most = most
         self.forget()
 
     def forget(self) -> None:
         self.hash = np.zeros(0, np.uint64)
-        self.at = np.zeros(1, np.int64)
+        self.at, self.n = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, words: _Pretokens, hashes: np.ndarray, where: np.ndarray) -> None:
         new = ~np.isin(hashes, self.hash, assume_unique=True)
-        if not new.any():
-            return
         if len(self.hash) + int(new.sum()) > self.most:
             self.forget()
             new[:] = True
-        data = words.data.tobytes()
-        start, end = words.start[where[new]].tolist(), words.end[where[new]].tolist()
-        strings = [data[a:b].decode("utf-8", "replace") for a, b in zip(start, end)]
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        counts = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for ids in coded for i in ids), np.uint32, int(counts.sum()))
-        all_hash = np.concatenate([self.hash, hashes[new]])
-        all_counts = np.concatenate([np.diff(self.at), counts])
-        starts = np.concatenate([self.at[:-1], self.at[-1] + np.cumsum(counts) - counts])
-        order = np.argsort(all_hash, kind="stable")
-        self.ids = np.concatenate([self.ids, flat])[spread(starts[order], all_counts[order])]
-        self.hash = all_hash[order]
-        self.at = np.concatenate([[0], np.cumsum(all_counts[order])])
+        if not new.any():
+            return
+        start, end = words.start[where[new]], words.end[where[new]]
+        n, flat = [], []
+        for lo in range(0, len(start), 10_000):  # Python objects for a few words at a time
+            coded = self.codes([words.data[a:b].tobytes() for a, b in zip(start[lo : lo + 10_000], end[lo : lo + 10_000])])
+            n.append(np.fromiter(map(len, coded), np.int32, len(coded)))
+            flat.append(np.fromiter((i for ids in coded for i in ids), np.uint32, int(n[-1].sum())))
+        n, flat = np.concatenate(n), np.concatenate(flat)
+        to = np.searchsorted(self.hash, hashes[new])
+        self.hash = np.insert(self.hash, to, hashes[new])
+        self.at = np.insert(self.at, to, len(self.ids) + np.cumsum(n, dtype=np.int32) - n)
+        self.n = np.insert(self.n, to, n)
+        self.ids = np.concatenate([self.ids, flat])
+
+    def codes(self, words: list[bytes]) -> list[list[int]]:
+        coded: list = [None] * len(words)
+        rest = []
+        for k, word in enumerate(words):
+            if word.isalpha() and len(word) < 1000:
+                coded[k] = [t.id for t in self.merges.tokenize(word.lower().decode("ascii"))]
+            else:
+                rest.append(k)
+        strings = [words[k].decode("utf-8", "replace") for k in rest]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
+            coded[k] = e.ids
+        return coded
 
     def encode(self, words: _Pretokens) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and where each word's ids begin."""
+        if not len(words.hash):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         hashes, where, back = np.unique(words.hash, return_index=True, return_inverse=True)
         self.learn(words, hashes, where)
         at = np.searchsorted(self.hash, hashes)[back]
-        counts = self.at[at + 1] - self.at[at] if len(at) else np.zeros(0, np.int64)
-        ids = self.ids[spread(self.at[at], counts)] if len(at) else np.zeros(0, np.uint32)
-        return ids, np.concatenate([[0], np.cumsum(counts)])
+        n = self.n[at].astype(np.int64)
+        return self.ids[spread(self.at[at].astype(np.int64), n)], np.concatenate([[0], np.cumsum(n)])
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker: loading a tokenizer is slow and takes memory each time."""
+    return WordEncoder(path)
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -113,10 +136,10 @@ def piece_reader(path: str, end_id: int, longest: int):
     """A function for mapInArrow: (id, text) batches to rows of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 words = _Pretokens(part.column(1))
                 ids, at = encoder.encode(words)
                 bounds = at[words.first].tolist()
