@@ -15,7 +15,8 @@ document's set size, set fingerprint, group key and prefix, which is a tenth of
 its tokens. Candidates are (query, block of a group) rows, never pairs of
 documents, so a cluster of N near copies makes N * N / block rows at most, and
 blocks that a query is already known to be connected with are still only one
-row. Frequent tokens go last in the order of tokens, so passages that many
+row. Bitmaps of fixed size keep tokens and texts that no exact join will want out
+of the shuffles. Frequent tokens go last in the order of tokens, so passages that many
 documents share don't fill prefixes. Links inside and between blocks become
 edges between classes, and components come from label propagation with stored
 tables in between; nothing is collected.
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwatch.llm.bytescan import Words, chain, mix, slices
+from loomwatch.llm.bitmap import Bitmap, filtered_lists, rows_where, without
+from loomwatch.llm.bytescan import Words, chain, mix, release, slices
 from loomwatch.llm.components import connected_components
 from loomwatch.llm.shared import stored
 
@@ -76,7 +78,7 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def frequent_tokens(source: DataFrame, n: int, df: int, most: int) -> np.ndarray:
-    """Tokens that many documents share, sorted; at most ``most`` of them.
+    """Tokens that ``df`` documents or more share, sorted; whole doublings of frequency, ``most`` tokens at most.
 
     Only the order of tokens depends on these, and so only the work, never the
     result. Each task counts its own documents and sends tokens it met twice.
@@ -110,9 +112,15 @@ def frequent_tokens(source: DataFrame, n: int, df: int, most: int) -> np.ndarray
             t, c = fold(kept)
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c)], names=["token", "c"])
 
-    counts = source.mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= df)
-    top = counts.orderBy(F.desc("c"), "token").limit(most).select("token").toPandas()["token"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+    counts = stored(source.mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= df), "ngram-frequent")
+    sizes = {r["k"]: r["n"] for r in counts.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per doubling
+    total, cut = 0, 64
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > most:
+            break
+        cut = k
+    return np.sort(counts.filter(F.floor(F.log2("c")) >= cut).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
 def profiles(source: DataFrame, n: int, percent: int, shared_tokens: int, frequent: np.ndarray) -> DataFrame:
@@ -205,6 +213,7 @@ def open_groups(n: int, percent: int):
                     if (r := root(int(j))) not in met:
                         met.add(r)
                         edges.append((q, ids[j]))
+        release()
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
     return run
@@ -232,19 +241,29 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = stored(own.join(sizes, "key").select("doc_id", "n", "key", part.alias("part"), "members", "prefix"), "ngram-groups")
 
     # The matrix: tokens of prefixes by block, for tokens that several blocks have.
-    group = F.struct("key", "part")
-    cells = reps.select("doc_id", "n", group.alias("g"), F.explode("prefix").alias("token"))
-    spread = cells.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter(F.col("lo") != F.col("hi")).select("token")
+    block_id = F.xxhash64("key", "part")
+    named = reps.select("doc_id", "n", "key", "part", block_id.alias("g"), "prefix")
+    spread = named.select("g", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+    spread = stored(spread.filter(F.col("lo") != F.col("hi")).select("token"), "ngram-tokens")
+    thin = filtered_lists(Bitmap(spread, "token"))
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], thin(batch.column(5))], names=batch.schema.names)
+
+    cells = named.mapInArrow(thinned, named.schema).select("doc_id", "n", "key", "part", F.explode("prefix").alias("token"))
     cells = stored(cells.join(spread, "token", "left_semi"), "ngram-cells")
-    matrix = cells.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = cells.groupBy("token", "key", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    to = matrix.select("token", F.col("key").alias("to_key"), F.col("part").alias("to_part"), "least", "most")
     met = (
-        cells.join(matrix.withColumnRenamed("g", "to"), "token")
-        .filter((F.col("g") != F.col("to")) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100))
-        .groupBy("doc_id", "n", "to")
+        cells.join(to, "token")
+        .filter(((F.col("key") != F.col("to_key")) | (F.col("part") != F.col("to_part"))) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100))
+        .groupBy("doc_id", "n", "to_key", "to_part")
         .agg(F.count(F.lit(1)).alias("common"))
         .filter(F.col("common") >= F.least(F.lit(shared), F.ceil(F.col("n") * percent / 100)))
-        .select("doc_id", "to.key", "to.part")
+        .select("doc_id", F.col("to_key").alias("key"), F.col("to_part").alias("part"))
     )
+    met = stored(met, "ngram-met")
     # Blocks to open: those with several members, and those that a query has met. Queries come in bounded shares.
     waiting = met.groupBy("key", "part").agg(F.count(F.lit(1)).alias("waiting"))
     shares = F.coalesce(F.ceil(F.col("waiting") / queries), F.lit(1)).cast("int")
@@ -255,8 +274,8 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("doc_id", "key", "part", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(False).alias("query"))
     )
     asked = met.join(waiting, ["key", "part"]).select("doc_id", "key", "part", F.pmod(F.xxhash64("doc_id"), shares).cast("int").alias("share"), F.lit(True).alias("query"))
-    work = members.unionByName(asked)
-    edges = source.join(work, "doc_id").groupBy("key", "part", "share").applyInPandas(open_groups(n, percent), "a long, b long")
+    work = stored(members.unionByName(asked), "ngram-work")
+    edges = rows_where(source, "doc_id", Bitmap(work, "doc_id"), True).join(work, "doc_id").groupBy("key", "part", "share").applyInPandas(open_groups(n, percent), "a long, b long")
     return nodes, stored(edges, "ngram-edges")
 
 
@@ -269,5 +288,5 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """The documents whose id is their component's smallest, with all their columns."""
-    gone = ngram_components(docs, id_col, text_col, n, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = ngram_components(docs, id_col, text_col, n, percent).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return without(docs, id_col, stored(gone, "ngram-gone"), "doc_id")
