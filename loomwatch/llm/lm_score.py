@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwatch.llm.bytescan import Words, chain, slices
+from loomwatch.llm.bytescan import Words, chain, release, slices
 from loomwatch.llm.langid import crc_of_id
 from loomwatch.llm.shared import stored
 
@@ -151,6 +151,7 @@ def gram_counts(packed: DataFrame, order: int, parts: int) -> DataFrame:
         schema = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("split", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
             for chunk, split, payload in zip(*(batch.column(k) for k in (0, 1, 2))):
+                release()
                 seq = _Sequence(payload.as_py(), order)
                 for level in range(order):
                     hashes, counts = seq.unique[level], seq.counts(level)
@@ -163,7 +164,7 @@ def gram_counts(packed: DataFrame, order: int, parts: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.cumsum(_unplanes(h), dtype=np.uint64) for h in group["hashes"]]
+        hashes = [np.cumsum(_unplanes(h), dtype=np.uint64) for h in group.pop("hashes")]
         ends = np.cumsum([len(h) for h in hashes])
         known, back = np.unique(np.concatenate(hashes), return_inverse=True)
         del hashes
@@ -177,6 +178,7 @@ def gram_counts(packed: DataFrame, order: int, parts: int) -> DataFrame:
                     fit[where] += n
         level, part = int(group["level"].iloc[0]), int(group["part"].iloc[0])
         rows = [(chunk, level, part, _planes(fit[w]), _planes(train[w]), 0, 0, 0, 0) for w, chunk in zip(pieces, group["chunk"])]
+        release()
         rows.append((-1, level, part, b"", b"", int((fit > 0).sum()), int(fit.sum()), int((train > 0).sum()), int(train.sum())))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _REPLY.split(", ")])
 
@@ -227,7 +229,7 @@ def learn_weights(histogram: pd.DataFrame, order: int, rounds: int = 60) -> np.n
     return np.maximum(weights, 1e-9)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 2, chunk_bytes: int = 8 << 20, part_tokens: int = 2_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 2, chunk_bytes: int = 4 << 20, part_tokens: int = 400_000) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     packed = stored(pack_chunks(docs, id_col, text_col, folds, chunk_bytes), "lm-chunks")
@@ -270,10 +272,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         names = [c.split()[0] for c in _SCORE.split(", ")]
         if not len(chunk):
             return pd.DataFrame(columns=names)
+        release()
         seq = _Sequence(chunk["payload"].iloc[0], order)
         counts, probabilities, buckets = _estimates(seq, mine, "train", totals)
-        w = shared.value[buckets]
-        mixed = sum(w[:, k] * p for k, p in enumerate(probabilities))
+        mixed = np.zeros(len(buckets))
+        for k in range(order + 1):
+            mixed += shared.value[buckets, k] * probabilities[k]
         n, v = totals["train_tokens"], totals["train_types"]
         base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         return pd.DataFrame(
