@@ -289,3 +289,30 @@ def test_pipeline(spark, texts):
     ours = set(out["doc_id"])
     assert ours <= clean and len(clean - ours) <= 0.02 * len(clean)
     assert [name for name, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+
+
+LOOSE = {
+    "email": ["write to jo{}.lee (at) host{} (dot) com. Then", "MARY{}[AT]mail{}[DOT]example[dot]org"],
+    "ip": ["on host 1.2{}. 3.4{} today", "from 19{}.16. 0.7{} came"],
+    "card": ["paid with 4111.1111.1111.1111 ({}{})", "row 12 5500 0000 0000 0004 {}{}"],
+    "phone": ["reach 555-12{}-456{} now", "dial 0044 20 794{} 095{} now", "or (02{}) 7946 095{} then"],
+}
+LOOSE_SPAN = re.compile(r"jo\d.*?com(?=\. )|MARY.*org|1\.2\d\. 3\.4\d|19\d\.16\. 0\.7\d|4111\.\S+|5500 0000 0000 0004|555-\S+|0044 20 \d+ \d+|\(02\d\) \d+ \d+")
+DECOYS = ["meet me @ home. Then we", "steps 1. 2. 3. 4 in order", "version 1.2. 3.4 is out", "id 1234.5678.9012.3456 of", "sum 100 200 3000 of it", "part 978-555-123-4567 sold"]
+
+
+@pytest.mark.parametrize("plain", [0, 300])
+def test_loose_personal_data_is_added(spark, plain):
+    """Spellings that only the generators find are added, base spans stay; with too few texts to fit, too."""
+    from loomwatch.llm import pii
+
+    made = [(kind, t.format(k % 10, k // 2 % 10)) for k in range(plain // 10 or 1) for kind, ts in LOOSE.items() for t in ts]
+    texts = [t for _, t in made] + [f"{t} {k}x" for k in range(plain // 10) for t in DECOYS] + [f"see a{k}@b.co and 10.0.0.{k % 256}, +1 (555) 555-0{k}" for k in range(plain)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_report(docs).collect()}
+    for d, text in enumerate(texts):
+        want = pii_spans(text)
+        if d < len(made) and not want:  # a base span by chance (Luhn) stays
+            m = LOOSE_SPAN.search(text)
+            want.append(f"{made[d][0]}:{m.start()}:{m.end()}")
+        assert got[d] == ",".join(want), text
