@@ -41,7 +41,7 @@ from loomwatch.llm.shared import stored
 _TABLE_BITS = 20
 _PAD = np.uint64(0xA0761D6478BD642F)
 _ITEM = "item_id long, size int, words array<long>, keys array<long>"
-_WINDOW = "doc_id long, start long, zone long, words array<long>, keys array<long>"
+_WINDOW = "row long, doc_id long, start long, zone long, words array<long>, keys array<long>"
 _MATCH = "doc_id long, item_id long, start_word long, distance int, item_words int"
 
 
@@ -140,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     repeats = repeats_for(recall, agreement, samples)
-    items = stored(read_items(benchmark, item_col, item_text_col, repeats, samples), "leak-items")
+    items = stored(read_items(benchmark, item_col, item_text_col, repeats, samples).withColumn("nth", F.monotonically_increasing_id()), "leak-items")
     m = F.size("words")
     spare = F.floor(m * (100 - percent) / 100)
     sizes = items.groupBy("size").agg(F.min(m - 1 - 2 * spare).alias("need")).collect()  # as many as the size series has terms
@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 row = np.repeat(rows, width)
                 place = np.repeat(first[rows] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
                 stop = first[1:][row]
-                doc_ids = part.column(0)
+                ordinals, doc_ids = part.column(2), part.column(0)
                 shift = np.arange(len(place)) - place  # from a word's place in the batch to that among the chosen rows
                 for size, need in classes:
                     mine = np.uint64(1 << bit[size])
@@ -208,20 +208,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     key_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, repeats, dtype=np.int32)), pa.array(keys.ravel()))
                     begin = first[:-1][row[at]]
                     zone = (place[at] - begin) // (size // 4 + 1)
-                    columns = [doc_ids.take(pa.array(row[at])), pa.array(lo - begin), pa.array(zone), words, key_lists]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "zone", "words", "keys"])
+                    columns = [ordinals.take(pa.array(row[at])), doc_ids.take(pa.array(row[at])), pa.array(lo - begin), pa.array(zone), words, key_lists]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "start", "zone", "words", "keys"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # stored ordinals tell rows, and items, apart that share an id or have none
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     windows = stored(source.mapInArrow(scan, _WINDOW).withColumn("window", F.monotonically_increasing_id()), "leak-windows")
-    # Windows that begin within a quarter of their size of each other hold the same best part: one of them is verified.
-    asked = windows.select("window", "doc_id", "zone", F.explode(F.array_distinct("keys")).alias("key"))
-    offered = items.select("item_id", F.explode(F.array_distinct("keys")).alias("key"))
+    # Windows of a row that begin within a quarter of their size of each other hold the same best part: one of them is verified.
+    asked = windows.select("window", "row", "zone", F.explode(F.array_distinct("keys")).alias("key"))
+    offered = items.select("nth", F.explode(F.array_distinct("keys")).alias("key"))
     met = (
         asked.join(offered, "key")
-        .groupBy("doc_id", "zone", "item_id")
+        .groupBy("row", "zone", "nth")
         .agg(F.min("window").alias("window"))
-        .join(windows.select("window", "start", "words"), "window")
-        .join(items.select("item_id", F.col("words").alias("item")), "item_id")
+        .join(windows.select("window", "doc_id", "start", "words"), "window")
+        .join(items.select("nth", "item_id", F.col("words").alias("item")), "nth")
         .select("doc_id", "start", "words", "item_id", "item")
     )
 

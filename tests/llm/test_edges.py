@@ -92,3 +92,22 @@ def test_url_filters(spark):
     assert url_filters.filter_captures(captures, changes).columns == captures.columns
     assert url_filters.evaluate_captures(captures.limit(0), changes).count() == 0
     assert url_filters.evaluate_captures(captures, changes.limit(0)).count() == 7
+
+
+def test_decontamination_tells_rows_apart(spark):
+    """A chance candidate of one row does not replace the true window of another without an id or with the same."""
+    import random
+
+    rng = random.Random(5)
+    item = [f"w{k}" for k in range(20)]
+    rows = []
+    for doc_id in (None, 5):
+        for _ in range(60):  # the item's words in shuffled runs: they meet by chance and are too far away
+            runs = [item[k : k + 4] for k in range(0, 20, 4)]
+            rng.shuffle(runs)
+            rows.append((doc_id, " ".join(sum(runs, []))))
+        rows.append((doc_id, " ".join(item)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(None, " ".join(item)), (1, " ".join(item)), (1, "quite another item of some more words in a row")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {(d, i): 0 for d in (None, 5) for i in (None, 1)}
