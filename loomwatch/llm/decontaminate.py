@@ -27,6 +27,7 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -41,8 +42,8 @@ from loomwatch.llm.shared import stored
 _TABLE_BITS = 20
 _PAD = np.uint64(0xA0761D6478BD642F)
 _ITEM = "item_id long, size int, words array<long>, keys array<long>"
-_WINDOW = "row long, doc_id long, start long, zone long, words array<long>, keys array<long>"
-_MATCH = "doc_id long, item_id long, start_word long, distance int, item_words int"
+_WINDOW = "row long, doc_id long, sha256 string, start long, zone long, words array<long>, keys array<long>"
+_MATCH = "doc_id long, sha256 string, item_id long, start_word long, distance int, item_words int"
 
 
 def window_size(m: int) -> int:
@@ -131,13 +132,8 @@ def edit_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return int(cost[j]), int(begin[j])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, recall: float = 0.99, samples: int = 2, agreement: float = 0.4) -> DataFrame:
-    """One row per (document, item) within reach: doc_id, item_id, start_word, distance, item_words.
-
-    ``percent`` is the least similarity, 1 - distance / words of the item.
-    ``agreement`` is the share of places in which the embeddings of two
-    sequences at that similarity agree.
-    """
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, percent: int, recall: float, samples: int, agreement: float) -> DataFrame:
+    """Every verified window, with the id of its row and the digest of the row's text."""
     spark = docs.sparkSession
     repeats = repeats_for(recall, agreement, samples)
     items = stored(read_items(benchmark, item_col, item_text_col, repeats, samples).withColumn("nth", F.monotonically_increasing_id()), "leak-items")
@@ -185,6 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 row = np.repeat(rows, width)
                 place = np.repeat(first[rows] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
                 stop = first[1:][row]
+                digests: dict[int, str] = {}  # of the rows that have windows
                 ordinals, doc_ids = part.column(2), part.column(0)
                 shift = np.arange(len(place)) - place  # from a word's place in the batch to that among the chosen rows
                 for size, need in classes:
@@ -208,8 +205,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     key_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, repeats, dtype=np.int32)), pa.array(keys.ravel()))
                     begin = first[:-1][row[at]]
                     zone = (place[at] - begin) // (size // 4 + 1)
-                    columns = [ordinals.take(pa.array(row[at])), doc_ids.take(pa.array(row[at])), pa.array(lo - begin), pa.array(zone), words, key_lists]
-                    yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "start", "zone", "words", "keys"])
+                    for r in set(row[at].tolist()) - digests.keys():
+                        digests[r] = hashlib.sha256(part.column(1)[r].as_buffer()).hexdigest()
+                    columns = [ordinals.take(pa.array(row[at])), doc_ids.take(pa.array(row[at])), pa.array([digests[r] for r in row[at].tolist()]), pa.array(lo - begin), pa.array(zone), words, key_lists]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "sha256", "start", "zone", "words", "keys"])
 
     # stored ordinals tell rows, and items, apart that share an id or have none
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
@@ -221,9 +220,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         asked.join(offered, "key")
         .groupBy("row", "zone", "nth")
         .agg(F.min("window").alias("window"))
-        .join(windows.select("window", "doc_id", "start", "words"), "window")
+        .join(windows.select("window", "doc_id", "sha256", "start", "words"), "window")
         .join(items.select("nth", "item_id", F.col("words").alias("item")), "nth")
-        .select("doc_id", "start", "words", "item_id", "item")
+        .select("doc_id", "sha256", "start", "words", "item_id", "item")
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,13 +234,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     continue  # too few words in common, whatever their order
                 distance, begin = edit_distance(item, window)
                 if distance <= budget(len(item), percent):
-                    rows.append((r["doc_id"], r["item_id"], r["start"] + begin, distance, len(item)))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "start_word", "distance", "item_words"])
+                    rows.append((r["doc_id"], r["sha256"], r["item_id"], r["start"] + begin, distance, len(item)))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "sha256", "item_id", "start_word", "distance", "item_words"])
+
+    return met.mapInArrow(verify, _MATCH)
+
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, recall: float = 0.99, samples: int = 2, agreement: float = 0.4) -> DataFrame:
+    """One row per (document, item) within reach: doc_id, item_id, start_word, distance, item_words.
+
+    ``percent`` is the least similarity, 1 - distance / words of the item.
+    ``agreement`` is the share of places in which the embeddings of two
+    sequences at that similarity agree.
+    """
+    found = matches(docs, benchmark, id_col, text_col, item_col, item_text_col, percent, recall, samples, agreement)
     best = F.min(F.struct("distance", "start_word")).alias("best")
-    return met.mapInArrow(verify, _MATCH).groupBy("doc_id", "item_id", "item_words").agg(best).select("doc_id", "item_id", "best.start_word", "best.distance", "item_words")
+    return found.groupBy("doc_id", "item_id", "item_words").agg(best).select("doc_id", "item_id", "best.start_word", "best.distance", "item_words")
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -250,6 +260,11 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark passage, with all their columns."""
-    gone = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The documents that hold no benchmark passage, with all their columns.
+
+    Each row is decided by its own text; its id may be null or repeated.
+    """
+    found = matches(docs, benchmark, id_col, text_col, "item_id", "text", 80, 0.99, 2, 0.4)
+    gone = found.select(F.col("doc_id").alias("__gone"), F.col("sha256").alias("__sha256")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(gone["__gone"]) & (F.sha2(docs[text_col].cast("string"), 256) == gone["__sha256"])
+    return docs.join(gone, same, "left_anti")

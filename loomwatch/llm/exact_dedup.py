@@ -21,6 +21,8 @@ Nulls and ties: a null text counts as empty. A null id is ignored when the
 largest id is taken; a group without any id has a null ``keep_id`` and all its
 rows are kept as they can't be told apart. Rows that repeat both id and text
 share their outcome. Other columns of the input are neither read nor returned.
+``drop_exact_duplicates`` decides by id and text and leaves one row of each text:
+where rows that are kept repeat both, it takes any one of them.
 """
 
 from __future__ import annotations
@@ -106,6 +108,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of each text, with all its columns; ids may be null or repeated."""
+    found = stored(exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha256"), "kept"), "dedup-found")
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+    def same(d: DataFrame, other: DataFrame) -> Column:
+        return d[id_col].eqNullSafe(other["__id"]) & (digest == other["__sha256"])
+
+    gone = found.filter(~F.col("kept")).drop("kept").distinct()
+    again = stored(found.filter("kept").groupBy("__id", "__sha256").count().filter("count > 1").drop("count"), "dedup-again")
+    left = docs.join(gone, same(docs, gone), "left_anti")
+    if again.isEmpty():
+        return left
+    once = left.join(again, same(left, again), "left_anti")
+    several = left.join(again, same(left, again), "left_semi").withColumn("__sha256", digest).dropDuplicates([id_col, "__sha256"]).drop("__sha256")
+    return once.unionByName(several)

@@ -111,3 +111,19 @@ def test_decontamination_tells_rows_apart(spark):
     bench = spark.createDataFrame([(None, " ".join(item)), (1, " ".join(item)), (1, "quite another item of some more words in a row")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(docs, bench).collect()}
     assert found == {(d, i): 0 for d in (None, 5) for i in (None, 1)}
+
+
+def test_stages_decide_per_row(spark):
+    """Rows without an id or with a repeated one are kept or dropped by their own text."""
+    rows = [(5, "A"), (5, "B"), (9, "A"), (None, "A"), (None, "C"), (None, "C"), (6, "D"), (6, "D"), (None, "E"), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit(1))
+    out = exact_dedup.drop_exact_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(9, "A"), (5, "B"), (None, "C"), (6, "D"), (None, "E"), (8, "")], key=repr)
+
+    leak = "one two three four five six seven eight nine ten"
+    rows = [(None, leak), (None, "clean"), (5, "so " + leak), (5, "clean too"), (6, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    out = decontaminate.drop_contaminated(docs, bench).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == sorted([(None, "clean"), (5, "clean too"), (6, None), (None, None)], key=repr)
