@@ -94,6 +94,14 @@ def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[pa
     release()
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0]+1, ... (counts[0] of them), starts[1], ..."""
+    total = int(counts.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    return np.arange(total) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
 class Words:
     """The words of a string column.
 
@@ -106,7 +114,7 @@ class Words:
     def __init__(self, column: pa.Array):
         self.data, self.offsets = buffers(column)
         low = self.lowered()
-        word = ~self.gap[low]
+        word = self.inside(low)
         cut = np.zeros(len(low) + 1, dtype=bool)
         cut[self.offsets] = True
         if len(low):
@@ -125,6 +133,9 @@ class Words:
     def lowered(self) -> np.ndarray:
         return LOWER[self.data]
 
+    def inside(self, low: np.ndarray) -> np.ndarray:
+        return ~self.gap[low]
+
     def bounds(self, low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
         """For subclasses that cut words further."""
 
@@ -155,10 +166,12 @@ class Words:
 
 
 class PlainWords(Words):
-    """Runs of ASCII letters and digits and of other characters above 0x7F, without case.
+    """Runs of ASCII letters and digits and of other letters above 0x7F, without case.
 
     The case of Latin-1 letters is folded as well: their UTF-8 form is 0xC3 and
-    a byte that differs by 0x20.
+    a byte that differs by 0x20. Typographic quotes, dashes and blanks (U+2000 to
+    U+206F, U+3000 to U+303F, and U+0080 to U+00BF but its three letters) are
+    gaps, and each character from U+3040 to U+9FFF is a word of its own.
     """
 
     gap = np.ones(256, dtype=bool)
@@ -170,3 +183,24 @@ class PlainWords(Words):
             upper = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
             low[1:][upper] += 0x20
         return low
+
+    def inside(self, low: np.ndarray) -> np.ndarray:
+        word = super().inside(low)
+        signs = np.flatnonzero(low[:-1] == 0xC2)
+        signs = signs[~np.isin(low[signs + 1], [0xAA, 0xB5, 0xBA])]
+        word[signs] = word[signs + 1] = False
+        for lead, blocks in ((0xE2, [0x80, 0x81]), (0xE3, [0x80])):
+            at = np.flatnonzero(low[:-2] == lead)
+            at = at[np.isin(low[at + 1], blocks)]
+            word[at] = word[at + 1] = word[at + 2] = False
+        return word
+
+    def bounds(self, low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        lead = np.flatnonzero((low[:-2] >= 0xE3) & (low[:-2] <= 0xE9))
+        if len(lead):
+            word = self.inside(low)
+            lead = lead[word[lead]]
+            begins[lead] = ends[lead + 2] = True
+            before, after = lead[lead > 0] - 1, lead[lead + 3 < len(low)] + 3
+            ends[before[word[before]]] = True
+            begins[after[word[after]]] = True

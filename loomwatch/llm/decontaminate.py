@@ -2,48 +2,53 @@
 
 Words are letters and digits without case or punctuation. The CGK embedding
 walks over a word sequence: at each step it writes the current word and moves
-on or stays, as a random bit of (step, word) says. Two sequences at a small
-edit distance fall into step again after an edit, so their embeddings agree in
-most places: edit distance becomes Hamming distance. Bit sampling then reads a
-few places of the embedding as a key; several walks, each with its own samples,
-are repeated until two sequences at the largest allowed distance share a key
-with the target recall. Windows that share a key with an item are verified by
-the exact edit distance of the item to the best part of the window.
-
-How it runs: texts are scanned once, in Arrow batches, with windows of each
-item size (sizes are rounded up in steps of a tenth) at every word. A window
-can only be within ``d`` edits of an item of ``m`` words if ``m - 1 - 2 d`` of
-its word pairs occur in items of its size; windows that fail this are dropped
-before they are embedded, which loses nothing. The test needs one table of
-fixed size, which says for a hashed pair in which sizes it occurs. Keys meet in a join on the key, so the benchmark may be of any
-size; a small one is broadcast by Spark's own size check.
+on or stays, as a random bit of (step, word) says; twice as many steps as words
+lead it over the whole sequence. Two sequences at a small edit distance fall
+into step again after an edit, so their embeddings agree in many places: edit
+distance becomes Hamming distance. Bit sampling then reads a few places of the
+embedding as a key; ``walks`` walks, each with its own samples, are repeated so
+that a passage at the largest allowed distance shares a key with its item with
+the target recall. Windows that share a key with an item are verified by the
+exact edit distance of the item to the best part of the window and its
+surroundings.
+
+How it runs: the benchmark is cut into blocks of about ``block_words`` words,
+the items of each distinct text once. A block is broadcast, and every document
+is scanned against it where it lies, in Arrow batches: there is no shuffle of
+texts or windows, no task holds more than a slice of a few MB, and a lost
+executor costs its tasks alone. A larger benchmark means more blocks and more
+scans, never a larger broadcast. A window is embedded only if enough of its
+word pairs occur in items of its size: one within ``d`` edits of an item of
+``m`` words has ``m - 1 - 2 d`` of them, so nothing is lost. Windows with the
+same words, as those of passages that many documents share, are embedded and
+verified once in a slice.
 
 Nulls and ties: null or empty texts and items match nothing. An item whose text
 is repeated is reported under each of its ids; rows that repeat a document's id
-are merged into one match with their least distance. Of equal distances the
-earliest place is reported. A null document id is reported as null. Other
-columns of the input are not read.
+are scanned each by its own text, and their matches are merged into one with
+the least distance. Of equal distances the earliest place is reported. A null
+document or item id is reported as null. Other columns of the input are not
+read, whatever their names; ``drop_contaminated`` returns them.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwatch.llm.bytescan import PlainWords, chain, mix, slices
+from loomwatch.llm.bytescan import PlainWords, chain, mix, slices, spread
 from loomwatch.llm.shared import stored
 
-_TABLE_BITS = 20
 _PAD = np.uint64(0xA0761D6478BD642F)
-_ITEM = "item_id long, size int, words array<long>, keys array<long>"
-_WINDOW = "row long, doc_id long, sha256 string, start long, zone long, words array<long>, keys array<long>"
-_MATCH = "doc_id long, sha256 string, item_id long, start_word long, distance int, item_words int"
+_FOLD = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_GRID = 1024  # windows that are embedded or verified at once
+_MATCH = "doc_id long, nth long, start_word long, distance int"
 
 
 def window_size(m: int) -> int:
@@ -59,199 +64,304 @@ def budget(m: int, percent: int) -> int:
     return m * (100 - percent) // 100
 
 
-def repeats_for(recall: float, agreement: float, samples: int) -> int:
-    """Walks needed so that one of them agrees in all its samples with chance ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**samples))
+def walks_for(size: int, recall: float) -> int:
+    """Walks for windows of a size, more for longer ones, whose walks drift apart for longer.
+
+    Measured with a fifth of the words edited: if every edit is a deletion, the
+    hardest case, a recall of 0.99 takes 13 walks at 15 words, 44 at 60, 66 at
+    100 and 165 at 200; other edits take about half of that.
+    """
+    return int(np.ceil((4 + 0.8 * size) * np.log(1 - recall) / np.log(0.01)))
 
 
-def walk_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, repeats: int, samples: int) -> np.ndarray:
-    """LSH keys of the sequences words[starts:ends], one column for each walk."""
-    steps = max(2, size * 5 // 4)
+@functools.lru_cache(maxsize=256)
+def _plan(size: int, walks: int, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds by (64 steps, walk), sampled steps by (walk, sample), and how many walks still have samples at each step."""
+    steps = max(2, 2 * size)
     rng = np.random.Generator(np.random.PCG64([size, 7919]))
-    seeds = rng.integers(1, 2**63, (steps, repeats), dtype=np.uint64)
-    picked = np.zeros((steps, repeats), bool)
-    for r in range(repeats):
-        picked[rng.choice(steps, size=min(samples, steps), replace=False), r] = True
-    out = np.empty((len(starts), repeats), np.uint64)
-    for lo in range(0, len(starts), 4096):
-        end = ends[lo : lo + 4096, None]
-        at = np.repeat(starts[lo : lo + 4096, None], repeats, axis=1)
-        key = np.broadcast_to(np.arange(repeats, dtype=np.uint64) + np.uint64(size * 1000), at.shape).copy()
-        for j in range(steps):
-            inside = at < end
-            word = np.where(inside, words[np.minimum(at, len(words) - 1)], _PAD)
-            take = picked[j]
-            if take.any():
-                key[:, take] = chain(key[:, take], word[:, take])
-            at += inside & (((mix(word ^ seeds[j]) >> np.uint64(17)) & np.uint64(1)) != 0)
-        out[lo : lo + 4096] = mix(key)
+    seeds = rng.integers(1, 2**63, (-(-steps // 64), walks), dtype=np.uint64)
+    picked = np.sort(np.array([rng.choice(steps, size=min(samples, steps), replace=False) for _ in range(walks)]), axis=1)
+    picked = picked[np.argsort(-picked[:, -1], kind="stable")]  # walks that end early come last
+    live = (picked[:, -1][:, None] >= np.arange(steps)).sum(axis=0)
+    return seeds, picked, live
+
+
+def grid(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """The words of windows as rows of one width, with a mark behind the last one."""
+    at = start[:, None] + np.arange(width)
+    return np.where(at < end[:, None], words[np.minimum(at, len(words) - 1)], _PAD)
+
+
+def walk_keys(windows: np.ndarray, size: int, walks: int, samples: int) -> np.ndarray:
+    """LSH keys of the rows of ``grid(..., size + 1)``, one column for each walk."""
+    seeds, picked, live = _plan(size, walks, samples)
+    out = np.empty((len(windows), walks), np.uint64)
+    for lo in range(0, len(windows), _GRID):
+        part = windows[lo : lo + _GRID]
+        known, flat = np.unique(part, return_inverse=True)
+        flat = flat.reshape(-1)
+        at = np.broadcast_to(np.arange(len(part)) * (size + 1), (walks, len(part))).copy()
+        key = np.broadcast_to((np.arange(walks, dtype=np.uint64) + np.uint64(size * 1000))[:, None], at.shape).copy()
+        column = np.arange(walks)[:, None]
+        for j, n in enumerate(live.tolist()):
+            if not n:
+                break
+            if j % 64 == 0:
+                bits = mix(known[:, None] ^ seeds[j // 64][None, :])
+                bits[known == _PAD] = 0  # a walk stays at the end
+                bits = bits.reshape(-1)
+            word = flat[at[:n]]
+            take = np.flatnonzero((picked[:n] == j).any(axis=1))
+            if len(take):
+                key[take] = chain(key[take], known[word[take]])
+            at[:n] += ((bits[word * walks + column[:n]] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+        out[lo : lo + _GRID] = mix(key).T
     return out
 
 
-def _slots(pairs: np.ndarray) -> np.ndarray:
-    return (pairs >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-
-
-def read_items(benchmark: DataFrame, id_col: str, text_col: str, repeats: int, samples: int) -> DataFrame:
-    """Items with their window size, words and keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = PlainWords(part.column(1))
-                rows = []
-                for i, item in enumerate(part.column(0).to_pylist()):
-                    words = found.hash[found.first[i] : found.first[i + 1]]
-                    if len(words):
-                        size = window_size(len(words))
-                        keys = walk_keys(words, np.zeros(1, np.int64), np.full(1, len(words)), size, repeats, samples)[0]
-                        rows.append({"item_id": item, "size": size, "words": words.view(np.int64), "keys": keys.view(np.int64)})
-                schema = pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _ITEM)
-
-
-def edit_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
-    """Least edit distance of the item to a part of the window, and where that part begins."""
-    n = len(window)
-    cost, begin = np.zeros(n + 1, np.int64), np.arange(n + 1)
+@dataclass
+class Block:
+    """A bounded part of the benchmark's distinct items, ready to be broadcast."""
+
+    nth: np.ndarray  # number of each item
+    words: np.ndarray
+    first: np.ndarray
+    size: np.ndarray  # window size of each item
+    classes: list[tuple[int, int]]  # size, pairs that a window needs
+    single: np.ndarray  # one-word items, sorted
+    pairs: np.ndarray  # hashes, sorted
+    masks: np.ndarray  # sizes in which a pair occurs, as bits
+    maybe: np.ndarray  # a bit for each leading value of a pair
+    shift: int
+    keys: np.ndarray  # sorted
+    key_item: np.ndarray
+
+    @classmethod
+    def of(cls, nth: np.ndarray, items: list[np.ndarray], percent: int, recall: float, samples: int) -> Block:
+        size = np.array([window_size(len(i)) for i in items], np.int64)
+        words = np.concatenate(items) if items else np.zeros(0, np.uint64)
+        first = np.concatenate([[0], np.cumsum([len(i) for i in items])]).astype(np.int64)
+        classes, hashes, masks, keys, owner = [], [], [], [], []
+        for k, s in enumerate(np.unique(size).tolist()):
+            mine = np.flatnonzero(size == s)
+            classes.append((s, min(len(items[i]) - 1 - 2 * budget(len(items[i]), percent) for i in mine)))
+            for i in mine:
+                if s > 1:
+                    h = chain(items[i][:-1], items[i][1:])
+                    hashes.append(h)
+                    masks.append(np.full(len(h), 1 << (k % 64), np.uint64))
+            walks = walks_for(s, recall)
+            keys.append(walk_keys(grid(words, first[mine], first[mine + 1], s + 1), s, walks, samples).ravel())
+            owner.append(np.repeat(mine, walks))
+        pairs, at = np.unique(np.concatenate(hashes), return_inverse=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        merged = np.zeros(len(pairs), np.uint64)
+        if hashes:
+            np.bitwise_or.at(merged, at, np.concatenate(masks))
+        bits = max(16, int(np.ceil(np.log2(len(pairs) + 1))) + 4)
+        maybe = np.zeros(1 << bits, bool)
+        maybe[(pairs >> np.uint64(64 - bits)).astype(np.int64)] = True
+        keys, owner = (np.concatenate(keys), np.concatenate(owner)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(keys, kind="stable")
+        single = np.unique(words[first[:-1][size == 1]])
+        return cls(nth, words, first, size, classes, single, pairs, merged, np.packbits(maybe, bitorder="little"), 64 - bits, keys[order], owner[order])
+
+    def pair_masks(self, h: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each word, the sizes in which it and the next one are a known pair; ``last`` are last words of texts."""
+        out = np.zeros(len(h), np.uint64)
+        if len(self.pairs) and len(h) > 1:
+            pair = chain(h[:-1], h[1:])
+            slot = (pair >> np.uint64(self.shift)).astype(np.int64)
+            at = np.flatnonzero((self.maybe[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            k = np.minimum(np.searchsorted(self.pairs, pair[at]), len(self.pairs) - 1)
+            out[at] = np.where(self.pairs[k] == pair[at], self.masks[k], np.uint64(0))
+        out[last] = 0
+        return out
+
+
+def edit_distances(items: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edit distance of each item to a part of its window, and where the first such part begins."""
+    count, n = windows.shape
     ladder = np.arange(n + 1)
-    for k, w in enumerate(item, 1):
+    cost, begin = np.zeros((count, n + 1), np.int64), np.broadcast_to(ladder, (count, n + 1)).copy()
+    least, place = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    for k in range(1, int(sizes.max(initial=0)) + 1):
         # best of substitution and deletion, with the smaller beginning on ties
-        swap = np.concatenate([[k], cost[:-1] + (window != w)])
+        swap = np.empty_like(cost)
+        swap[:, 0] = k
+        swap[:, 1:] = cost[:, :-1] + (windows != items[:, k - 1 : k])
+        moved = np.zeros_like(begin)
+        moved[:, 1:] = begin[:, :-1]
         drop = cost + 1
-        b = np.where(swap <= drop, np.concatenate([[0], begin[:-1]]), begin)
-        best = np.minimum(swap, drop)
+        b = np.where(swap <= drop, moved, begin)
         # insertions: running minimum of best - position
-        shifted = best - ladder
-        low = np.minimum.accumulate(shifted)
-        source = np.maximum.accumulate(np.where(shifted == low, ladder, 0))
-        cost, begin = low + ladder, b[source]
-    j = int(np.argmin(cost))
-    return int(cost[j]), int(begin[j])
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, percent: int, recall: float, samples: int, agreement: float) -> DataFrame:
-    """Every verified window, with the id of its row and the digest of the row's text."""
-    spark = docs.sparkSession
-    repeats = repeats_for(recall, agreement, samples)
-    items = stored(read_items(benchmark, item_col, item_text_col, repeats, samples).withColumn("nth", F.monotonically_increasing_id()), "leak-items")
-    m = F.size("words")
-    spare = F.floor(m * (100 - percent) / 100)
-    sizes = items.groupBy("size").agg(F.min(m - 1 - 2 * spare).alias("need")).collect()  # as many as the size series has terms
-    classes = sorted((r["size"], int(r["need"])) for r in sizes)
-
-    bit = {size: k % 64 for k, (size, _) in enumerate(classes)}
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for size, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = np.array(words, np.int64).view(np.uint64)
-                pairs = chain(h[:-1], h[1:]) if len(h) > 1 else h
-                slot = np.unique(_slots(pairs))
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.full(len(slot), 1 << bit[size], np.uint64).view(np.int64))], names=["slot", "mask"])
-
-    masks = items.select("size", "words").mapInArrow(slots, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # 2**20 rows at most
-    table = np.zeros(1 << _TABLE_BITS, np.int64)
-    table[masks["slot"].to_numpy(np.int64)] = masks["mask"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(table.view(np.uint64))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        shifted = np.minimum(swap, drop) - ladder
+        low = np.minimum.accumulate(shifted, axis=1)
+        source = np.maximum.accumulate(np.where(shifted == low, ladder, 0), axis=1)
+        cost, begin = low + ladder, np.take_along_axis(b, source, axis=1)
+        done = np.flatnonzero(sizes == k)
+        if len(done):
+            j = cost[done].argmin(axis=1)
+            least[done], place[done] = cost[done, j], begin[done, j]
+    return least, place
+
+
+def _first_of(*columns: np.ndarray) -> np.ndarray:
+    """Places of the first row of each distinct combination of all columns but the last, by the last."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns[:-1]], axis=0)
+    return order[new]
+
+
+def scan_slice(found: PlainWords, block: Block, percent: int, recall: float, samples: int) -> tuple[np.ndarray, ...]:
+    """Verified matches of a column of texts: row, item (its place in the block), start word, distance."""
+    h, first = found.hash, found.first
+    out: list[tuple[np.ndarray, ...]] = []
+    known = block.pair_masks(h, first[1:][first[1:] > first[:-1]] - 1)
+    places = np.flatnonzero(known)
+    for k, (size, need) in enumerate(block.classes):
+        if size == 1:
+            at = np.flatnonzero(np.isin(h, block.single))
+        else:
+            need = max(need, 1)
+            mine = places[(known[places] & np.uint64(1 << (k % 64))) != 0]
+            # windows around any ``need`` known pairs that are near enough
+            low, high = mine[need - 1 :] - (size - 2), mine[: max(len(mine) - need + 1, 0)]
+            near = low <= high
+            at = spread(np.maximum(low[near], 0), (high - np.maximum(low, 0) + 1)[near])
+            at = np.unique(at)
+        if not len(at):
+            continue
+        row = np.searchsorted(first, at, side="right") - 1
+        end = np.minimum(at + size, first[row + 1])
+        if size > 1:  # pairs beyond the text don't count
+            enough = np.searchsorted(mine, end - 1) - np.searchsorted(mine, at) >= need
+            at, row, end = at[enough], row[enough], end[enough]
+        # windows with the same words are embedded once
+        content = (end - at).astype(np.uint64)
+        for j in range(size):
+            content += np.where(at + j < end, h[np.minimum(at + j, len(h) - 1)], _PAD) * _FOLD[j % len(_FOLD)]
+        _, one, same = np.unique(content, return_index=True, return_inverse=True)
+        walks = walks_for(size, recall)
+        pairs = []
+        for lo in range(0, len(one), _GRID):
+            some = one[lo : lo + _GRID]
+            keys = walk_keys(grid(h, at[some], end[some], size + 1), size, walks, samples)
+            left = np.searchsorted(block.keys, keys.ravel())
+            hit = np.flatnonzero(block.keys[np.minimum(left, len(block.keys) - 1)] == keys.ravel())
+            many = np.searchsorted(block.keys, keys.ravel()[hit], side="right") - left[hit]
+            window = np.repeat(lo + hit // walks, many)
+            pairs.append(np.unique(window * len(block.nth) + block.key_item[spread(left[hit], many)]))
+        pairs = np.concatenate(pairs)
+        window, item = np.divmod(pairs, len(block.nth))
+        # back to every place of a window; of a row's windows that begin within a quarter of their size one is verified
+        begins = np.searchsorted(window, np.arange(len(one) + 1))
+        many = np.diff(begins)[same]
+        at, row = np.repeat(at, many), np.repeat(row, many)
+        item = item[spread(begins[:-1][same], many)]
+        one = _first_of(row, item, (at - first[row]) // (size // 4 + 1), at)
+        out.append(_verify(h, first, at[one], row[one], item[one], size, block, percent))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def _verify(h: np.ndarray, first: np.ndarray, at: np.ndarray, row: np.ndarray, item: np.ndarray, size: int, block: Block, percent: int) -> tuple[np.ndarray, ...]:
+    more = size * 3 // 4 + 2  # room for edits on either side
+    lo, hi = np.maximum(at - more, first[row]), np.minimum(at + size + more, first[row + 1])
+    distance, begin, good = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    for a in range(0, len(at), _GRID):
+        some = slice(a, min(a + _GRID, len(at)))
+        windows = grid(h, lo[some], hi[some], size + 2 * more)
+        content = mix(item[some].astype(np.uint64)) + windows @ np.resize(_FOLD, windows.shape[1])
+        _, one, same = np.unique(content, return_index=True, return_inverse=True)
+        windows, which = windows[one], item[some][one]
+        m = block.first[which + 1] - block.first[which]
+        allowed = m * (100 - percent) // 100
+        wanted = grid(block.words, block.first[which], block.first[which + 1], int(m.max()))
+        # too few words in common, whatever their order
+        common = np.zeros(len(one), np.int64)
+        for k in range(wanted.shape[1]):
+            common += (windows == wanted[:, k : k + 1]).any(axis=1) & (k < m)
+        able = np.flatnonzero(common >= m - allowed)
+        d, b = np.full(len(one), 1 << 30), np.zeros(len(one), np.int64)
+        d[able], b[able] = edit_distances(wanted[able], m[able], windows[able])
+        distance[some], begin[some], good[some] = d[same], b[same], (d <= allowed)[same]
+    return row[good], item[good], lo[good] + begin[good] - first[row[good]], distance[good]
+
+
+def read_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, words) of the items that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = PlainWords(part.column(1))
-                h, first = found.hash, found.first
-                if not len(h) or not classes:
-                    continue
-                single = known[_slots(h)]
-                double = np.zeros(len(h), np.uint64)
-                double[:-1] = known[_slots(chain(h[:-1], h[1:]))]
-                double[first[1:][first[1:] > 0] - 1] = 0  # no pair across documents
-                # rows with as many known pairs as the least demanding size needs
-                sums = np.concatenate([[0], np.cumsum(double != 0)])
-                enough = sums[first[1:]] - sums[first[:-1]] >= min(max(need, 1) for _, need in classes)
-                if classes[0][0] == 1:
-                    enough |= np.add.reduceat(np.append(single != 0, False), first[:-1]) > 0
-                rows = np.flatnonzero(enough)
-                if not len(rows):
-                    continue
-                width = first[rows + 1] - first[rows]
-                row = np.repeat(rows, width)
-                place = np.repeat(first[rows] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
-                stop = first[1:][row]
-                digests: dict[int, str] = {}  # of the rows that have windows
-                ordinals, doc_ids = part.column(2), part.column(0)
-                shift = np.arange(len(place)) - place  # from a word's place in the batch to that among the chosen rows
-                for size, need in classes:
-                    mine = np.uint64(1 << bit[size])
-                    end = np.minimum(place + size, stop)
-                    if size == 1:
-                        at = np.flatnonzero(single[place] & mine)
-                    else:
-                        sums = np.concatenate([[0], np.cumsum((double[place] & mine) != 0)])
-                        at = np.flatnonzero(sums[np.maximum(end - 1, place) + shift] - sums[place + shift] >= max(need, 1))
-                    if not len(at):
-                        continue
-                    keys = walk_keys(h, place[at], end[at], size, repeats, samples).view(np.int64)
-                    # room for edits on either side
-                    more = size // 2 + 2
-                    lo = np.maximum(place[at] - more, first[:-1][row[at]])
-                    hi = np.minimum(end[at] + more, stop[at])
-                    width = hi - lo
-                    flat = np.repeat(lo - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
-                    words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(h[flat].view(np.int64)))
-                    key_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, repeats, dtype=np.int32)), pa.array(keys.ravel()))
-                    begin = first[:-1][row[at]]
-                    zone = (place[at] - begin) // (size // 4 + 1)
-                    for r in set(row[at].tolist()) - digests.keys():
-                        digests[r] = hashlib.sha256(part.column(1)[r].as_buffer()).hexdigest()
-                    columns = [ordinals.take(pa.array(row[at])), doc_ids.take(pa.array(row[at])), pa.array([digests[r] for r in row[at].tolist()]), pa.array(lo - begin), pa.array(zone), words, key_lists]
-                    yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "sha256", "start", "zone", "words", "keys"])
-
-    # stored ordinals tell rows, and items, apart that share an id or have none
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    windows = stored(source.mapInArrow(scan, _WINDOW).withColumn("window", F.monotonically_increasing_id()), "leak-windows")
-    # Windows of a row that begin within a quarter of their size of each other hold the same best part: one of them is verified.
-    asked = windows.select("window", "row", "zone", F.explode(F.array_distinct("keys")).alias("key"))
-    offered = items.select("nth", F.explode(F.array_distinct("keys")).alias("key"))
-    met = (
-        asked.join(offered, "key")
-        .groupBy("row", "zone", "nth")
-        .agg(F.min("window").alias("window"))
-        .join(windows.select("window", "doc_id", "sha256", "start", "words"), "window")
-        .join(items.select("nth", "item_id", F.col("words").alias("item")), "nth")
-        .select("doc_id", "sha256", "start", "words", "item_id", "item")
-    )
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                item, window = np.array(r["item"], np.int64), np.array(r["words"], np.int64)
-                if np.isin(item, window).sum() < len(item) - budget(len(item), percent):
-                    continue  # too few words in common, whatever their order
-                distance, begin = edit_distance(item, window)
-                if distance <= budget(len(item), percent):
-                    rows.append((r["doc_id"], r["sha256"], r["item_id"], r["start"] + begin, distance, len(item)))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "sha256", "item_id", "start_word", "distance", "item_words"])
-
-    return met.mapInArrow(verify, _MATCH)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, recall: float = 0.99, samples: int = 2, agreement: float = 0.4) -> DataFrame:
+                words = pa.ListArray.from_arrays(pa.array(found.first.astype(np.int32)), pa.array(found.hash.view(np.int64)))
+                out = pa.RecordBatch.from_arrays([part.column(0), words], names=["item_id", "words"])
+                yield out.filter(pa.array(np.diff(found.first) > 0))
+
+    source = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "item_id long, words array<long>")
+
+
+class Benchmark:
+    """The benchmark's distinct texts, numbered, in blocks of bounded size."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, percent: int, recall: float, samples: int, block_words: int):
+        self.spark = benchmark.sparkSession
+        self.percent, self.recall, self.samples = percent, recall, samples
+        self.items = stored(read_items(benchmark, item_col, text_col), "leak-items")
+        once = self.items.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+        self.texts = stored(once.select("words", F.monotonically_increasing_id().alias("nth")), "leak-texts")
+        total = self.texts.agg(F.sum(F.size("words")).alias("w")).first()["w"] or 0
+        self.blocks = -(-total // block_words)
+
+    def block(self, b: int):
+        """Block ``b``, broadcast: about ``block_words`` words, whatever the size of the benchmark."""
+        rows = self.texts.filter(F.pmod(F.xxhash64("nth"), F.lit(self.blocks)) == b).orderBy("nth").toPandas()
+        items = [np.array(w, np.int64).view(np.uint64) for w in rows["words"]]
+        return self.spark.sparkContext.broadcast(Block.of(rows["nth"].to_numpy(np.int64), items, self.percent, self.recall, self.samples))
+
+    def scanner(self, b: int) -> Callable[[pa.Array], tuple[np.ndarray, ...]]:
+        """Matches of a column of texts with block ``b``: row, nth, start word, distance."""
+        shared, setting = self.block(b), (self.percent, self.recall, self.samples)
+
+        def scan(texts: pa.Array) -> tuple[np.ndarray, ...]:
+            block = shared.value
+            row, item, start, distance = scan_slice(PlainWords(texts), block, *setting)
+            return row, block.nth[item], start, distance
+
+        return scan
+
+    def ids(self) -> DataFrame:
+        """(nth, item_id, item_words): every id of every distinct text."""
+        return self.items.join(self.texts, "words").select("nth", "item_id", F.size("words").alias("item_words"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, recall: float = 0.99, samples: int = 2, block_words: int = 2_000_000) -> DataFrame:
     """One row per (document, item) within reach: doc_id, item_id, start_word, distance, item_words.
 
-    ``percent`` is the least similarity, 1 - distance / words of the item.
-    ``agreement`` is the share of places in which the embeddings of two
-    sequences at that similarity agree.
+    ``percent`` is the least similarity, 1 - distance / words of the item. The
+    walks are as many as ``recall`` needs at four fifths; a lower ``percent``
+    keeps their number and so finds less of what is farther away.
     """
-    found = matches(docs, benchmark, id_col, text_col, item_col, item_text_col, percent, recall, samples, agreement)
+    items = Benchmark(benchmark, item_col, item_text_col, percent, recall, samples, block_words)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = docs.sparkSession.createDataFrame([], _MATCH)
+    for b in range(items.blocks):
+        scan = items.scanner(b)
+
+        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    row, nth, start, distance = scan(part.column(1))
+                    columns = [part.column(0).take(pa.array(row)), pa.array(nth), pa.array(start), pa.array(distance.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "nth", "start_word", "distance"])
+
+        found = found.unionByName(source.mapInArrow(run, _MATCH))
     best = F.min(F.struct("distance", "start_word")).alias("best")
-    return found.groupBy("doc_id", "item_id", "item_words").agg(best).select("doc_id", "item_id", "best.start_word", "best.distance", "item_words")
+    per_text = found.groupBy("doc_id", "nth").agg(best)
+    return per_text.join(items.ids(), "nth").groupBy("doc_id", "item_id", "item_words").agg(F.min("best").alias("best")).select("doc_id", "item_id", "best.start_word", "best.distance", "item_words")
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -259,12 +369,22 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contaminated(docs, benchmark).withColumn("similarity", F.round(1 - F.col("distance") / F.col("item_words"), 6))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, recall: float = 0.99, samples: int = 2, block_words: int = 2_000_000) -> DataFrame:
     """The documents that hold no benchmark passage, with all their columns.
 
-    Each row is decided by its own text; its id may be null or repeated.
+    Each row is decided by its own text; its id is not looked at.
     """
-    found = matches(docs, benchmark, id_col, text_col, "item_id", "text", 80, 0.99, 2, 0.4)
-    gone = found.select(F.col("doc_id").alias("__gone"), F.col("sha256").alias("__sha256")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(gone["__gone"]) & (F.sha2(docs[text_col].cast("string"), 256) == gone["__sha256"])
-    return docs.join(gone, same, "left_anti")
+    items = Benchmark(benchmark, item_col, item_text_col, percent, recall, samples, block_words)
+    at = docs.columns.index(text_col)
+    for b in range(items.blocks):
+        scan = items.scanner(b)
+
+        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, text_col):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[scan(part.column(at).cast(pa.string()))[0]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

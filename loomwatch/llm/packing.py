@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwatch.llm.bytescan import Words, slices
+from loomwatch.llm.bytescan import Words, slices, spread
 from loomwatch.llm.shared import stored
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -124,14 +124,6 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0]+1, ... (counts[0] of them), starts[1], ..."""
-    total = int(counts.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    return np.arange(total) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-
-
 def piece_reader(path: str, end_id: int, longest: int):
     """A function for mapInArrow: (id, text) batches to rows of pieces."""
 
