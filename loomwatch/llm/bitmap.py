@@ -74,9 +74,19 @@ def filtered_lists(bitmap: Bitmap) -> Callable[[pa.ListArray], pa.ListArray]:
     return run
 
 
-def without(df: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
-    """The rows of ``df`` whose key is not in ``gone``: only rows that may be in it meet the exact join."""
-    bitmap = Bitmap(gone, gone_key)
-    listed = gone.select(F.col(gone_key).alias("__gone"))
-    maybe = rows_where(df, key, bitmap, True)
-    return rows_where(df, key, bitmap, False).unionByName(maybe.join(listed, maybe[key] == listed["__gone"], "left_anti"))
+def keep_decided(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` but those whose id and text hash ``decided`` (doc_id, th, kept) rejects, and one each of those it keeps.
+
+    Rows that it doesn't name all stay. Only rows that may be named meet the exact join.
+    """
+    th = F.xxhash64(F.col(text_col).cast("string"))
+    rows = docs.withColumns({"__loom_id": F.col(id_col).cast("long"), "__loom_th": th}).withColumn("__loom_at", F.xxhash64("__loom_id", "__loom_th"))
+    named = decided.select(F.xxhash64("doc_id", "th").alias("__loom_key"), F.col("doc_id").alias("__loom_doc"), F.col("th").alias("__loom_text"), F.col("kept").alias("__loom_kept"))
+    bitmap = Bitmap(named, "__loom_key")
+    maybe = rows_where(rows, "__loom_at", bitmap, True)
+    same = (F.col("__loom_at") == F.col("__loom_key")) & F.col("__loom_id").eqNullSafe(F.col("__loom_doc")) & (F.col("__loom_th") == F.col("__loom_text"))
+    left = rows_where(rows, "__loom_at", bitmap, False).unionByName(maybe.join(named, same, "left_anti"))
+    again = named.filter("__loom_kept")
+    if not again.isEmpty():
+        left = left.unionByName(maybe.join(again, same, "left_semi").dropDuplicates(["__loom_id", "__loom_th"]))
+    return left.select(*docs.columns)

@@ -23,7 +23,7 @@ ROWS = [
     (11, "x", "en", "c", 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["id", "t", "n", "key", "part", "rep", "bucket", "cell", "component", "base", "found", "words", "hit", "start", "length", "chunk", "split", "label", "blob"]
+CLASH = ["id", "t", "n", "key", "part", "rep", "bucket", "cell", "component", "base", "found", "words", "hit", "start", "length", "chunk", "split", "label", "blob", "row", "node", "th", "at", "text_sha256", "keep_id", "g", "nth", "kept"]
 
 
 @pytest.fixture(scope="module")
@@ -121,6 +121,17 @@ def test_stages_decide_per_row(spark):
     assert out.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(9, "A"), (5, "B"), (None, "C"), (6, "D"), (None, "E"), (8, "")], key=repr)
 
+    def words(k, n=20):
+        return " ".join(f"{k}{i}" for i in range(n))
+
+    rows = [(2, words("a")), (2, words("b")), (4, words("a") + " x"), (None, words("b") + " x"), (None, words("c")), (None, words("c") + " x"), (6, "D"), (6, "D"), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit(1))
+    out = ngram_join.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    c = next(t for d, t in got if d is None)
+    assert got == sorted([(2, words("a")), (2, words("b")), (None, c), (6, "D"), (7, None), (7, None), (8, "")], key=repr) and c.startswith("c0")
+
     leak = "one two three four five six seven eight nine ten"
     rows = [(None, leak), (None, "clean"), (5, "so " + leak), (5, "clean too"), (6, None), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

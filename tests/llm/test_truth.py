@@ -67,10 +67,24 @@ def test_ngram_components(spark, texts, n, percent, block):
         base[rng.randrange(120)] = f"v{k}"
         mine[10_000 + k] = " ".join(base)
     docs = spark.createDataFrame(list(mine.items()), "doc_id long, text string")
-    nodes, edges = ngram_join.ngram_links(docs, n=n, percent=percent, block=block, queries=8, frequent_df=3)
-    labels = connected_components(edges)
-    out = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
-    assert {r["doc_id"]: (r["n"], r["c"]) for r in out.collect()} == components(mine, n, percent)
+    out = ngram_join.ngram_components(docs, n=n, percent=percent, block=block, queries=8, frequent_df=3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == components(mine, n, percent)
+
+
+@pytest.mark.parametrize("edits", [2, 12])
+def test_ngram_components_of_large_groups(spark, edits):
+    """Many near copies of one text, linked or scattered, in blocks of four: every link counts, and work stays small."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(100)]
+    mine = {}
+    for d in range(200):
+        words = list(base)
+        for _ in range(edits):
+            words[rng.randrange(100)] = f"v{rng.randrange(50)}"
+        mine[d] = " ".join(words)
+    docs = spark.createDataFrame(list(mine.items()), "doc_id long, text string")
+    out = ngram_join.ngram_components(docs, n=3, percent=80, block=4, queries=8)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == components(mine, 3, 80)
 
 
 def test_components_of_a_path(spark):
@@ -236,35 +250,70 @@ def test_edit_distance(item, window):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         return row[-1]
 
-    best = min(distance(item, window[a:b]) for a in range(len(window) + 1) for b in range(a, len(window) + 1))
-    assert decontaminate.edit_distance(np.array(item), np.array(window, dtype=np.int64))[0] == best
+    least, a = min((distance(item, window[a:b]), a) for a in range(len(window) + 1) for b in range(a, len(window) + 1))
+    pad = np.array([[*window, 9, 9, 9]], np.uint64)  # behind the end nothing matches
+    got, begin = decontaminate.edit_distances(np.array([[*item, 8]], np.uint64), np.array([len(item)]), pad)
+    assert got[0] == least
+    assert min(distance(item, window[begin[0] : b]) for b in range(begin[0], len(window) + 1)) == least
 
 
-def test_decontamination_recall(spark):
-    """Items with up to a fifth of their words edited, inside other text."""
+@pytest.mark.parametrize("edits", ["swap", "insert", "delete", "mixed"])
+def test_decontamination_recall(spark, edits):
+    """Items of 15 to 200 words with all the edits that their budget allows, inside other text."""
     rng = random.Random(11)
     vocabulary = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("an", "er", "io", "ul", "es", "ot")]
-    items = [[rng.choice(vocabulary) for _ in range(rng.randint(15, 60))] for _ in range(60)]
+    items = [[rng.choice(vocabulary) for _ in range(m)] for m in [15, 16, 20, 26, 40, 60, 100, 200] for _ in range(10)]
     docs, planted = [], {}
-    for d in range(300):
+    for d in range(3 * len(items)):
         text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 300))]
         if d % 3 == 0:
-            i = d // 3 % 60
-            words = list(items[i])
-            for _ in range(rng.randint(0, len(words) // 5)):
-                k = rng.randrange(len(words))
-                edit = rng.randrange(3)
-                words[k : k + (edit != 1)] = [rng.choice(vocabulary)] if edit < 2 else []
+            words = list(items[d // 3])
+            for _ in range(decontaminate.budget(len(words), 80)):
+                k, kind = rng.randrange(len(words)), edits if edits != "mixed" else rng.choice(["swap", "insert", "delete"])
+                words[k : k + (kind != "insert")] = [rng.choice(vocabulary)] if kind != "delete" else []
             at = rng.randint(0, len(text))
             text[at:at] = words
-            planted[d] = i
+            planted[d] = d // 3
         docs.append((d, " ".join(w.upper() + "," if rng.random() < 0.2 else w for w in text)))
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, bench).collect()}
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(docs, bench, block_words=2000).collect()}
     hit = sum((d, i) in found for d, i in planted.items())
     assert hit >= 0.95 * len(planted)
     assert {d for d, _ in found} <= set(planted)
+    assert all(found[k] <= decontaminate.budget(len(items[k[1]]), 80) for k in found)
+
+
+def test_decontamination_of_all_documents(spark, texts):
+    """The registered query against a brute-force table of edit distances."""
+
+    def words(text):
+        return bytescan.PlainWords(pa.array([text])).hash
+
+    items = {r["item_id"]: words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    want = {}
+    for d, text in texts.items():
+        h = words(text)
+        for i, item in items.items():
+            row = np.zeros(len(h) + 1, np.int64)
+            for k, w in enumerate(item, 1):
+                best = np.minimum(np.concatenate([[k], row[:-1] + (h != w)]), row + 1) - np.arange(len(h) + 1)
+                row = np.minimum.accumulate(best) + np.arange(len(h) + 1)
+            if row.min() <= len(item) // 5:
+                want[d, i] = row.min()
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in queries.op1_decontamination(spark, SF).collect()}
+    assert got.items() <= want.items() and len(want) > 0
+    assert len(got) >= 0.98 * len(want)
+
+
+def test_retyped_passages(spark):
+    """Typographic quotes, dashes and blanks are gaps; text without blanks is compared by character."""
+    plain = "he said the model is not trained on it and so we stop here for now"
+    typed = "\u201che said \u2018the model\u2019 is\u00a0not\u2014trained on it\u2026and so we\u2009stop here for now\u201d"
+    han = "\u6211\u4eec\u5728\u8fd9\u91cc\u6d4b\u8bd5\u6a21\u578b\u7684\u80fd\u529b"
+    docs = spark.createDataFrame([(1, f"before {typed} after"), (2, f"\u524d\u9762\u7684\u6587\u5b57{han}\u3002\u540e\u9762")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, plain), (2, han)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 1, 0), (2, 2, 0)}
 
 
 def test_directory_splits():
