@@ -1,9 +1,10 @@
 """Secret scanning over an incremental blob ledger.
 
 Every version of a file is content-addressed by the SHA-256 of its text. The
-ledger, a table in the shared folder, has one row per (blob, rule version) that
-was scanned, with its findings; a run scans only pairs that the ledger lacks,
-appends them, and joins findings back to every path (document) of a blob.
+ledger, a table in the shared folder, has a row for each (blob, rule version)
+that was scanned, with its findings; a run scans only pairs that the ledger
+lacks, appends them, and joins findings back to every path (document) of a blob.
+A new rule version scans every blob anew and leaves older findings in place.
 
 How it runs: built-in functions only. Distinct texts are found by grouping on
 the text, which folds copies before the shuffle; the ledger and the join back
@@ -45,6 +46,7 @@ MORE_RULES = [
 
 RULES_VERSION = 1
 _FIELDS = "array<struct<kind:int,start:int,end:int>>"
+_LEDGER = f"blob string, rules int, base {_FIELDS}, more {_FIELDS}"
 
 
 def findings(text: Column, rules: list, first_kind: int = 0) -> Column:
@@ -57,40 +59,43 @@ def _scan(blobs: DataFrame) -> DataFrame:
     base = F.array_sort(findings(F.col("t"), BASE_RULES), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
     more = findings(F.col("t"), MORE_RULES, len(BASE_RULES))
     return blobs.select(
-        F.sha2("t", 256).alias("blob"),
+        "blob",
         F.lit(RULES_VERSION).alias("rules"),
         base.cast(_FIELDS).alias("base"),
         more.cast(_FIELDS).alias("more"),
     )
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None, batches: int = 1) -> DataFrame:
     """One row per document: blob, and the findings of that blob (``base``, ``more``).
 
-    ``ledger`` is the path of a ledger from an earlier run, which this run
-    appends to; None starts a new one in the shared folder.
+    ``ledger`` is the path of a ledger that this run appends to; it is made if
+    it isn't there, and None starts a new one in the shared folder. With several
+    ``batches`` the documents go through the ledger one part after another, as
+    successive snapshots would: a lost run repeats the part that it was in.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    blobs = docs.select(text.alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    known = None
-    if ledger is not None:
-        known = spark.read.parquet(ledger)
-        seen = known.filter(F.col("rules") == RULES_VERSION).select("blob")
-        blobs = blobs.withColumn("blob", F.sha2("t", 256)).join(seen, "blob", "left_anti")
     path = ledger or new_path(spark, "secret-ledger")
-    fresh = _scan(blobs)
-    fresh.write.mode("append").parquet(path)
-    entries = spark.read.schema(fresh.schema).parquet(path).filter(F.col("rules") == RULES_VERSION).drop("rules")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    spark.createDataFrame([], _LEDGER).write.mode("ignore").parquet(path)
+
+    def entries() -> DataFrame:  # an entry that two runs or a retry have appended counts once
+        return spark.read.schema(_LEDGER).parquet(path).filter(F.col("rules") == RULES_VERSION).dropDuplicates(["blob"])
+
+    for k in range(batches):
+        mine = docs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(batches)) == k) if batches > 1 else docs
+        blobs = mine.select(text.alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+        blobs = blobs.withColumn("blob", F.sha2("t", 256)).join(entries().select("blob"), "blob", "left_anti")
+        _scan(blobs).write.mode("append").parquet(path)
     paths = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("blob"))
-    return paths.join(entries, "blob")
+    return paths.join(entries().drop("rules"), "blob")
 
 
-def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None) -> DataFrame:
+def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None, batches: int = 1) -> DataFrame:
     """One row per document: doc_id, counts of base kinds, base_sha256, spans."""
     kinds = [r[0] for r in BASE_RULES]
     names = F.array(*[F.lit(r[0]) for r in BASE_RULES + MORE_RULES])
-    found = scan_secrets(docs, id_col, text_col, ledger)
+    found = scan_secrets(docs, id_col, text_col, ledger, batches)
     by_start = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
     everything = F.array_sort(F.concat("base", "more"), by_start)
     return found.select(

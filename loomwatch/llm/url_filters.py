@@ -10,7 +10,7 @@ How it runs: built-in functions only. The join is on equality of the domain,
 with the interval and the path as further conditions, so no pair of captures is
 ever made and a change of the list costs one row. Each domain of the list
 appears once per interval; a distinct (URL, time) makes as many rows as its host
-has parent domains, ten at most. If the list is small, Spark broadcasts it by
+has parent domains that are no deeper than the deepest of the list. If the list is small, Spark broadcasts it by
 its own size check; if not, both sides are dealt by domain, and a host with a
 third of all captures is a skewed key of that join, which adaptive execution
 splits. The join back to captures is on URL and time.
@@ -29,8 +29,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LEVELS = 9
-
 
 def host_of(url: Column) -> Column:
     """The host of a URL in lower case; empty if there is none."""
@@ -56,12 +54,12 @@ def validity_intervals(changes: DataFrame) -> DataFrame:
     return spans.filter(F.col("action") == "add").select(*entry, "valid_from", "valid_to")
 
 
-def _domains(host: Column) -> Column:
-    """The host and its parent domains, longest first, up to the nine last labels."""
+def _domains(host: Column, levels: int) -> Column:
+    """The host and its parent domains that have at most ``levels`` labels, longest first."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.greatest(n - _LEVELS, F.lit(0)), n - 1), lambda i: F.array_join(F.slice(labels, i + 1, n - i), "."))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(host), suffixes)))
+    suffixes = F.transform(F.sequence(F.greatest(n - levels, F.lit(0)), n - 1), lambda i: F.array_join(F.slice(labels, i + 1, n - i), "."))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(suffixes)
 
 
 def evaluate_captures(captures: DataFrame, changes: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
@@ -71,11 +69,13 @@ def evaluate_captures(captures: DataFrame, changes: DataFrame, url_col: str = "u
     share both. ``rule`` is the longest matching domain with its path; the
     longer path and then the first category decide among entries of a domain.
     """
+    intervals = validity_intervals(changes)
+    levels = intervals.agg(F.max(F.size(F.split("domain", r"\."))).alias("n")).first()["n"] or 1
     rows = captures.select(F.struct("*").alias("capture"), F.col(url_col).alias("u"), F.col(time_col).alias("at"))
     asked = rows.select("u", "at").filter(F.col("u").isNotNull() & F.col("at").isNotNull()).distinct()
-    keys = asked.withColumn("p", path_of(F.col("u"))).withColumn("domain", F.explode(_domains(host_of(F.col("u")))))
+    keys = asked.withColumn("p", path_of(F.col("u"))).withColumn("domain", F.explode(_domains(host_of(F.col("u")), levels)))
     hits = (
-        keys.join(validity_intervals(changes), "domain")
+        keys.join(intervals, "domain")
         .filter(F.col("p").startswith(F.col("path")) & (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
         .select("u", "at", F.struct((-F.length("domain")).alias("d"), (-F.length("path")).alias("l"), "category", "domain", "path").alias("m"))
     )

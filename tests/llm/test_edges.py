@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,38 @@ def test_url_filters(spark):
     assert url_filters.evaluate_captures(captures, changes.limit(0)).count() == 7
 
 
+def test_deep_hosts(spark):
+    deep = ".".join("abcdefghijkl") + ".example.org"
+    captures = spark.createDataFrame([(1, f"http://{deep}/", 5), (2, f"http://x.{deep}/", 5), (3, "http://example.org/", 5)], "page_id long, url string, fetched_at int")
+    changes = spark.createDataFrame([(deep, "/", "c", 1, "add"), (deep, "/", "c", 1, "add")], "domain string, path string, category string, at int, action string")
+    out = {r["capture"]["page_id"]: r["matches"] for r in url_filters.evaluate_captures(captures, changes).collect()}
+    assert out == {1: 1, 2: 1, 3: 0}
+
+
+def runs(n):
+    """Texts of n characters or so that repeat one thing."""
+    units = ["4", "4 ", "b.", "1.", "+", "+1", "-", "password=", "5-", "ab12", "GNU ", "a@b.co ", "x", "token=abcdefgh "]
+    return ["a@" + (u * (n // len(u))) + "c" if u == "b." else u * (n // len(u)) for u in units]
+
+
+def test_long_runs(spark):
+    """Runs of one kind of character end no executor, and base spans are those of the patterns."""
+    from test_truth import PII, SECRETS, pii_spans, secret_spans
+
+    short = runs(2_000)
+    docs = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")
+    for report, spans, kinds in ((pii.pii_report, pii_spans, PII), (secrets.secret_report, secret_spans, SECRETS)):
+        out = {r["doc_id"]: r for r in report(docs).collect()}
+        for d, text in enumerate(short):
+            want = spans(text)
+            assert out[d]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), (d, want[:3], out[d]["spans"][:80])
+            assert [out[d][f"n_{k[0]}"] for k in kinds] == [sum(s.startswith(k[0] + ":") for s in want) for k in kinds]
+    long = spark.createDataFrame(list(enumerate(runs(100_000))), "doc_id long, text string")
+    for found in (pii.base_spans(long["text"]), secrets.findings(long["text"], secrets.BASE_RULES)):
+        long.select(found).write.format("noop").mode("overwrite").save()
+    assert licenses.license_report(long).count() == len(short)
+
+
 def test_decontamination_tells_rows_apart(spark):
     """A chance candidate of one row does not replace the true window of another without an id or with the same."""
     import random

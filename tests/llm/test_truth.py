@@ -189,7 +189,7 @@ def test_spans(spark, texts):
         assert set(want) <= set(r["spans"].split(","))
 
 
-def test_ledger_scans_only_new_blobs(spark):
+def test_ledger_scans_only_new_blobs(spark, monkeypatch):
     from loomwatch.llm import secrets
     from loomwatch.llm.shared import new_path
 
@@ -197,10 +197,25 @@ def test_ledger_scans_only_new_blobs(spark):
     first = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh")], "doc_id long, text string")
     second = first.union(spark.createDataFrame([(3, "plain")], "doc_id long, text string"))
     assert secrets.secret_report(first, ledger=None).count() == 2
-    spark.createDataFrame([], "blob string, rules int, base array<struct<kind:int,start:int,end:int>>, more array<struct<kind:int,start:int,end:int>>").write.parquet(path)
     for docs, blobs in ((first, 1), (second, 2), (second, 2)):
         assert secrets.secret_report(docs, ledger=path).count() == docs.count()
         assert spark.read.parquet(path).count() == blobs
+    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(path)  # entries twice, as after a retry
+    assert secrets.secret_report(second, ledger=path).count() == 3
+    monkeypatch.setattr(secrets, "RULES_VERSION", 2)
+    assert secrets.secret_report(second, ledger=path).count() == 3
+    assert spark.read.parquet(path).groupBy("rules").count().collect().__len__() == 2
+    batches = secrets.secret_report(second.union(second), batches=3)
+    assert sorted(r["doc_id"] for r in batches.collect()) == [1, 1, 2, 2, 3, 3]
+
+
+def test_further_secrets(spark):
+    from loomwatch.llm import secrets
+
+    texts = ["use Bearer abcdefghijklmnopqrstuv now", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1B2" * 9, "postgres://user:s3cret@host/db", "bearer of news"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r["doc_id"]: {s.split(":")[0] for s in r["spans"].split(",")} for r in secrets.secret_report(docs).collect()}
+    assert kinds == {0: {"bearer"}, 1: {"jwt"}, 2: {"pem"}, 3: {"prefixed"}, 4: {"url"}, 5: {""}}
 
 
 def test_packing_round_trip(spark, texts):
