@@ -90,6 +90,21 @@ def leakage_safe_split(rows: DataFrame, held: DataFrame, capture: str = "source_
     return fit, strategy
 
 
+def split_disclosure(rows: DataFrame, fit: DataFrame, held: DataFrame, strategy: str) -> DataFrame:
+    """One row that says how a split was made: sizes by class, how each side was separated, repeated vectors in the fit."""
+    both = fit.select("is_malicious", F.lit("fit").alias("side")).unionByName(held.select("is_malicious", F.lit("held").alias("side")))
+    counts = both.agg(*[F.count_if((F.col("side") == s) & (F.col("is_malicious") == m)).alias(f"{s}_{n}") for s in ("fit", "held") for m, n in ((True, "malicious"), (False, "benign"))])
+    return counts.crossJoin(duplication(fit).select(F.col("distinct").alias("fit_vectors"), F.col("rate").alias("fit_repeated"))).withColumns({"malicious_by": F.lit("capture"), "benign_by": F.lit(strategy)})  # one row each
+
+
+def overlap(fit: DataFrame, held: DataFrame, capture: str = "source_capture_id") -> DataFrame:
+    """What fit and held-out rows share: ids, and captures of each class. All are 0 for a split by capture."""
+    ids = fit.select("id").join(held.select("id"), "id", "left_semi").agg(F.count_distinct("id").alias("ids"))
+    shared = fit.select("is_malicious", capture).join(held.select("is_malicious", capture), ["is_malicious", capture], "left_semi").distinct()
+    captures = shared.agg(F.count_if("is_malicious").alias("malicious_captures"), F.count_if(~F.col("is_malicious")).alias("benign_captures"))
+    return ids.crossJoin(captures)  # one row each
+
+
 def duplication(rows: DataFrame) -> DataFrame:
     """Share of rows whose feature vector repeats another's, and how many vectors there are."""
     vectors = rows.select(F.to_json(features(F.col("fields"), F.col("event_type"))).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))

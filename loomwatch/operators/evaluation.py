@@ -16,8 +16,14 @@ from loomwatch.functions.measures import confusion, measures, ratio, wilson, wil
 
 
 def predictions_of_verdicts(items: DataFrame, verdicts: DataFrame, id_col: str = "id") -> DataFrame:
-    """Items with the three decisions, score, confidence and parse_failed of their verdict."""
-    joined = items.join(verdicts.select(id_col, "verdict", "confidence"), id_col)
+    """Items with the three decisions, score, confidence and parse_failed of their verdict.
+
+    An item without a verdict is an error, as one of several for an item would be.
+    """
+    given = verdicts.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"))
+    joined = items.join(given, id_col, "left")
+    once = F.when(F.col("__n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("not one verdict for "), F.col(id_col).cast("string"))).cast("boolean"))
+    joined = joined.filter(once).drop("__n")
     decided = {f"pred_{p}": collapse(F.col("verdict"), p) for p in POLICIES}
     return joined.withColumns({**decided, "score": verdict_score(F.col("verdict"), F.col("confidence")), "parse_failed": F.col("verdict").isNull()})
 
@@ -60,20 +66,52 @@ def slice_report(rows: DataFrame, slices: list[str], truth: str = "is_malicious"
     return out.drop("gid", *slices)
 
 
+def full_slice_report(rows: DataFrame, slices: list[str], truth: str = "is_malicious", pred: str = "pred") -> DataFrame:
+    """``slice_report`` with class sizes, ranking areas of committed rows, coverage and selective accuracy of every slice."""
+    kinds = F.array(F.struct(F.lit("pooled").alias("slice_kind"), F.lit("all").alias("slice_value")), *[F.struct(F.lit(s).alias("slice_kind"), F.col(s).cast("string").alias("slice_value")) for s in slices])
+    by = ["policy", "slice_kind", "slice_value"]
+    spread = rows.select("policy", truth, pred, "score", F.explode(kinds).alias("k")).select("policy", truth, pred, "score", "k.*").filter("slice_value IS NOT NULL")
+    sizes = spread.groupBy(*by).agg(F.count_if(F.col(truth)).alias("n_malicious"), F.count_if(~F.col(truth)).alias("n_benign"))
+    areas = ranking(spread.filter(F.col(pred).isNotNull()), by, truth)
+    chosen = selective(spread, by, pred, truth)
+    return slice_report(rows, slices, truth, pred).join(sizes, by).join(areas, by, "left").join(chosen, by, "left")
+
+
 def technique_slices(rows: DataFrame, pred: str = "pred") -> DataFrame:
     """Metrics by technique, and those of unresolved records as a slice of their own."""
     technique = F.when(F.col("technique_unresolved"), UNRESOLVED).when(~F.col("is_malicious"), "benign").otherwise(F.coalesce("attack_technique", F.lit("unknown")))
     return metric_table(rows.withColumn("technique", technique), ["policy", "technique"], pred=pred)
 
 
+def before(rows: DataFrame, by: list[str], key: str, values: list[str], ties: list[str] | None = None, cells: int = 4096) -> DataFrame:
+    """``rows`` with ``<value>_before``: the sum of a value over the group's rows with larger keys, or equal ones that ``ties`` puts first.
+
+    A group's range of keys is cut into cells. Cells are summed up first, and a
+    window over at most ``cells`` sums shifts the sums inside each cell, so that
+    no task sorts a group whose keys are as many as its rows. Null keys come last.
+    """
+    names = [f"__by{i}" for i in range(len(by))]
+    span = rows.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)]).agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
+    same = [rows[b].eqNullSafe(F.col(n)) for b, n in zip(by, names)]
+    placed = (rows.join(span, same) if by else rows.crossJoin(F.broadcast(span))).drop(*names)  # one row
+    share = F.try_divide(F.col("__high") - F.col(key), F.col("__high") - F.col("__low"))
+    placed = placed.withColumn("__cell", F.when(F.col(key).isNull(), cells).otherwise(F.coalesce(F.least(F.floor(share * cells), F.lit(cells - 1)), F.lit(0)))).drop("__low", "__high")
+    order = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "__cell").orderBy(F.desc_nulls_last(key), *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*by, "__cell").agg(*[F.sum(v).alias(v) for v in values])
+    shifts = sums.select(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col("__cell").alias("__c"), *[F.coalesce(F.sum(v).over(order), F.lit(0)).alias(f"__s_{v}") for v in values])
+    joined = placed.withColumns({f"__i_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    joined = joined.join(shifts, [*[joined[b].eqNullSafe(F.col(n)) for b, n in zip(by, names)], joined["__cell"] == shifts["__c"]])
+    return joined.select(*rows.columns, *[(F.col(f"__i_{v}") + F.col(f"__s_{v}")).alias(f"{v}_before") for v in values])
+
+
 def ranking(rows: DataFrame, by: list[str], truth: str = "is_malicious", score: str = "score") -> DataFrame:
     """Average precision and ROC area of each group; null where a group has one class only.
 
     Ties are one threshold. Rows are first counted by distinct score.
     """
     counted = rows.groupBy(*by, score).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    sums = counted.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    sums = before(counted, by, score, ["p", "n"]).withColumns({"tp": F.col("p_before") + F.col("p"), "fp": F.col("n_before") + F.col("n")})
     points = sums.groupBy(*by).agg(
         F.sum("p").alias("pos"),
         F.sum("n").alias("neg"),
@@ -93,7 +131,9 @@ def reliability_bins(rows: DataFrame, confidence: Column, correct: Column, bins:
         raise ValueError("bins must be at least 1")
     inside = (F.col("c") >= 0) & (F.col("c") <= 1)
     placed = rows.select(confidence.cast("double").alias("c"), correct.alias("ok")).filter("c IS NOT NULL AND ok IS NOT NULL")
-    placed = placed.withColumn("bin", F.when(inside, F.least(F.floor(F.col("c") * bins), F.lit(bins - 1)).cast("int")))
+    near = F.floor(F.col("c") * bins)  # rounding may put a value beside its bin, so the edges decide
+    near = F.when(F.col("c") < near / bins, near - 1).when(F.col("c") >= (near + 1) / bins, near + 1).otherwise(near)
+    placed = placed.withColumn("bin", F.when(inside, F.least(near, F.lit(bins - 1)).cast("int")))
     counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean_confidence"), F.avg(F.col("ok").cast("double")).alias("accuracy"))
     total = counts.agg(F.sum("n").alias("total"))
     grid = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), (F.col("id") / bins).alias("low"), ((F.col("id") + 1) / bins).alias("high"))
@@ -128,8 +168,7 @@ def risk_coverage(rows: DataFrame, position: str, pred: str = "pred", truth: str
     )
     inside = Window.partitionBy("c", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     blocks = kept.groupBy("c", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("s"))
-    before = Window.orderBy(F.desc("c"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = blocks.select("c", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
+    shifts = before(blocks, [], "c", ["n", "s"], ["block"]).select("c", "block", F.col("n_before").alias("n0"), F.col("s_before").alias("s0"))
     run = kept.select("c", "block", F.row_number().over(inside).alias("k"), F.sum("ok").over(inside).alias("s")).join(shifts, ["c", "block"])
     k, s = F.col("k") + F.col("n0"), F.col("s") + F.col("s0")
     return run.join(F.broadcast(total)).select(k.cast("long").alias("k"), (k / F.col("total")).alias("coverage"), (1 - s / k).alias("risk"))

@@ -34,21 +34,28 @@ def shared_keys(rows: DataFrame, event: str = "event_code") -> DataFrame:
     return key_sides(rows, event).filter(F.col("malicious") & F.col("benign") & ~F.col("key").isin(UNMAPPABLE_KEYS)).select(event, "key")
 
 
-def key_parity(rows: DataFrame, event: str = "event_code") -> DataFrame:
-    """Keys of one side only, without those that are documented as such."""
+def key_parity(rows: DataFrame, event: str | list[str] = "event_code") -> DataFrame:
+    """Keys of one side only, without those that are documented as such; by event, or by channel and event."""
     allowed = COLLECTOR_KEYS + VERSION_KEYS
-    odd = key_sides(rows, event).filter((F.col("malicious") != F.col("benign")) & ~F.col("key").isin(allowed))
-    return odd.select(event, "key", F.when(F.col("malicious"), "malicious").otherwise("benign").alias("side"))
+    by = [event] if isinstance(event, str) else event
+    keys = rows.select(*by, "is_malicious", F.explode(F.map_keys("fields")).alias("key")).groupBy(*by, "key").agg(*sides(by))
+    odd = keys.filter((F.col("malicious") != F.col("benign")) & ~F.col("key").isin(allowed))
+    return odd.select(*by, "key", F.when(F.col("malicious"), "malicious").otherwise("benign").alias("side"))
 
 
 def restrict_fields(rows: DataFrame, event: str = "event_code") -> DataFrame:
-    """Rows of shared events, with exactly the event's shared keys, in one spelling; missing ones are null.
+    """Rows of shared events, with exactly the event's shared keys, in one spelling; missing ones are null."""
+    return with_fields(rows, shared_fields(rows, event), event)
 
-    The shared keys of an event are a few names, so that table has a row per
-    event and Spark decides by its size whether to broadcast it.
-    """
+
+def shared_fields(rows: DataFrame, event: str = "event_code") -> DataFrame:
+    """(__event, __keys): a row for each shared event, with its shared keys in order."""
     keys = shared_keys(rows, event).groupBy(event).agg(F.array_sort(F.collect_set("key")).alias("__keys"))
-    events = shared_events(rows, event).join(keys, event, "left").select(F.col(event).alias("__event"), F.coalesce("__keys", F.array().cast("array<string>")).alias("__keys"))
+    return shared_events(rows, event).join(keys, event, "left").select(F.col(event).alias("__event"), F.coalesce("__keys", F.array().cast("array<string>")).alias("__keys"))
+
+
+def with_fields(rows: DataFrame, events: DataFrame, event: str = "event_code") -> DataFrame:
+    """Rows of the given events with exactly their keys. A row for each event: Spark decides by its size whether to broadcast it."""
     joined = rows.join(events, rows[event].eqNullSafe(F.col("__event")))
     values = F.transform("__keys", lambda k: canonical(F.col("fields")[k]))
     return joined.withColumn("fields", F.map_from_arrays("__keys", values)).drop("__keys", "__event")
@@ -66,9 +73,13 @@ def cap_quota(rows: DataFrame, ratio: float = 1.5, event: str = "event_code") ->
 
 
 def restrict_to_shared_support(rows: DataFrame, ratio: float = 1.5, seed: int = 20260818, event: str = "event_code") -> DataFrame:
-    """Shared events and keys only, with the class ratio of every event capped."""
-    same = restrict_fields(rows, event)
-    return take_quota(same, cap_quota(same, ratio, event), [event, "is_malicious"], seed)
+    """Shared events and keys only, with the class ratio of every event capped.
+
+    The rows are drawn first, by event, class and id alone, and only those that
+    stay have their fields brought into one spelling.
+    """
+    kept = take_quota(rows, cap_quota(rows, ratio, event), [event, "is_malicious"], seed)
+    return with_fields(kept, shared_fields(rows, event), event)
 
 
 def neutralize_times(rows: DataFrame, capture: str = "source_capture_id") -> DataFrame:

@@ -97,10 +97,11 @@ def parse_verdicts(rows: DataFrame, response: str = "response") -> DataFrame:
     return parsed.withColumns({**kept, "parse_failed": ~good, "fail_kind": kind}).drop("__v")
 
 
-def score_batch(rows: DataFrame, call: Callable[[list[str]], list[str | None]], id_col: str = "id", concurrency: int | None = None) -> DataFrame:
+def score_batch(rows: DataFrame, call: Callable[[list[str]], list[str | None]], id_col: str = "id", concurrency: int | None = None, stop_on_error: bool = False) -> DataFrame:
     """Verdicts from a function of prompts to responses; a failure is a null response.
 
-    ``concurrency`` is how many tasks may call at once.
+    ``concurrency`` is how many tasks may call at once. With ``stop_on_error`` a
+    failure or an unreadable verdict ends the job.
     """
     asked = prompts(rows).select(id_col, "prompt")
     if concurrency:
@@ -111,7 +112,11 @@ def score_batch(rows: DataFrame, call: Callable[[list[str]], list[str | None]],
             yield pd.DataFrame({id_col: batch[id_col], "response": call(batch["prompt"].tolist())})
 
     kind = dict(asked.dtypes)[id_col]
-    return parse_verdicts(asked.mapInPandas(run, f"{id_col} {kind}, response string"))
+    parsed = parse_verdicts(asked.mapInPandas(run, f"{id_col} {kind}, response string"))
+    if stop_on_error:
+        good = F.when(~F.col("parse_failed"), True).otherwise(F.raise_error(F.concat(F.lit("no verdict for "), F.col(id_col).cast("string"))).cast("boolean"))
+        parsed = parsed.filter(good)
+    return parsed
 
 
 def as_predictions(rows: DataFrame, system: str) -> DataFrame:

@@ -38,17 +38,17 @@ def bucket_events(rows: DataFrame) -> DataFrame:
     """Counts of each event code in both buckets, 0 where a bucket has none."""
     sides = [rows.filter(F.col("bucket") == b).groupBy("event_code").agg(F.count(F.lit(1)).alias(short)) for b, short in (("context_rich", "rich"), ("context_poor", "poor"))]
     both = sides[0].join(sides[1], "event_code", "full_outer")
-    return both.select("event_code", F.coalesce("rich", F.lit(0)).alias("rich"), F.coalesce("poor", F.lit(0)).alias("poor"))
+    return both.select("event_code", F.coalesce("rich", F.lit(0)).alias("rich"), F.coalesce("poor", F.lit(0)).alias("poor")).orderBy(F.desc(F.col("rich") + F.col("poor")), "event_code")
 
 
-def systems(sample: DataFrame, fit: DataFrame, verdicts: DataFrame, rate: float, seed: int = SEED) -> DataFrame:
+def systems(sample: DataFrame, fit: DataFrame, verdicts: DataFrame, rate: float, seed: int = SEED, max_iter: int = 1000) -> DataFrame:
     """Predictions of the verdicts and of four baselines for the same items, in one long table."""
     out = evaluation.predictions_of_verdicts(sample, verdicts).withColumn("system", F.lit("verdicts")).select(*_COLUMNS)
     baselines = {
         "majority": scorers.majority(sample),
         "random": scorers.stratified_random(sample, rate, seed),
         "rules": scorers.rules(sample),
-        "classical": scorers.classical(fit, sample, max_iter=20),
+        "classical": scorers.classical(fit, sample, max_iter=max_iter),
     }
     for name, scored in baselines.items():
         out = out.unionByName(scorers.as_predictions(scored, name).select(*_COLUMNS))
@@ -85,12 +85,12 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
         table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def evaluate(rows: DataFrame, verdicts: DataFrame, size: int = 1925, fraction: float = 0.2, seed: int = SEED, pool: DataFrame | None = None) -> dict[str, DataFrame]:
+def evaluate(rows: DataFrame, verdicts: DataFrame, size: int = 1925, fraction: float = 0.2, seed: int = SEED, pool: DataFrame | None = None, max_iter: int = 1000) -> dict[str, DataFrame]:
     """Sample (from ``pool``, if some captures are to be fitted on only), fit without leakage, score with all systems, and report."""
     sample = sampling.eval_sample(rows if pool is None else pool, "event_code", size, fraction, seed).cache()
     fit, _ = corpus.leakage_safe_split(rows, sample)
     rate = base_rate(sample).first()["rate"]
-    return report(systems(sample, fit, verdicts, rate, seed))
+    return report(systems(sample, fit, verdicts, rate, seed, max_iter))
 
 
 def context_experiment(rows: DataFrame, verdicts: DataFrame, size: int = 1925, seed: int = CONTEXT_SEED, replicates: int = 10_000) -> DataFrame:
@@ -100,6 +100,8 @@ def context_experiment(rows: DataFrame, verdicts: DataFrame, size: int = 1925, s
     scored = evaluation.predictions_of_verdicts(sample, verdicts).withColumn("pred", F.col("pred_conservative"))
     table = evaluation.metric_table(scored, ["bucket"]).select("bucket", "tp", "fp", "fn", "tn", "mcc")
     cells = {r["bucket"]: [r["tp"], r["fp"], r["fn"], r["tn"]] for r in table.collect()}  # two rows
+    if missing := {"context_rich", "context_poor"} - cells.keys():
+        raise ValueError(f"no rows in {', '.join(sorted(missing))}")
     gap = significance.mcc_difference_interval(spark, cells["context_rich"], cells["context_poor"], replicates, seed=seed)
     return table.join(F.broadcast(gap.withColumn("outcome", significance.verdict_on_difference(F.col("low"), F.col("high")))))  # one row
 

@@ -35,8 +35,8 @@ _CANON = r"""
                  ELSE CAST(CAST(trim(val) AS HUGEINT) AS VARCHAR) END
          WHEN regexp_matches(trim(val), '^0[xX][0-9a-fA-F]{1,16}$') THEN CAST(CAST(lower(trim(val)) AS UBIGINT) AS VARCHAR)
          ELSE trim(val) END"""
-_ALERTS = f"WITH alerts AS ({views.alerts_sql(False)})"
-_WITH_KV = f"{_ALERTS}, kv AS ({_KV})"
+_ALERTS = f"WITH alerts AS MATERIALIZED ({views.alerts_sql(False)})"
+_WITH_KV = f"{_ALERTS}, kv AS MATERIALIZED ({_KV})"
 _VERDICTS = f"""{_ALERTS}, v AS ({views.verdicts_sql(False)}),
     preds AS (SELECT a.*, v.verdict, v.confidence, v.verdict IS NULL AS parse_failed,
         CASE v.verdict WHEN 'malicious' THEN true WHEN 'benign' THEN false WHEN 'suspicious' THEN true END AS pred_conservative,
@@ -300,7 +300,7 @@ def assemble_corpus_counts(spark, sf):
 )
 def leakage_safe_split(spark, sf):
     rows = views.alerts(spark, sf)
-    held = sampling.eval_sample(rows, "event_code", size=400).filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1"))
+    held = sampling.eval_sample(rows, "event_code", size=1925).filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1"))
     fit, _ = corpus.leakage_safe_split(rows, held)
     return fit.groupBy("is_malicious").agg(F.count(F.lit(1)).alias("n"))
 
@@ -574,9 +574,9 @@ def unpaired_bootstrap(spark, sf):
 @_query("classical_ml")
 def classical_ml(spark, sf):
     rows = views.alerts(spark, sf)
-    held = sampling.eval_sample(rows, "event_code", size=400).filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1"))
+    held = sampling.eval_sample(rows, "event_code", size=1925).filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1"))
     fit, _ = corpus.leakage_safe_split(rows, held)
-    scored = scorers.classical(fit, held, max_iter=20)
+    scored = scorers.classical(fit, held, max_iter=1000)
     return evaluation.metric_table(scored, [])
 
 
@@ -655,7 +655,7 @@ def text_rules(spark, sf):
 def _evaluated(spark, sf) -> dict[str, DataFrame]:
     rows = views.alerts(spark, sf)
     pool = rows.filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1"))
-    return experiments.evaluate(rows, views.verdicts(spark, sf), size=400, pool=pool)
+    return experiments.evaluate(rows, views.verdicts(spark, sf), pool=pool)
 
 
 @_query("evaluation_report")

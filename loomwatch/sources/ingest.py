@@ -4,6 +4,8 @@ Raw events are one JSON object per line, kept as text and as a map of variants.
 ``normalise_*`` give the alert schema. A record's index, which its id is made
 of, counts the events of a capture by file and by place in the file; the place
 comes from byte order within a file, kept by reading a file's lines in order.
+Events that bring an ``index`` of their own, as those of a stream with offsets
+do, keep it: normalisation is then stateless and runs on streams as well.
 """
 
 from __future__ import annotations
@@ -88,7 +90,8 @@ def with_index(rows: DataFrame, start: int = 0) -> DataFrame:
 
 def _records(rows: DataFrame, dataset: str, labels: dict[str, Column], start: int = 0) -> DataFrame:
     raw = F.col("raw")
-    rows = classify_events(with_index(rows, start), text_of(raw, "Channel"), text_of(raw, "EventID"))
+    rows = rows if "index" in rows.columns else with_index(rows, start)
+    rows = classify_events(rows, text_of(raw, "Channel"), text_of(raw, "EventID"))
     types = F.transform_values(raw, lambda k, v: F.schema_of_variant(v))
     values = F.transform_values(raw, lambda k, v: v.cast("string"))
     out = rows.withColumns(

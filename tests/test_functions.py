@@ -168,3 +168,38 @@ def test_poisson_bootstrap(spark):
     rows = spark.range(2000).withColumn("x", (F.col("id") % 2).cast("double"))
     out = significance.poisson_bootstrap(rows, lambda w: F.sum(F.col("x") * w) / F.sum(w), 20)
     assert out.agg(F.avg("value")).first()[0] == pytest.approx(0.5, abs=0.03)
+
+
+def test_sums_before_distinct_keys(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.rand(5) - 0.5).alias("s"), (F.col("id") % 2 == 0).alias("is_malicious"), F.lit(1).alias("v"))
+    rows = rows.withColumn("g", F.when(F.col("g") > 0, F.col("g"))).cache()
+    got = evaluation.before(rows, ["g"], "s", ["v"], cells=16).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: -r["s"]):
+        assert r["v_before"] == by.get(r["g"], 0)
+        by[r["g"]] = r["v_before"] + 1
+    assert sum(by.values()) == 5000
+
+
+def test_bins_go_by_their_edges(spark):
+    rows = spark.createDataFrame([(k / 100, True) for k in range(101)], "c double, ok boolean")
+    out = {r["bin"]: r["n"] for r in evaluation.reliability_bins(rows, F.col("c"), F.col("ok"), 100).collect()}
+    assert out == {**dict.fromkeys(range(99), 1), 99: 2}
+
+
+def test_every_item_needs_one_verdict(spark):
+    items = spark.createDataFrame([("a", True), ("b", False)], "id string, is_malicious boolean")
+    verdicts = spark.createDataFrame([("a", "malicious", 0.9)], "id string, verdict string, confidence double")
+    with pytest.raises(Exception, match="not one verdict for b"):
+        evaluation.predictions_of_verdicts(items, verdicts).collect()
+    assert evaluation.predictions_of_verdicts(items.filter("id = 'a'"), verdicts).count() == 1
+
+
+def test_split_says_how_it_was_made(spark):
+    rows = spark.createDataFrame([(str(k), k % 5 == 0, f"c{k % 10}", "process", {"EventID": str(k % 3)}) for k in range(100)], "id string, is_malicious boolean, source_capture_id string, event_type string, fields map<string,string>")
+    held = rows.filter("source_capture_id IN ('c0', 'c1')")
+    fit, strategy = corpus.leakage_safe_split(rows, held)
+    said = corpus.split_disclosure(rows, fit, held, strategy).first()
+    assert (said["fit_malicious"], said["fit_benign"], said["held_malicious"], said["held_benign"], said["benign_by"]) == (10, 70, 10, 10, "capture")
+    assert corpus.overlap(fit, held).first().asDict() == {"ids": 0, "malicious_captures": 0, "benign_captures": 0}
+    assert corpus.overlap(rows, held).first()["ids"] == 20

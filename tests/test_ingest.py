@@ -89,3 +89,16 @@ def test_verdict_log_and_stream(spark, tmp_path):
         incremental.score_stream(stream, score, out, str(tmp_path / "ck")).awaitTermination(60)
         spark.createDataFrame([("b",), ("c",)], "id string").write.mode("append").parquet(str(arrive))
     assert sorted(r["record_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_normalise_a_stream(spark, tmp_path):
+    """Events with offsets of their own are normalised as a stream, with the records of a batch."""
+    lines = [json.dumps({"EventID": e, "Channel": "Security", "EventTime": "2022-04-04 10:00:00", "Hostname": "H"}) for e in (4624, 4688, 1)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    shape = lambda df: df.select(F.col("value").alias("raw_json"), F.from_json("value", "map<string,variant>").alias("raw"), F.length("value").cast("long").alias("index"))
+    stream = ingest.normalise_benign(shape(spark.readStream.text(str(tmp_path / "in"))), "cap", "set", known_only=False).select("id", "event_type", "timestamp")
+    query = stream.writeStream.format("memory").queryName("normalised").option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    batch = ingest.normalise_benign(shape(spark.read.text(str(tmp_path / "in"))), "cap", "set", known_only=False).select("id", "event_type", "timestamp")
+    assert sorted(map(tuple, spark.table("normalised").collect())) == sorted(map(tuple, batch.collect())) and batch.count() == 3
