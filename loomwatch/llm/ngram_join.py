@@ -245,7 +245,21 @@ class Links:
         #: row, doc_id, th, n and node: the first row with the same set, the own row for empty sets
         self.rows = slim.join(classes, ["f1", "f2", "n"], "left").select("row", "doc_id", "th", "n", F.coalesce("node", "row").alias("node"))
         #: one row for each class
-        self.classes = self.profile.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+        self.names = classes.select("node")
+        self.classes = self._of_classes(self.profile.drop("prefix"))
+        # Most tokens of prefixes are in one class alone; they go before prefixes are moved about.
+        found = self.profile.select("f1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"))
+        thin = filtered_lists(Bitmap(stored(found.filter("lo <> hi").select("token"), "ngram-shared"), "token"))
+        whole = self.profile.select("row", "n", "keys", "prefix")
+
+        def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], thin(batch.column(3))], names=batch.schema.names)
+
+        self.prefixes = self._of_classes(whole.mapInArrow(thinned, whole.schema))
+
+    def _of_classes(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.names.withColumnRenamed("node", "row"), "row", "left_semi").withColumnRenamed("row", "node")
 
     def opened(self, work: DataFrame, inner: bool, name: str) -> DataFrame:
         """Edges from blocks (node, key, part, share, query, pure), with the texts of their sets."""
@@ -261,7 +275,7 @@ class Links:
         counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
         best = keyed.join(counts, "key").groupBy("node").agg(F.max(F.struct("members", "key")).alias("best"))
         return stored(
-            self.classes.select("node", "n", F.col("keys")[0].alias("own"), "prefix")
+            self.prefixes.select("node", "n", F.col("keys")[0].alias("own"), "prefix")
             .join(best, "node", "left")
             .select("node", "n", F.coalesce("best.key", "own").alias("key"), F.coalesce("best.members", F.lit(1)).alias("members"), "prefix"),
             "ngram-groups",
@@ -316,14 +330,7 @@ class Links:
         apart = F.when(F.col("pure"), F.col("key")).otherwise(F.col("g"))
         tokens = reps.select(apart.alias("g"), F.explode("prefix").alias("token")).groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
         tokens = stored(tokens.filter("lo <> hi").select("token"), "ngram-tokens")
-        thin = filtered_lists(Bitmap(tokens, "token"))
-        named = reps.select("node", "n", "key", "part", "pure", "g", "prefix")
-
-        def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:6], thin(batch.column(6))], names=batch.schema.names)
-
-        cells = named.mapInArrow(thinned, named.schema).select("node", "n", "key", "part", "pure", "g", F.explode("prefix").alias("token"))
+        cells = reps.select("node", "n", "key", "part", "pure", "g", F.explode("prefix").alias("token"))
         cells = stored(cells.join(tokens, "token", "left_semi"), "ngram-cells")
         to = cells.groupBy("token", F.col("key").alias("to_key"), F.col("part").alias("to_part"), F.col("pure").alias("to_pure"), F.col("g").alias("to_g")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
         # one direction: from lone sets to linked clusters, else by the order of blocks; a cluster doesn't ask itself
