@@ -186,6 +186,44 @@ def duplication_stats(spark, sf):
     return corpus.duplication(views.alerts(spark, sf))
 
 
+# --- event files -----------------------------------------------------------
+
+_CHANNEL = "CASE user_id % 3 WHEN 0 THEN 'Microsoft-Windows-Sysmon/Operational' WHEN 1 THEN 'Security' ELSE 'Application' END"
+_MOMENT = "concat('2019-03-', lpad(CAST(1 + k % 28 AS STRING), 2, '0'), ' 10:00:', lpad(CAST(k % 60 AS STRING), 2, '0'))"
+_RAW = f"""concat('{{"EventID":', CAST(event_code AS STRING), ',"Channel":"', {_CHANNEL}, '","Hostname":"', source_host, '","EventTime":"', {_MOMENT}, '","RecordNumber":', CAST(event_id AS STRING), '}}')"""
+_COMPOUND = ["cap-5", "cap-6"]
+_MAPPING = """array(named_struct('technique', concat('T101', substr(id, 5)), 'sub-technique', '001', 'tactics', array('TA0002'))) AS attack_mappings,
+    array(named_struct('type', 'Host', 'link', concat('https://example.org/x/', id, '.json'))) AS files"""
+
+
+@_query(
+    "normalise_records",
+    f"""{_ALERTS}, types AS ({_TYPES}),
+    e AS (SELECT event_id, event_code, source_host, is_malicious, source_capture_id AS file, {_RAW} AS raw_json, {_CHANNEL} AS channel, {_MOMENT} AS moment,
+        CASE WHEN NOT is_malicious THEN 'benign' WHEN source_capture_id IN ({_quote(_COMPOUND)}) THEN 'compound' ELSE 'single' END AS source_dataset FROM alerts),
+    c AS (SELECT e.*, t.event_type, CASE source_dataset WHEN 'single' THEN file ELSE source_dataset END AS source_capture_id
+        FROM e LEFT JOIN types t ON t.channel = lower(e.channel) AND t.code = e.event_code WHERE is_malicious OR t.code IS NOT NULL),
+    n AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_dataset, source_capture_id ORDER BY file, event_id) - 1 AS VARCHAR) AS i FROM c)
+    SELECT concat_ws(':', source_dataset, source_capture_id, i, substr(sha256(concat_ws(':', source_capture_id, i, raw_json)), 1, 16)) AS id, moment, source_host, coalesce(event_type, 'other') AS event_type,
+        source_dataset, source_capture_id, is_malicious, CASE source_dataset WHEN 'single' THEN 'T101' || substr(source_capture_id, 5) WHEN 'compound' THEN '{C.UNRESOLVED}' END AS attack_technique,
+        source_dataset = 'compound' AS technique_unresolved, CAST(event_id AS VARCHAR) AS record_number FROM n""",
+)
+def normalise_records(spark, sf):
+    rows = views.alerts(spark, sf).withColumn("raw_json", F.expr(_RAW))
+    raw = F.from_json("raw_json", "map<string,variant>", {"mode": "FAILFAST"})
+    lines = [F.concat(F.lit("events/"), "source_capture_id", F.lit(".json")).alias("file"), F.floor(F.col("event_id") / 10_000).alias("block"), F.col("event_id").alias("line"), "raw_json", raw.alias("raw")]
+    compound = F.col("source_capture_id").isin(_COMPOUND)
+    metadata = rows.filter(F.col("is_malicious") & ~compound).select(F.col("source_capture_id").alias("id")).distinct().selectExpr("id", *_MAPPING.split(",\n"))
+    events = rows.filter("is_malicious").select(*lines)
+    parts = [
+        ingest.normalise_single(events, metadata, "single"),
+        ingest.normalise_compound(rows.filter(F.col("is_malicious") & compound).select(*lines), "compound", "compound"),
+        ingest.normalise_benign(rows.filter(~F.col("is_malicious")).select(*lines), "benign", "benign"),
+    ]
+    kept = ["source_host", "event_type", "source_dataset", "source_capture_id", "is_malicious", "attack_technique", "technique_unresolved"]
+    return ingest.load_corpus(*parts).select("id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("moment"), *kept, F.col("fields")["RecordNumber"].alias("record_number"))
+
+
 # --- leakage ---------------------------------------------------------------
 
 _SHARED = "events2 AS (SELECT event_code FROM alerts GROUP BY 1 HAVING bool_or(is_malicious) AND bool_or(NOT is_malicious))"
@@ -210,6 +248,15 @@ def key_parity(spark, sf):
     return leakage.key_parity(views.alerts(spark, sf))
 
 
+@_query(
+    "key_parity_by_channel",
+    f"""{_WITH_KV}, sides AS (SELECT a."f_Channel" AS channel, a.event_code AS event_code, kv.key AS key, bool_or(a.is_malicious) AS m, bool_or(NOT a.is_malicious) AS b FROM kv JOIN alerts a ON a.id = kv.id GROUP BY 1, 2, 3)
+    SELECT channel, event_code, key, CASE WHEN m THEN 'malicious' ELSE 'benign' END AS side FROM sides WHERE m <> b AND key NOT IN ({_quote(C.COLLECTOR_KEYS + C.VERSION_KEYS)})""",
+)
+def key_parity_by_channel(spark, sf):
+    return leakage.key_parity(views.alerts(spark, sf).withColumn("channel", F.col("fields")["Channel"]), ["channel", "event_code"])
+
+
 _QUOTAS = f"""{_SHARED}, caps AS (SELECT event_code, CAST(floor(least(count(*) FILTER (is_malicious), count(*) FILTER (NOT is_malicious)) * 1.5) AS BIGINT) AS cap FROM alerts GROUP BY 1),
     kept AS (SELECT a.*, row_number() OVER (PARTITION BY a.event_code, is_malicious ORDER BY md5(id || ':{SEED}'), id) AS r, cap
              FROM alerts a JOIN events2 USING (event_code) JOIN caps USING (event_code)),
@@ -294,7 +341,7 @@ def assemble_corpus_counts(spark, sf):
 
 @_query(
     "leakage_safe_split",
-    f"""{_EVAL.replace("THEN 385 ELSE 1540", "THEN 80 ELSE 320")}, held AS (SELECT * FROM sample WHERE NOT is_malicious OR source_capture_id IN ('cap-0', 'cap-1'))
+    f"""{_EVAL}, held AS (SELECT * FROM sample WHERE NOT is_malicious OR source_capture_id IN ('cap-0', 'cap-1'))
     SELECT is_malicious, count(*) AS n FROM alerts a WHERE CASE WHEN is_malicious THEN source_capture_id NOT IN (SELECT source_capture_id FROM held WHERE is_malicious)
         ELSE id NOT IN (SELECT id FROM held) END GROUP BY 1""",
 )
@@ -528,9 +575,22 @@ def shortcut_audit_keys(spark, sf):
     return rows.select("key", F.round("accuracy", 6).alias("accuracy"), (F.col("accuracy") >= audit.THRESHOLD).alias("flagged"))
 
 
-@_query("shortcut_audit")
+@_query(
+    "shortcut_audit",
+    f"""{_WITH_KV}, {_SHARED}, sizes AS (SELECT id, count(*) AS fields FROM kv GROUP BY 1), a AS (SELECT x.*, coalesce(fields, 0) AS fields FROM alerts x LEFT JOIN sizes USING (id)),
+    whole AS (SELECT 'year' AS name, CAST(year(ts) AS VARCHAR) AS f, is_malicious FROM a UNION ALL SELECT 'field_count', CAST(fields AS VARCHAR), is_malicious FROM a
+        UNION ALL SELECT 'event', CAST(event_code AS VARCHAR), is_malicious FROM a UNION ALL SELECT 'event_field_count', concat_ws('/', event_code, fields), is_malicious FROM a SEMI JOIN events2 USING (event_code)),
+    single AS (SELECT name, f, count(*) FILTER (is_malicious) AS m, count(*) FILTER (NOT is_malicious) AS b FROM whole GROUP BY 1, 2),
+    valued AS (SELECT 'time_prefix' AS name, key, substr(val, 1, 4) AS f, is_malicious FROM kv WHERE key IN ({_quote(C.TIME_KEYS)})
+        UNION ALL SELECT 'value_type', key, CASE WHEN regexp_full_match(val, '[+-]?[0-9]+') THEN 'number' WHEN regexp_full_match(val, '0[xX][0-9a-fA-F]+') THEN 'hex' ELSE 'text' END, is_malicious FROM kv),
+    c AS (SELECT name, key, f, count(*) FILTER (is_malicious) AS m, count(*) FILTER (NOT is_malicious) AS b FROM valued GROUP BY 1, 2, 3),
+    k AS (SELECT name, key, sum(m) AS m, sum(b) AS b, sum(greatest(m, b)) AS best FROM c GROUP BY 1, 2), t AS (SELECT count(*) FILTER (is_malicious) AS tm, count(*) FILTER (NOT is_malicious) AS tb FROM alerts),
+    o AS (SELECT name, '' AS key, CAST(sum(m + b) AS BIGINT) AS n, sum(greatest(m, b)) / sum(m + b) AS accuracy FROM single GROUP BY 1
+        UNION ALL SELECT name, key, tm + tb, (best + greatest(tm - m, tb - b)) / (tm + tb) FROM k, t)
+    SELECT name AS "check", key, n, round(accuracy, 6) AS accuracy, accuracy >= {audit.THRESHOLD} AS flagged FROM o""",
+)
 def shortcut_audit(spark, sf):
-    return audit.shortcut_audit(views.alerts(spark, sf))
+    return _rounded(audit.shortcut_audit(views.alerts(spark, sf)))
 
 
 def _pairs(spark, sf) -> DataFrame:

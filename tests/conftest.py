@@ -27,17 +27,16 @@ def spark():
 
 @pytest.fixture(scope="session")
 def compare():
-    """Run SQL in DuckDB on the small tables and compare its rows with a DataFrame's."""
+    """Run SQL in DuckDB on the tables of a folder and compare its rows with a DataFrame's."""
     import duckdb
 
-    con = duckdb.connect()
-    for path in Path(SF).glob("*.parquet"):
-        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
-
     def rows(pdf, columns):
         return sorted(map(tuple, pdf[columns].astype(object).where(pdf[columns].notna(), None).values.tolist()), key=repr)
 
-    def check(df, sql):
+    def check(df, sql, sf=SF):
+        con = duckdb.connect()
+        for path in Path(sf).glob("*.parquet"):
+            con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
         ours, theirs = df.toPandas(), con.sql(sql).df()
         columns = sorted(ours.columns)
         assert columns == sorted(theirs.columns)
