@@ -352,6 +352,19 @@ def leakage_safe_split(spark, sf):
     return fit.groupBy("is_malicious").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query(
+    "split_overlap",
+    f"""{_ALERTS}, held AS (SELECT * FROM alerts WHERE source_capture_id IN ('cap-0', 'cap-1') OR (NOT is_malicious AND user_id % 10 = 0)),
+    fit AS (SELECT * FROM alerts WHERE CASE WHEN is_malicious THEN source_capture_id NOT IN ('cap-0', 'cap-1') ELSE id NOT IN (SELECT id FROM held) END)
+    SELECT (SELECT count(*) FROM fit SEMI JOIN held USING (id)) AS ids, (SELECT count(DISTINCT source_capture_id) FROM fit SEMI JOIN held USING (source_capture_id, is_malicious) WHERE is_malicious) AS malicious_captures,
+        (SELECT count(DISTINCT source_capture_id) FROM fit SEMI JOIN held USING (source_capture_id, is_malicious) WHERE NOT is_malicious) AS benign_captures""",
+)
+def split_overlap(spark, sf):
+    rows = views.alerts(spark, sf).drop("fields")
+    held = rows.filter(F.col("source_capture_id").isin("cap-0", "cap-1") | (~F.col("is_malicious") & (F.col("user_id") % 10 == 0)))
+    return corpus.overlap(corpus.leakage_safe_split(rows, held)[0], held)
+
+
 # --- verdicts and scorers --------------------------------------------------
 
 
@@ -514,6 +527,28 @@ def slice_report_grouping_sets(spark, sf):
     return _rounded(evaluation.slice_report(_long(spark, sf), ["event_code", "event_type"]))
 
 
+_KINDS = """kinds AS (SELECT policy, 'pooled' AS slice_kind, 'all' AS slice_value, is_malicious, pred, score FROM long
+        UNION ALL SELECT policy, 'event_type', event_type, is_malicious, pred, score FROM long)"""
+
+
+@_query(
+    "full_slice_report",
+    f"""{_VERDICTS}, {_KINDS},
+    c AS (SELECT policy, slice_kind, slice_value, {_COUNTS} FROM kinds WHERE pred IS NOT NULL GROUP BY 1, 2, 3),
+    sizes AS (SELECT policy, slice_kind, slice_value, count(*) FILTER (is_malicious) AS n_malicious, count(*) FILTER (NOT is_malicious) AS n_benign, count(*) AS n, count(pred) AS committed,
+        round(count(pred) / count(*), 6) AS coverage, round(avg((pred = is_malicious)::INTEGER), 6) AS selective_accuracy FROM kinds GROUP BY 1, 2, 3),
+    d AS (SELECT policy, slice_kind, slice_value, score, count(*) FILTER (is_malicious) AS p, count(*) FILTER (NOT is_malicious) AS q FROM kinds WHERE pred IS NOT NULL GROUP BY 1, 2, 3, 4),
+    s AS (SELECT *, sum(p) OVER w AS tps, sum(q) OVER w AS fps FROM d WINDOW w AS (PARTITION BY policy, slice_kind, slice_value ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+    areas AS (SELECT policy, slice_kind, slice_value, CASE WHEN sum(p) > 0 AND sum(q) > 0 THEN round(sum(p * tps / (tps + fps)::DOUBLE) / sum(p), 6) END AS pr_auc,
+        CASE WHEN sum(p) > 0 AND sum(q) > 0 THEN round(sum(q::DOUBLE * (tps - p / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(q)), 6) END AS roc_auc FROM s GROUP BY 1, 2, 3)
+    SELECT policy, slice_kind, slice_value, tp, fp, fn, tn, {_MEASURES}, {_wilson_sql('tp', 'tp + fn', 'recall')}, {_wilson_sql('tp', 'tp + fp', 'precision')}, {_wilson_sql('fp', 'fp + tn', 'fpr')},
+        n_malicious, n_benign, pr_auc, roc_auc, n, committed, coverage, selective_accuracy
+    FROM c JOIN sizes USING (policy, slice_kind, slice_value) JOIN areas USING (policy, slice_kind, slice_value)""",
+)
+def full_slice_report(spark, sf):
+    return _rounded(evaluation.full_slice_report(_long(spark, sf), ["event_type"]))
+
+
 @_query(
     "technique_and_sentinel",
     f"""{_VERDICTS}, c AS (SELECT policy, CASE WHEN technique_unresolved THEN '{C.UNRESOLVED}' WHEN NOT is_malicious THEN 'benign' ELSE coalesce(attack_technique, 'unknown') END AS technique, {_COUNTS}
