@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get(_SETTING, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(_SETTING, path)
     return path.rstrip("/")
