@@ -1,22 +1,23 @@
 """Licence detection with a positional index of rare words.
 
-Templates are licence phrases and headers. The corpus gives each licence word
-its document frequency; a template is looked up by its word of highest IDF, and
-its next rarest words are expected at fixed distances from that one. For every
-occurrence of such a word in a file the index gives the template and the place
-where the template would begin; the postings of the other rare words vote for
-the same beginning, and what has enough votes is verified: the template's
-mandatory key phrase must stand there word for word.
-
-How it runs: built-in functions only, row by row. Texts without any licence
-word skip everything but the word count. The only shuffle is that of the
-document frequencies, which are as many as the templates have words.
+Templates are texts of licences and their notices. The corpus gives each licence
+word its document frequency, and the index has a posting (template, offset) for
+every one of a template's words of highest IDF. A file looks up those of its
+words that the index has; every posting votes for the place where its template
+would begin. Places with enough votes are verified: the template's mandatory key
+phrase must stand there word for word.
+
+How it runs: built-in functions only, row by row, in one pass for all templates
+together: the plan doesn't grow with them, and votes are counted by a sort, so a
+text of nothing but licence words costs n log n. A second scan gathers document
+frequencies, as many rows as the templates have words; it is the only shuffle.
 
 A word's index counts from 0 over all words of the text. Nulls and ties: null
 text is empty and has no words, labels or places. Rows with a null or repeated
-id each get a row of their own. If two words of a template have the same IDF
-the earlier one leads. An empty table gives an empty result. Other columns of
-the input are not read.
+id each get a row of their own. Of two words of a template with the same IDF the
+earlier one ranks first. A word that a template repeats has a posting at its
+first place. An empty table gives an empty result. Other columns of the input
+are not read.
 """
 
 from __future__ import annotations
@@ -27,35 +28,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed base phrases and their labels.
-BASE_PHRASES = [
-    ("gnu general public license", "gpl"),
-    ("apache license", "apache"),
-    ("cc by", "cc-by"),
-    ("mit license", "mit"),
-]
-
-#: Templates of the method: label, words, mandatory key phrase (part of the words).
-TEMPLATES = [
-    ("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license", "gnu affero general public license"),
-    ("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
-    ("epl", "eclipse public license", "eclipse public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that", "redistribution and use in source and binary forms"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
-    ("cc-by-sa", "creative commons attribution sharealike", "attribution sharealike"),
-    ("cc-by", "creative commons attribution", "creative commons attribution"),
-    ("cc0", "creative commons zero", "creative commons zero"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-]
+from loomwatch.llm.licence_texts import BASE_PHRASES, TEMPLATES
+from loomwatch.llm.spans import let
 
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: A template and the place where it begins, in one long: template * _STEP + place + _SHIFT.
+_STEP, _SHIFT = 1 << 33, 1 << 20
+
 
 @dataclass(frozen=True)
 class Template:
@@ -63,32 +44,32 @@ class Template:
     words: tuple[str, ...]
     key: tuple[str, ...]
     key_at: int
-    #: (word, its index in words), the rarest first
-    rare: tuple[tuple[str, int], ...] = ()
+    base: bool
 
 
-def _templates() -> tuple[list[Template], list[Template]]:
-    base = [Template(label, tuple(p.split()), tuple(p.split()), 0) for p, label in BASE_PHRASES]
-    more = []
-    for label, text, key in TEMPLATES:
-        words, k = tuple(text.split()), tuple(key.split())
-        at = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
-        more.append(Template(label, words, k, at))
-    return base, more
+def _cut(text: str) -> tuple[str, ...]:
+    return tuple("".join(c if c.isalnum() or ord(c) > 127 else " " for c in text).lower().split())
 
 
-def vocabulary() -> list[str]:
-    base, more = _templates()
-    return sorted({w for t in base + more for w in t.words})
+def load_templates(texts: list[tuple[str, str, str]] = TEMPLATES) -> list[Template]:
+    """Base phrases, which are their own key phrases, and then ``texts``."""
+    out = [Template(label, _cut(p), _cut(p), 0, True) for p, label in BASE_PHRASES]
+    for label, text, key in texts:
+        words, k = _cut(text), _cut(key)
+        places = [i for i in range(len(words)) if words[i : i + len(k)] == k]
+        if not k or not places:
+            raise ValueError(f"the key phrase of {label} isn't in its text: {key!r}")
+        out.append(Template(label, words, k, places[0], False))
+    return out
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _SPLIT), lambda w: w != "")
 
 
-def licence_idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
+def licence_idf(docs: DataFrame, templates: list[Template], text_col: str = "text") -> dict[str, float]:
     """IDF of every licence word over all documents."""
-    vocab = vocabulary()
+    vocab = sorted({w for t in templates for w in t.words})
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.array_distinct(F.filter(_words(text), lambda w: w.isin(vocab)))
     rows = docs.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("w")).groupBy("w").count().collect()  # a row per licence word
@@ -97,65 +78,81 @@ def licence_idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in vocab}
 
 
-def build_index(idf: dict[str, float], rare: int = 5) -> tuple[list[Template], list[Template]]:
-    """Base phrases and templates with their rarest words in place."""
-
-    def ranked(t: Template) -> Template:
+def build_index(templates: list[Template], idf: dict[str, float], rare: int = 8) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+    """Postings (template, offset) of each template's rarest words, and how many words each template has there."""
+    postings: dict[str, list[tuple[int, int]]] = {}
+    sizes = []
+    for k, t in enumerate(templates):
         first = {w: t.words.index(w) for w in t.words}
-        order = sorted(first.items(), key=lambda x: (-idf.get(x[0], 0.0), x[1]))
-        return Template(t.label, t.words, t.key, t.key_at, tuple(order[:rare]))
-
-    base, more = _templates()
-    return [ranked(t) for t in base], [ranked(t) for t in more]
-
-
-def _starts(words: Column, places: Column, t: Template, least: float) -> Column:
-    """Places where a template begins, with its share of rare words there."""
-    lead, lead_at = t.rare[0]
-    begins = F.transform(F.filter(places, lambda p: p["w"] == lead), lambda p: p["i"] - lead_at)
-    votes = lambda s: sum((F.coalesce((F.get(words, s + at) == w).cast("int"), F.lit(0)) for w, at in t.rare), F.lit(0))
-    voted = F.transform(begins, lambda s: F.struct(s.alias("s"), (votes(s) / len(t.rare)).alias("share")))
-    key = F.array(*[F.lit(w) for w in t.key])
-    return F.filter(
-        voted,
-        lambda x: (x["s"] + t.key_at >= 0) & (x["share"] >= least) & (F.slice(words, F.greatest(x["s"] + t.key_at, F.lit(0)) + 1, len(t.key)) == key),
+        order = sorted(first.items(), key=lambda x: (-idf.get(x[0], 0.0), x[1]))[:rare]
+        sizes.append(len(order))
+        for w, at in order:
+            postings.setdefault(w, []).append((k, at))
+    return postings, sizes
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def _found(words: Column, templates: list[Template], postings: dict[str, list[tuple[int, int]]], sizes: list[int], least: float) -> Column:
+    """Verified beginnings in order, as an array of (t, s, share)."""
+    names = sorted(postings)
+    table = F.create_map(*[x for w in names for x in (F.lit(w), _longs([t * _STEP + _SHIFT - at for t, at in postings[w]]))])
+    need = _longs([1 if t.base else max(1, math.ceil(least * n)) for t, n in zip(templates, sizes)])
+    size, key_at = _longs(sizes), _longs([t.key_at for t in templates])
+    keys = F.array(*[F.array(*[F.lit(w) for w in t.key]) for t in templates])
+    places = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(names), i)))
+    votes = F.array_sort(F.flatten(F.transform(places, lambda i: F.transform(F.element_at(table, F.get(words, i)), lambda p: p + i))))
+    part = lambda x: F.floor(x / F.lit(_STEP)).cast("int")
+
+    def elected(v: Column) -> Column:
+        """The first vote for each place that has as many as its template needs, and the number of them."""
+        at = lambda x, i, k: F.coalesce(F.get(v, i + k) == x, F.lit(False))
+        count = lambda x, i: sum((at(x, i, k).cast("int") for k in range(1, max(sizes))), F.lit(1))
+        firsts = F.transform(v, lambda x, i: F.when(((i == 0) | (F.get(v, i - 1) != x)) & at(x, i, F.get(need, part(x)) - 1), F.struct(x.alias("x"), count(x, i).alias("n"))))
+        return F.array_compact(firsts)
+
+    begun = F.transform(
+        let(votes, elected),
+        lambda e: F.struct(
+            part(e["x"]).alias("t"),
+            (e["x"] - part(e["x"]) * F.lit(_STEP) - _SHIFT).cast("int").alias("s"),
+            (e["n"] / F.get(size, part(e["x"]))).alias("share"),
+        ),
     )
+    key_start = lambda b: (b["s"] + F.get(key_at, b["t"])).cast("int")
+    return F.filter(begun, lambda b: (key_start(b) >= 0) & (F.slice(words, F.greatest(key_start(b), F.lit(0)) + 1, F.size(F.get(keys, b["t"]))) == F.get(keys, b["t"])))
+
+
+def license_report(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, least: float = 0.6, texts: list[tuple[str, str, str]] = TEMPLATES
+) -> DataFrame:
+    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    ``texts`` are (label, text, key phrase) of the licences to find beside the
+    base phrases; ``least`` is the share of a template's ``rare`` words that must
+    agree on a place. The score is the largest such share that was verified.
+    """
+    templates = load_templates(texts)
+    postings, sizes = build_index(templates, licence_idf(docs, templates, text_col), rare)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    some = F.exists("words", lambda w: w.isin(sorted(postings)))
+    none = F.array().cast("array<struct<t:int,s:int,share:double>>")
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(some, _found(F.col("words"), templates, postings, sizes, least)).otherwise(none).alias("found"))
+    starts = F.transform(F.filter("found", lambda b: b["t"] < len(BASE_PHRASES)), lambda b: b["s"])
+    names = F.array(*[F.lit(t.label) for t in templates])
+
+    def labels(found: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda b: F.get(names, b["t"])))), ",")
 
-
-def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 5, least: float = 0.6) -> DataFrame:
-    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    base, more = build_index(licence_idf(docs, text_col), rare)
-    leads = sorted({t.rare[0][0] for t in base + more})
-    possible = "(?i)" + "|".join(leads)
-    empty = F.array().cast("array<struct<s:int,share:double>>")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("hit", F.col("t").rlike(possible))
-    rows = rows.withColumn("n_words", F.regexp_count("t", F.lit(_WORD)).cast("long"))
-    rows = rows.withColumn("words", F.when(F.col("hit"), _words(F.col("t"))).otherwise(F.array().cast("array<string>"))).drop("t")
-    indexed = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    rows = rows.withColumn("places", F.filter(indexed, lambda p: p["w"].isin(leads)))
-    some = F.size("places") > 0
-    base_cols, more_cols = [], []
-    for k, t in enumerate(base):
-        rows = rows.withColumn(f"b{k}", F.when(some, _starts(F.col("words"), F.col("places"), t, 0.0)).otherwise(empty))
-        base_cols.append((f"b{k}", t.label))
-    for k, t in enumerate(more):
-        rows = rows.withColumn(f"m{k}", F.when(some, _starts(F.col("words"), F.col("places"), t, least)).otherwise(empty))
-        more_cols.append((f"m{k}", t.label))
-
-    def labels(columns: list[tuple[str, str]]) -> Column:
-        given = F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, label in columns])
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(given))), ",")
-
-    starts = F.concat(*[F.transform(c, lambda x: x["s"]) for c, _ in base_cols])
-    shares = F.concat(*[F.transform(c, lambda x: x["share"]) for c, _ in base_cols + more_cols])
     return rows.select(
         "doc_id",
         "n_words",
         F.size(starts).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
-        labels(base_cols).alias("base_labels"),
-        labels(base_cols + more_cols).alias("labels"),
-        F.coalesce(F.array_max(shares), F.lit(0.0)).alias("score"),
+        labels(F.filter("found", lambda b: b["t"] < len(BASE_PHRASES))).alias("base_labels"),
+        labels(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda b: b["share"])), F.lit(0.0)).alias("score"),
     )
