@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwatch.llm.conversations import repair_report
 from loomwatch.llm.decontaminate import decontamination_report
 from loomwatch.llm.exact_dedup import exact_duplicates
 from loomwatch.llm.langid import identify
@@ -15,6 +16,8 @@ from loomwatch.llm.lm_score import lm_scores
 from loomwatch.llm.ngram_join import ngram_components
 from loomwatch.llm.packing import pack_documents
 from loomwatch.llm.pii import pii_report
+from loomwatch.llm.quality import quality_scores
+from loomwatch.llm.runs import run_report
 from loomwatch.llm.secrets import secret_report
 from loomwatch.llm.shared import documents
 from loomwatch.llm.url_filters import evaluate_captures, host_of
@@ -89,6 +92,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(documents(spark, sf_dir))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -100,8 +115,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_secrets": op9_secrets,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality": op12_quality,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
+
+def _over(*ways: tuple[str, str, str, str]) -> str:
+    """SQL for the least (cost, edits) of some ways: state so far, cost, edit, what the repaired text gets."""
+    return "list_min([" + ", ".join(f"{{'c': {s}.c + {c}, 'a': {s}.a || '{e}', 't': {s}.t || {t}}}" for s, c, e, t in ways) + "])"
+
+
+def _row_step() -> str:
+    """SQL that takes the four states ``i0`` to ``i3``, with insertions, over a row."""
+    kept, role = "chr(10) || r.role || ':' || r.text", "chr(10) || '{}:' || r.text"
+    never = "CASE WHEN r.gone OR r.initial <> '{}' THEN 1000000000 ELSE 0 END + 3 * r.cut::INT"
+    forced = "CASE WHEN r.gone THEN 1000000000 ELSE 3 END + 3 * r.cut::INT"
+    delete = lambda k: (f"i{k}", "4", "D", "''")
+    keep = lambda k, initial: (f"i{k}", never.format(initial), "K", kept)
+    rerole = lambda k, name: (f"i{k}", forced, "R", role.format(name))
+    ways = [
+        [delete(0)],
+        [delete(1), keep(0, "s")],
+        [delete(2), *(keep(k, "u") for k in (0, 1, 3)), *(rerole(k, "user") for k in (0, 1, 3))],
+        [delete(3), keep(2, "a"), rerole(2, "assistant")],
+    ]
+    return ", ".join(f"{_over(*w)} AS s{k}" for k, w in enumerate(ways))
+
+
+_USER, _ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
 ORACLES: dict[str, str] = {
     "op5_url_filters": r"""
         WITH captures AS (
@@ -140,4 +183,46 @@ ORACLES: dict[str, str] = {
                      max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size
               FROM documents WINDOW same AS (PARTITION BY coalesce(text, '')))
     """,
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+            FROM conversations),
+        faulty AS (  -- crc32 of the key, bit by bit
+            SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda ch: ord(ch)::BIGINT)),
+                lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                    lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 20 AS fault
+            FROM keyed),
+        damaged AS (
+            SELECT conv, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                   CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM faulty, (VALUES (0), (1)) AS copies (copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)),
+        marked AS (
+            SELECT *, substr(role, 1, 1) AS initial, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS bare,
+                   row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+        judged AS (
+            SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS duplicate,
+                   lag(initial) OVER (PARTITION BY conv ORDER BY i) AS before FROM marked),
+        rows AS (
+            SELECT *, blank OR duplicate AS gone, NOT blank AND NOT duplicate AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM judged),
+        counts AS (
+            SELECT conv, max(i) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (cut) AS truncated,
+                   count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+                   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+            FROM rows GROUP BY conv),
+        walk AS (
+            SELECT conv, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS s0, {{'c': 1000000000, 'a': '', 't': ''}} AS s1,
+                   {{'c': 1000000000, 'a': '', 't': ''}} AS s2, {{'c': 1000000000, 'a': '', 't': ''}} AS s3 FROM counts
+            UNION ALL
+            SELECT w.conv, r.i, {_row_step()}
+            FROM (SELECT *, s0 AS i0, s1 AS i1, {_over(("s3", "0", "", "''"), ("i2", "3", "I", _ASSISTANT))} AS i3
+                  FROM (SELECT *, {_over(("s2", "0", "", "''"), *((f"s{k}", "3", "I", _USER) for k in (0, 1, 3)))} AS i2 FROM walk)) w
+            JOIN rows r USING (conv) WHERE r.i = w.i + 1),
+        ended AS (
+            SELECT conv, {_over(("s0", "0", "", "''"), ("s3", "0", "", "''"), ("s2", "3", "I", _ASSISTANT), ("s1", "6", "II", f"{_USER} || {_ASSISTANT}"))} AS best
+            FROM walk JOIN counts USING (conv) WHERE i = n)
+        SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, conv FROM keyed) k LEFT JOIN counts USING (conv) LEFT JOIN ended USING (conv)
+    """,
 }
