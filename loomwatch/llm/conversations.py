@@ -177,7 +177,7 @@ def _item(role: str, blank: bool, duplicate: bool, truncated: bool):
     return moves(role[:1] if role[:1] in ("s", "u", "a") else "", blank or duplicate, truncated)
 
 
-def tagged(rows: DataFrame) -> DataFrame:
+def tagged(rows: DataFrame, block_rows: int = _ROWS) -> DataFrame:
     """Rows (conv, turn, role, text) with their faults, in order within blocks; a block's first row has its summary. Stored."""
     spark = rows.sparkSession
     bare = F.rtrim(F.col("text"), F.lit(_GAP))
@@ -212,7 +212,7 @@ def tagged(rows: DataFrame) -> DataFrame:
         out: list[pa.RecordBatch] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (row[0] != held[0][0] or len(held) >= _ROWS or size + len(row[4]) > _BYTES):
+                if held and (row[0] != held[0][0] or len(held) >= block_rows or size + len(row[4]) > _BYTES):
                     out.append(flush())
                     held, size, block = [], 0, block + 1
                 held.append(row)
@@ -300,7 +300,7 @@ def _repaired(head: tuple, held: list[tuple]) -> Iterator[tuple[str, str, str |
         yield e, ROLE[state], "", None
 
 
-def repaired_rows(rows: DataFrame) -> DataFrame:
+def repaired_rows(rows: DataFrame, block_rows: int = _ROWS) -> DataFrame:
     """Every edit of every conversation: conv, slice, block, nth (order within a conversation), edit, turn, role, text.
 
     ``rows`` has conv, turn, role and text. Deleted rows have a null text;
@@ -313,7 +313,7 @@ def repaired_rows(rows: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["conv", "slice", "block", "nth", "edit", "turn", "role", "text"])
 
-    dealt = _with_borders(tagged(rows), ["conv", "slice", "block"])
+    dealt = _with_borders(tagged(rows, block_rows), ["conv", "slice", "block"])
     return dealt.mapInArrow(run, "conv string, slice int, block int, nth int, edit string, turn long, role string, text string")
 
 
@@ -355,7 +355,7 @@ class _Report:
         return (self.conv, *self.counts.values(), "".join(self.audit), self.digest.hexdigest())
 
 
-def repair_report(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def repair_report(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block_rows: int = _ROWS) -> DataFrame:
     """One row per conversation of the input, after damage: counts of faults, least cost, edits' initials, digest of the repaired rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +380,7 @@ def repair_report(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
             yield batch_of()
         release()
 
-    found = _with_borders(tagged(damaged(conversations, conv_col, turn_col, role_col, text_col)), ["conv"]).mapInArrow(run, _REPORT)
+    found = _with_borders(tagged(damaged(conversations, conv_col, turn_col, role_col, text_col), block_rows), ["conv"]).mapInArrow(run, _REPORT)
     ids = conversations.select(F.col(conv_col).alias("conv_id")).distinct().withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")))
     return ids.join(found, "conv", "left").select(
         "conv_id",
