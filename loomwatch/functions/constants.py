@@ -83,6 +83,9 @@ COLLECTOR_KEYS = [
 ]
 VERSION_KEYS = ["Level", "ProcessId", "ParentUser"]
 
+# Keys that both sides must have, by event id.
+CORE_KEYS = {1: ["Channel", "EventID", "Hostname", "Image", "CommandLine", "ProcessGuid", "ParentImage", "User"]}
+
 # Keys whose text is a time.
 TIME_KEYS = ["@timestamp", "EventTime", "UtcTime", "CreationUtcTime", "PreviousCreationUtcTime"]
 

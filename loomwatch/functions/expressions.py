@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,19 +44,75 @@ def unsigned64(n: Column) -> Column:
     return F.when((n >= F.lit("-9223372036854775808").cast("decimal(38,0)")) & (n < 0), n + F.lit(_FOLD).cast("decimal(38,0)")).otherwise(n)
 
 
+def named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that stands in the plan once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def decimal_of_hex(digits: Column) -> Column:
+    """A hexadecimal number of any width as a decimal one.
+
+    Six digits are taken at a time, from the left; what has been read so far is
+    held in limbs of nine decimal digits, the lowest first, which are multiplied
+    and carried within one expression.
+    """
+    groups = F.ceil(F.length(digits) / 6).cast("int")
+    padded = F.lpad(digits, groups * 6, F.lit("0"))
+    values = F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.conv(F.substr(padded, i * 6 + 1, F.lit(6)), 16, 10).cast("long"))
+    limb, none = F.lit(10**9).cast("long"), F.array().cast("array<bigint>")
+
+    def one(state: Column, x: Column) -> Column:
+        total = x * F.lit(1 << 24) + state["carry"]
+        return F.struct((F.floor(total / limb)).cast("long").alias("carry"), F.concat(state["limbs"], F.array(total % limb)).alias("limbs"))
+
+    def group(limbs: Column, value: Column) -> Column:
+        start = F.struct(value.alias("carry"), none.alias("limbs"))
+        return F.aggregate(limbs, start, one, lambda state: F.when(state["carry"] > 0, F.concat(state["limbs"], F.array(state["carry"]))).otherwise(state["limbs"]))
+
+    limbs = F.aggregate(values, none, group)
+    written = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    return F.coalesce(F.nullif(F.ltrim(written, F.lit("0")), F.lit("")), F.lit("0"))
+
+
 def canonical(value: Column, kind: Column | None = None) -> Column:
     """One spelling for values that collectors spell differently.
 
-    Text is trimmed; decimal and hexadecimal integers become unsigned decimals.
-    Hexadecimal numbers beyond 64 bits stay as they are. ``kind`` is the type
-    of the value, if known: only strings and integers change.
+    Text is trimmed; decimal and hexadecimal integers of any width become
+    decimals, unsigned where they are of 64 bits. ``kind`` is the type of the
+    value, if known: only strings and integers change.
     """
-    text = F.trim(value)
-    sign = F.when(text.startswith("-"), -1).otherwise(1)
-    hexadecimal = F.conv(F.regexp_replace(F.when(text.rlike("^-?0[xX][0-9a-fA-F]{1,16}$"), text), "^-?0[xX]", ""), 16, 10).cast("decimal(38,0)")
-    number = F.when(text.rlike("^[+-]?[0-9]{1,38}$"), text).cast("decimal(38,0)")
-    out = F.coalesce(unsigned64(number).cast("string"), unsigned64(hexadecimal * sign).cast("string"), text)
-    return out if kind is None else F.when(kind.isin("STRING", "BIGINT"), out).otherwise(value)
+
+    def of_hex(h: Column) -> Column:
+        return F.when(F.length(h) > 16, decimal_of_hex(h)).otherwise(F.conv(h, 16, 10))
+
+    def spelt(text: Column) -> Column:
+        hexadecimal = F.when(text.rlike("^-?0[xX][0-9a-fA-F]+$"), F.regexp_extract(text, "^-?0[xX]0*([0-9a-fA-F]+)$", 1))
+        digits = F.when(text.rlike("^[+-]?[0-9]+$"), F.regexp_extract(text, "^[+-]?0*([0-9]+)$", 1)).otherwise(named(hexadecimal, of_hex))
+        return named(digits, lambda d: named(F.when(text.startswith("-") & (d != "0"), F.concat(F.lit("-"), d)).otherwise(d), lambda n: F.coalesce(folded(n), text)))
+
+    def folded(number: Column) -> Column:
+        return F.when(F.length(number) <= 20, named(number.cast("decimal(38,0)"), unsigned64).cast("string")).otherwise(number)
+
+    out = named(F.trim(value), spelt)
+    return out if kind is None else F.when(kind.isin("STRING", "BIGINT") | kind.rlike("^DECIMAL\\([0-9]+,0\\)$"), out).otherwise(value)
+
+
+def canonical_type(value: Column, kind: Column) -> Column:
+    """The type that ``canonical`` leaves a value with: text that is a number becomes one."""
+    number = F.trim(value).rlike("^[+-]?[0-9]+$|^-?0[xX][0-9a-fA-F]+$")
+    return F.when((kind == "STRING") & number, "BIGINT").otherwise(value_type(kind))
+
+
+def value_type(kind: Column) -> Column:
+    """Types of values as records have them: an integer is one at any width, and shapes of objects and lists don't count."""
+    return (
+        F.when(kind.rlike("^DECIMAL\\([0-9]+,0\\)$"), "BIGINT")
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "DOUBLE")
+        .when(kind.startswith("OBJECT"), "OBJECT")
+        .when(kind.startswith("ARRAY"), "ARRAY")
+        .when(kind == "VOID", None)
+        .otherwise(kind)
+    )
 
 
 def present(value: Column) -> Column:

@@ -110,3 +110,19 @@ def duplication(rows: DataFrame) -> DataFrame:
     vectors = rows.select(F.to_json(features(F.col("fields"), F.col("event_type"))).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     sums = vectors.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"))
     return sums.select(F.coalesce("n", F.lit(0)).alias("n"), "distinct", (1 - F.try_divide("distinct", "n")).alias("rate"))
+
+
+def vector_sketch(rows: DataFrame, by: list[str] | None = None, precision: int = 14) -> DataFrame:
+    """(n, sketch): how many rows, and a sketch of their distinct feature vectors, for ``merged_duplication``.
+
+    The sketch has ``2 ** precision`` registers whatever the rows are, so batches
+    can be sketched as they come and kept; its standard error is about 0.8 % at 14.
+    """
+    vector = F.to_json(features(F.col("fields"), F.col("event_type")))
+    return rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(F.xxhash64(vector), F.lit(precision)).alias("sketch"))
+
+
+def merged_duplication(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``duplication`` from sketches of parts: n, an estimate of the distinct vectors, and the share that repeats."""
+    merged = parts.groupBy(*(by or [])).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
+    return merged.withColumn("rate", F.greatest(1 - F.try_divide("distinct", "n"), F.lit(0.0)))

@@ -7,6 +7,7 @@ have been counted, so their input is bounded by the number of scores.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,11 @@ def metric_table(rows: DataFrame, by: list[str], truth: str = "is_malicious", pr
     return counts.withColumns(measures(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]))
 
 
+def metric_bundle(rows: DataFrame, by: list[str], truth: str = "is_malicious", pred: str = "pred") -> DataFrame:
+    """``metric_table`` with ``n``, the committed rows: the whole bundle of 14 values."""
+    return metric_table(rows, by, truth, pred).withColumn("n", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+
+
 def slice_report(rows: DataFrame, slices: list[str], truth: str = "is_malicious", pred: str = "pred") -> DataFrame:
     """Pooled and per-slice metrics of each policy in one pass of grouping sets.
 
@@ -83,20 +89,30 @@ def technique_slices(rows: DataFrame, pred: str = "pred") -> DataFrame:
     return metric_table(rows.withColumn("technique", technique), ["policy", "technique"], pred=pred)
 
 
-def before(rows: DataFrame, by: list[str], key: str, values: list[str], ties: list[str] | None = None, cells: int = 4096) -> DataFrame:
+def cell_of(key: Column, borders: Column, step: int = 32) -> Column:
+    """How many of the sorted borders are at or below a key: every ``step``-th border is asked first, then those of one stretch."""
+    coarse = F.filter(borders, lambda b, i: (i % step == step - 1) & (b <= key))
+    fine = F.slice(borders, F.size(coarse) * step + 1, F.lit(step))
+    return F.size(coarse) * step + F.size(F.filter(fine, lambda b: b <= key))
+
+
+def before(rows: DataFrame, by: list[str], key: str, values: list[str], ties: list[str] | None = None, cells: int = 512) -> DataFrame:
     """``rows`` with ``<value>_before``: the sum of a value over the group's rows with larger keys, or equal ones that ``ties`` puts first.
 
-    A group's range of keys is cut into cells. Cells are summed up first, and a
-    window over at most ``cells`` sums shifts the sums inside each cell, so that
-    no task sorts a group whose keys are as many as its rows. Null keys come last.
+    A group's keys are cut into cells of about as many rows each, at borders
+    from a quantile sketch that tasks merge, so that a few far keys don't push
+    the others into one cell. Cells are summed up first, and a window over at
+    most ``cells`` sums shifts the sums inside each cell: no task sorts a group
+    whose keys are as many as its rows. Null keys come last.
     """
     names = [f"__by{i}" for i in range(len(by))]
-    span = rows.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)]).agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
+    shares = F.lit(np.arange(1, cells) / cells)
+    borders = F.percentile_approx(F.col(key).cast("double"), shares, 16 * cells).alias("__borders")
+    span = rows.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)]).agg(borders)
     same = [rows[b].eqNullSafe(F.col(n)) for b, n in zip(by, names)]
     placed = (rows.join(span, same) if by else rows.crossJoin(F.broadcast(span))).drop(*names)  # one row
-    share = F.try_divide(F.col("__high") - F.col(key), F.col("__high") - F.col("__low"))
-    placed = placed.withColumn("__cell", F.when(F.col(key).isNull(), cells).otherwise(F.coalesce(F.least(F.floor(share * cells), F.lit(cells - 1)), F.lit(0)))).drop("__low", "__high")
-    order = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("__cell", F.when(F.col(key).isNull(), -1).otherwise(cell_of(F.col(key).cast("double"), F.col("__borders")))).drop("__borders")
+    order = Window.partitionBy(*by).orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*by, "__cell").orderBy(F.desc_nulls_last(key), *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*by, "__cell").agg(*[F.sum(v).alias(v) for v in values])
     shifts = sums.select(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col("__cell").alias("__c"), *[F.coalesce(F.sum(v).over(order), F.lit(0)).alias(f"__s_{v}") for v in values])

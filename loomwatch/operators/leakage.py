@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwatch.functions.constants import COLLECTOR_KEYS, UNMAPPABLE_KEYS, VERSION_KEYS
-from loomwatch.functions.expressions import EPOCH, canonical, rebase_fields
+from loomwatch.functions.constants import COLLECTOR_KEYS, CORE_KEYS, UNMAPPABLE_KEYS, VERSION_KEYS
+from loomwatch.functions.expressions import EPOCH, canonical, canonical_type, rebase_fields
 from loomwatch.operators.sampling import take_quota
 
 
@@ -43,6 +43,20 @@ def key_parity(rows: DataFrame, event: str | list[str] = "event_code") -> DataFr
     return odd.select(*by, "key", F.when(F.col("malicious"), "malicious").otherwise("benign").alias("side"))
 
 
+def missing_core_keys(rows: DataFrame, core: dict[int, list[str]] | None = None, event: str = "event_code") -> DataFrame:
+    """(event, key, side): core keys that a side never has, for events that both sides have.
+
+    Keys of one side may be excused as a collector's own; these may not.
+    """
+    core = CORE_KEYS if core is None else core
+    wanted = rows.sparkSession.createDataFrame([(e, k) for e, keys in core.items() for k in keys], "__event int, __key string")
+    needed = shared_events(rows, event).join(F.broadcast(wanted), F.col(event) == F.col("__event"))  # a few keys for each event
+    found = key_sides(rows, event).withColumnRenamed(event, "__e")
+    both = needed.join(found, (F.col("__event") == F.col("__e")) & (F.col("__key") == F.col("key")), "left")
+    lacking = F.filter(F.array(*[F.when(~F.coalesce(F.col(side), F.lit(False)), F.lit(side)) for side in ("malicious", "benign")]), lambda s: s.isNotNull())
+    return both.select(event, F.col("__key").alias("key"), F.explode(lacking).alias("side"))
+
+
 def restrict_fields(rows: DataFrame, event: str = "event_code") -> DataFrame:
     """Rows of shared events, with exactly the event's shared keys, in one spelling; missing ones are null."""
     return with_fields(rows, shared_fields(rows, event), event)
@@ -55,10 +69,18 @@ def shared_fields(rows: DataFrame, event: str = "event_code") -> DataFrame:
 
 
 def with_fields(rows: DataFrame, events: DataFrame, event: str = "event_code") -> DataFrame:
-    """Rows of the given events with exactly their keys. A row for each event: Spark decides by its size whether to broadcast it."""
+    """Rows of the given events with exactly their keys. A row for each event: Spark decides by its size whether to broadcast it.
+
+    Where the types of values are known, values are brought into one spelling
+    by them, and the types become those of the new values.
+    """
     joined = rows.join(events, rows[event].eqNullSafe(F.col("__event")))
-    values = F.transform("__keys", lambda k: canonical(F.col("fields")[k]))
-    return joined.withColumn("fields", F.map_from_arrays("__keys", values)).drop("__keys", "__event")
+    typed = "field_types" in rows.columns
+    kind = lambda k: F.col("field_types")[k] if typed else None
+    new = {"fields": F.map_from_arrays("__keys", F.transform("__keys", lambda k: canonical(F.col("fields")[k], kind(k))))}
+    if typed:
+        new["field_types"] = F.map_from_arrays("__keys", F.transform("__keys", lambda k: canonical_type(F.col("fields")[k], kind(k))))
+    return joined.withColumns(new).drop("__keys", "__event")
 
 
 def cap_quota(rows: DataFrame, ratio: float = 1.5, event: str = "event_code") -> DataFrame:

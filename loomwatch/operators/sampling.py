@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwatch.functions.expressions import draw_key, uniform
+from loomwatch.operators.evaluation import before
+from loomwatch.sources.shared import written
 
 FLOOR = 385
 
@@ -41,21 +43,61 @@ def quotas(sizes: DataFrame, target: int | str, stratum: str = "stratum", by: li
 
 
 def take_quota(rows: DataFrame, quota: DataFrame, strata: list[str], seed: int, id_col: str = "id") -> DataFrame:
-    """At most ``quota`` rows of each stratum, those with the least hashes. ``quota`` has strata, n, quota."""
-    joined = rows.join(quota.select(*[F.col(s).alias(f"__{s}") for s in strata], F.col("n").alias("__n"), F.col("quota").alias("__q")), [rows[s].eqNullSafe(F.col(f"__{s}")) for s in strata])
-    joined = joined.drop(*[f"__{s}" for s in strata])
+    """``quota`` rows of each stratum, those with the least hashes. ``quota`` has strata, n, quota.
+
+    Where ids repeat, hashes don't spread as they would, and the band may miss
+    the quota. So the rows below and within the band are counted first, by a job
+    of its own whose result, a row for each stratum, is written and read again;
+    strata that miss their quota are drawn by ``_take_repeated``. Where ids are
+    unique there are none.
+    """
+    named = quota.select(*[F.col(s).alias(f"__{s}") for s in strata], F.col("n").alias("__n"), F.col("quota").alias("__q"))
+    same = lambda left: [left[s].eqNullSafe(F.col(f"__{s}")) for s in strata]
+    drop = [f"__{s}" for s in strata]
+    joined = rows.join(named, same(rows)).drop(*drop)
     # Shares that are certainly within the quota need no rank, and those that are certainly beyond it neither.
     q, n = F.col("__q"), F.col("__n")
     slack = 8 * F.sqrt(q) + 64
     share = uniform(F.col(id_col), str(seed))
     near = joined.filter((q > 0) & (share <= (q + slack) / n)).withColumn("__sure", share <= (q - slack) / n)
-    sure = near.filter("__sure").groupBy(*strata).agg(F.count(F.lit(1)).alias("__in"))
-    band = near.filter("NOT __sure").withColumn("__h", draw_key(F.col(id_col), seed))
+    counts = near.groupBy(*strata).agg(F.count_if("__sure").alias("__in"), F.count_if(~F.col("__sure")).alias("__band"))
+    had = named.filter(q > 0).join(counts, [F.col(f"__{s}").eqNullSafe(counts[s]) for s in strata], "left").select(*drop, "__n", "__q", F.coalesce("__in", F.lit(0)).alias("__in"), F.coalesce("__band", F.lit(0)).alias("__band"))
+    had = written(had, "quota")
+    fits = (F.col("__in") <= q) & (F.col("__in") + F.col("__band") >= F.least(q, n))
+    odd = had.filter(~fits)
+    repeated = not odd.isEmpty()
+    sure = near.filter("__sure")
+    band = near.filter("NOT __sure").drop("__n", "__q").withColumn("__h", draw_key(F.col(id_col), seed))
     rank = Window.partitionBy(*strata).orderBy("__h", id_col)
     ranked = band.withColumn("__r", F.row_number().over(rank))
-    had = sure.select(*[F.col(s).alias(f"__{s}") for s in strata], "__in")
-    rest = ranked.join(had, [ranked[s].eqNullSafe(F.col(f"__{s}")) for s in strata], "left").filter(F.col("__r") <= F.col("__q") - F.coalesce("__in", F.lit(0)))
-    return near.filter("__sure").select(*rows.columns).unionByName(rest.select(*rows.columns))
+    rest = ranked.join(had.filter(fits), same(ranked)).filter(F.col("__r") <= q - F.col("__in"))
+    if repeated:
+        sure = sure.drop("__n", "__q").join(odd, same(sure), "left_anti")
+    out = sure.select(*rows.columns).unionByName(rest.select(*rows.columns))
+    if repeated:
+        again = rows.join(odd.select(*drop, "__q"), same(rows)).drop(*drop)
+        out = out.unionByName(_take_repeated(again, strata, seed, id_col).select(*rows.columns))
+    return out
+
+
+def _take_repeated(rows: DataFrame, strata: list[str], seed: int, id_col: str) -> DataFrame:
+    """``__q`` rows of each stratum where ids repeat: whole ids in the order of their hashes, and of the last id as many rows as are left.
+
+    Ids are counted first; sums over the ids before one come from cells of
+    hashes. Rows of the last id are drawn by numbers of their own.
+    """
+    ids = rows.groupBy(*strata, id_col).agg(F.count(F.lit(1)).alias("__count"), F.max("__q").alias("__q")).withColumn("__key", -uniform(F.col(id_col), str(seed)))
+    placed = before(ids, strata, "__key", ["__count"], [id_col]).withColumn("__left", F.col("__q") - F.col("__count_before")).filter("__left > 0")
+    chosen = placed.select(*[F.col(c).alias(f"__k_{c}") for c in (*strata, id_col)], "__count", "__left")
+    met = rows.join(chosen, [rows[c].eqNullSafe(F.col(f"__k_{c}")) for c in (*strata, id_col)])
+    whole = met.filter(F.col("__left") >= F.col("__count"))
+    cut = met.filter(F.col("__left") < F.col("__count")).withColumn("__row", F.monotonically_increasing_id())
+    share = uniform(F.col("__row"), str(seed))
+    slack = 8 * F.sqrt("__left") + 64
+    near = cut.filter(share <= (F.col("__left") + slack) / F.col("__count"))
+    rank = Window.partitionBy(*strata).orderBy(share, "__row")
+    part = near.withColumn("__r", F.row_number().over(rank)).filter(F.col("__r") <= F.col("__left"))
+    return whole.select(*rows.columns).unionByName(part.select(*rows.columns))
 
 
 def stratified_sample(rows: DataFrame, target: int, stratum: str, seed: int, id_col: str = "id") -> DataFrame:

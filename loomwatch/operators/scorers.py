@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,24 +99,51 @@ def parse_verdicts(rows: DataFrame, response: str = "response") -> DataFrame:
     return parsed.withColumns({**kept, "parse_failed": ~good, "fail_kind": kind}).drop("__v")
 
 
-def score_batch(rows: DataFrame, call: Callable[[list[str]], list[str | None]], id_col: str = "id", concurrency: int | None = None, stop_on_error: bool = False) -> DataFrame:
+def _asked(call: Callable[[list[str]], list[str | None]], prompts: list[str], attempts: int, backoff: float) -> tuple[list[str | None], str | None]:
+    """Responses of one call and the error of its last attempt, if all failed; waits double between attempts."""
+    said = None
+    for k in range(attempts):
+        if k:
+            time.sleep(backoff * 2 ** (k - 1))
+        try:
+            out = list(call(prompts))
+            if len(out) != len(prompts):
+                raise ValueError(f"{len(out)} responses to {len(prompts)} prompts")
+            return out, None
+        except Exception as e:  # a call may fail in any way; the row says how
+            said = f"{type(e).__name__}: {e}"
+    return [None] * len(prompts), said
+
+
+def score_batch(rows: DataFrame, call: Callable[[list[str]], list[str | None]], id_col: str = "id", concurrency: int | None = None, stop_on_error: bool = False, in_flight: int = 1, per_call: int = 64, attempts: int = 3, backoff: float = 0.5) -> DataFrame:
     """Verdicts from a function of prompts to responses; a failure is a null response.
 
-    ``concurrency`` is how many tasks may call at once. With ``stop_on_error`` a
-    failure or an unreadable verdict ends the job.
+    ``concurrency`` is how many tasks may call at once, ``in_flight`` how many
+    calls of ``per_call`` prompts each of them has open. A call that raises is
+    tried ``attempts`` times with growing pauses; then its rows have a null
+    response and the error in ``call_error``, so one bad call costs its own
+    rows only. With ``stop_on_error`` a failure or an unreadable verdict ends
+    the job.
     """
     asked = prompts(rows).select(id_col, "prompt")
     if concurrency:
         asked = asked.repartition(concurrency)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "response": call(batch["prompt"].tolist())})
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                texts = batch["prompt"].tolist()
+                parts = [texts[k : k + per_call] for k in range(0, len(texts), per_call)]
+                responses, errors = [], []
+                for got, error in pool.map(lambda p: _asked(call, p, attempts, backoff), parts):
+                    responses += got
+                    errors += [error] * len(got)
+                yield pd.DataFrame({id_col: batch[id_col], "response": pd.Series(responses, dtype=object, index=batch.index), "call_error": pd.Series(errors, dtype=object, index=batch.index)})
 
     kind = dict(asked.dtypes)[id_col]
-    parsed = parse_verdicts(asked.mapInPandas(run, f"{id_col} {kind}, response string"))
+    parsed = parse_verdicts(asked.mapInPandas(run, f"{id_col} {kind}, response string, call_error string"))
     if stop_on_error:
-        good = F.when(~F.col("parse_failed"), True).otherwise(F.raise_error(F.concat(F.lit("no verdict for "), F.col(id_col).cast("string"))).cast("boolean"))
+        good = F.when(~F.col("parse_failed"), True).otherwise(F.raise_error(F.concat(F.lit("no verdict for "), F.col(id_col).cast("string"), F.coalesce(F.concat(F.lit(": "), "call_error"), F.lit("")))).cast("boolean"))
         parsed = parsed.filter(good)
     return parsed
 

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,20 +114,59 @@ def mcc_difference_interval(spark, first: list[int], second: list[int] | None =
     return out.withColumn("difference", F.lit(point)).withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 
 
-def poisson_bootstrap(rows: DataFrame, metric: Callable[[Column], Column], replicates: int = 200, seed: int = 0, id_col: str = "id") -> DataFrame:
-    """(replicate, value) of any metric that is an aggregate over weighted rows.
+PRIME = 2**31 - 1  #: of the weights' hashes
+_AHEAD = 64  # replicates that a task weighs at once
 
-    Each row gets a Poisson(1) weight per replicate from a hash of both, by
-    inversion, so the total weight varies between replicates.
-    """
-    u = F.pmod(F.xxhash64(F.col(id_col).cast("string"), "replicate", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    weight, below, term = F.lit(0), 0.0, math.exp(-1)
+
+def poisson_steps() -> list[int]:
+    """Borders of a Poisson(1) weight on the range of hashes: the weight is how many lie at or below the hash."""
+    below, term, out = 0.0, math.exp(-1), []
     for k in range(1, 12):
         below += term
         term /= k
-        weight = F.when(u >= below, k).otherwise(weight)
-    many = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", weight)
-    return many.filter("__w > 0").groupBy("replicate").agg(metric(F.col("__w")).alias("value"))
+        out.append(math.floor(below * PRIME))
+    return out
+
+
+def poisson_weights(h: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Weights (rows x replicates) from a row's hash below ``PRIME``, by two squarings between linear steps."""
+    x = (h[:, None] + (replicates + 1) * 1_000_003) % PRIME
+    x = (x * x + h[:, None]) % PRIME
+    x = (x * 48_271 + replicates) % PRIME
+    x = (x * x + h[:, None] * 3) % PRIME
+    return np.searchsorted(poisson_steps(), (x * 16_807) % PRIME, side="right")
+
+
+def row_hash(id_col: Column, seed: int) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", id_col.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.lit(PRIME))
+
+
+def poisson_bootstrap(rows: DataFrame, sums: dict[str, Column], value: Column, replicates: int = 200, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """(replicate, value) of any metric that is an expression over sums of row values.
+
+    ``sums`` names what is summed up; ``value`` is an expression over those
+    names and ``weight``, the total weight. Each row has a Poisson(1) weight in
+    each replicate from a hash of id and seed, so the total varies between
+    replicates. A task goes through its rows once and holds a vector of
+    ``replicates`` sums for each name; what is shuffled is a row per task and
+    replicate, however many rows there are. Null values count as 0.
+    """
+    names = list(sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((replicates, len(names) + 1))
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            x = np.column_stack([np.ones(len(h)), *(np.nan_to_num(batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float)) for k in range(len(names)))])
+            for lo in range(0, replicates, _AHEAD):
+                some = np.arange(lo, min(lo + _AHEAD, replicates), dtype=np.int64)
+                total[some] += poisson_weights(h, some).T @ x
+        columns = [pa.array(np.arange(replicates, dtype=np.int64)), *(pa.array(c) for c in total.T)]
+        yield pa.RecordBatch.from_arrays(columns, names=["replicate", "weight", *names])
+
+    given = rows.select(row_hash(F.col(id_col), seed).alias("h"), *[c.cast("double").alias(n) for n, c in sums.items()])
+    parts = given.mapInArrow(add, "replicate long, weight double, " + ", ".join(f"`{n}` double" for n in names))
+    return parts.groupBy("replicate").agg(*[F.sum(n).alias(n) for n in ("weight", *names)]).select("replicate", value.alias("value"))
 
 
 def verdict_on_difference(low: Column, high: Column) -> Column:

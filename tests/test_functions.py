@@ -70,7 +70,7 @@ def test_allocation_golden(spark):
 
 
 def test_canonical(spark):
-    cases = {"-9223372036854775808": "9223372036854775808", " 0x8000000000000000": "9223372036854775808", "007": "7", "-1": "18446744073709551615", "1e3": "1e3", "12.5": "12.5", "AbC ": "AbC", "-0x1": "18446744073709551615", "0x1" + "0" * 20: "0x1" + "0" * 20}
+    cases = {"-9223372036854775808": "9223372036854775808", " 0x8000000000000000": "9223372036854775808", "007": "7", "-1": "18446744073709551615", "1e3": "1e3", "12.5": "12.5", "AbC ": "AbC", "-0x1": "18446744073709551615", "0x1" + "0" * 20: str(16**20)}
     rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", X.canonical(F.col("v")).alias("c")).collect()
     assert {r["v"]: r["c"] for r in rows} == cases
 
@@ -166,7 +166,7 @@ def test_determinism_needs_repeats(spark):
 
 def test_poisson_bootstrap(spark):
     rows = spark.range(2000).withColumn("x", (F.col("id") % 2).cast("double"))
-    out = significance.poisson_bootstrap(rows, lambda w: F.sum(F.col("x") * w) / F.sum(w), 20)
+    out = significance.poisson_bootstrap(rows, {"x": F.col("x")}, F.col("x") / F.col("weight"), 20)
     assert out.agg(F.avg("value")).first()[0] == pytest.approx(0.5, abs=0.03)
 
 
@@ -203,3 +203,121 @@ def test_split_says_how_it_was_made(spark):
     assert (said["fit_malicious"], said["fit_benign"], said["held_malicious"], said["held_benign"], said["benign_by"]) == (10, 70, 10, 10, "capture")
     assert corpus.overlap(fit, held).first().asDict() == {"ids": 0, "malicious_captures": 0, "benign_captures": 0}
     assert corpus.overlap(rows, held).first()["ids"] == 20
+
+
+def test_canonical_of_any_width(spark):
+    cases = {}
+    for n in (1, 5, 6, 7, 15, 16, 17, 18, 31, 40, 64, 200):
+        for digits in ("f" * n, "1" + "0" * (n - 1), "00" + "9a" * (n // 2 + 1), "0" * n):
+            cases["0x" + digits] = str(int(digits, 16))
+            value = -int(digits, 16)
+            cases["-0X" + digits] = str(value + 2**64 if -(2**63) <= value < 0 else value)
+        number = "9" * n
+        cases["+00" + number] = str(int(number))
+        cases["-" + number] = str(2**64 - int(number) if int(number) <= 2**63 else -int(number))
+    cases |= {"-0": "0", "0x": "0x", "0xfg": "0xfg", "": "", " +7 ": "7", "--1": "--1"}
+    rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", X.canonical(F.col("v")).alias("c")).collect()
+    assert {r["v"]: r["c"] for r in rows} == cases
+    nulls = spark.createDataFrame([(None, "VOID"), ("0x10", "OBJECT<a: BIGINT>"), ("0x10", "STRING"), ("18446744073709551616", "DECIMAL(20,0)")], "v string, k string")
+    assert [r[0] for r in nulls.select(X.canonical(F.col("v"), F.col("k"))).collect()] == [None, "0x10", "16", "18446744073709551616"]
+
+
+@pytest.mark.parametrize("ids", [1, 5, 10, 20, 50, 200, 20_000])
+def test_quota_of_repeated_ids(spark, ids):
+    rows = spark.range(20_000).select((F.col("id") % ids).cast("string").alias("id"), F.lit("s").alias("stratum"), F.col("id").alias("row"))
+    rows = rows.unionByName(rows.withColumn("stratum", F.when(F.col("row") % 7 == 0, F.lit(None).cast("string")).otherwise("t")))
+    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).withColumn("quota", F.when(F.col("stratum") == "t", 0).when(F.col("stratum") == "s", 100).otherwise(2000))
+    out = sampling.take_quota(rows, sizes, ["stratum"], 3).collect()
+    assert len({(r["stratum"], r["row"]) for r in out}) == len(out) == 2100
+    assert sum(r["stratum"] == "s" for r in out) == 100
+
+
+def test_cells_by_quantile(spark):
+    """One far key doesn't push the others into one cell."""
+    rows = spark.range(20_000).select(F.rand(3).alias("s"), F.lit(1).alias("v")).unionByName(spark.createDataFrame([(1e9, 1), (None, 1)], "s double, v int"))
+    borders = rows.agg(F.percentile_approx("s", [k / 64 for k in range(1, 64)], 16 * 64).alias("b"))
+    sizes = [r["count"] for r in rows.filter("s IS NOT NULL").crossJoin(borders).groupBy(evaluation.cell_of(F.col("s"), F.col("b"), 8)).count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = sorted(((r["s"], r["v_before"]) for r in evaluation.before(rows, [], "s", ["v"], cells=64).collect()), key=lambda r: r[1])
+    assert [n for _, n in got] == list(range(20_002)) and got[0][0] == 1e9 and got[-1][0] is None
+
+
+def test_poisson_sums_and_intervals(spark):
+    rows = spark.range(4000).select("id", (F.col("id") % 10).cast("double").alias("x"))
+    a, b = ({r["replicate"]: r["value"] for r in significance.poisson_bootstrap(rows.repartition(n), {"x": F.col("x")}, F.col("x") / F.col("weight"), 300).collect()} for n in (1, 7))
+    assert a.keys() == b.keys() == set(range(300)) and all(a[k] == pytest.approx(b[k]) for k in a)
+    mean = sum(a.values()) / 300
+    spread = math.sqrt(sum((v - mean) ** 2 for v in a.values()) / 299)
+    assert mean == pytest.approx(4.5, abs=0.02) and spread == pytest.approx(math.sqrt(8.25 / 4000), rel=0.15)
+    weights = significance.poisson_weights(rows.select(significance.row_hash(F.col("id"), 1).alias("h")).toPandas()["h"].to_numpy(), significance.np.arange(50))
+    assert weights.mean() == pytest.approx(1, abs=0.02) and weights.var() == pytest.approx(1, abs=0.03)
+    assert abs(significance.np.corrcoef(weights.T) - significance.np.eye(50)).max() < 0.08  # replicates don't repeat each other
+
+
+def test_sketches_merge(spark):
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("day"), F.lit("process").alias("event_type"), F.create_map(F.lit("EventID"), F.lit("1"), F.lit("CommandLine"), F.expr("repeat('x', CAST(id % 9000 AS INT))")).alias("fields"))
+    exact = corpus.duplication(rows).first()
+    merged = corpus.merged_duplication(corpus.vector_sketch(rows, ["day"])).first()
+    assert merged["n"] == exact["n"] and abs(merged["distinct"] - exact["distinct"]) <= 0.02 * exact["distinct"]
+
+
+def test_types_tell_the_class(spark):
+    """Text "5" and number 5 have the same text; only the type differs, and after canonicalisation nothing does."""
+    rows = _records(spark, 50, 50).withColumn("fields", F.create_map(F.lit("Code"), F.lit("5"), F.lit("Gap"), F.lit(None).cast("string")))
+    rows = rows.withColumn("field_types", F.create_map(F.lit("Code"), F.when(F.col("is_malicious"), "STRING").otherwise("BIGINT"), F.lit("Gap"), F.lit("VOID")))
+    found = {r["key"]: r["accuracy"] for r in audit.shortcut_audit(rows).filter("check = 'value_type'").collect()}
+    assert found["Code"] == 1.0 and "Gap" not in found
+    text = {r["key"]: r["accuracy"] for r in audit.shortcut_audit(rows.drop("field_types")).filter("check = 'value_type'").collect()}
+    assert text["Code"] == 0.5
+    after = leakage.restrict_to_shared_support(rows)
+    assert {r["key"]: r["accuracy"] for r in audit.type_accuracy(after).collect()}["Code"] == 0.5
+    capped = {r["n"] for r in audit.shortcut_audit(rows, per_class=20).filter("check = 'year'").collect()}
+    assert capped == {40}
+
+
+def test_core_keys(spark):
+    rows = _records(spark, 3, 3)
+    core = {1: ["CommandLine", "Only", "Extra", "Image"], 2: ["Image"]}
+    assert sorted(tuple(r) for r in leakage.missing_core_keys(rows, core).collect()) == [(1, "Extra", "malicious"), (1, "Image", "benign"), (1, "Image", "malicious"), (1, "Only", "benign")]
+
+
+def test_calls_in_flight(spark, tmp_path):
+    rows = _records(spark, 40, 40)
+    mark = str(tmp_path)
+
+    def call(prompts):
+        import os
+        import time
+
+        time.sleep(0.05)
+        if any("Only" in p for p in prompts):
+            raise RuntimeError("server went away")
+        path = os.path.join(mark, str(hash(tuple(prompts))))
+        if not os.path.exists(path):  # the first attempt of every call fails
+            open(path, "w").close()
+            raise TimeoutError("slow")
+        return ['{"verdict":"benign","confidence":0.8,"reasoning":"plain"}'] * len(prompts)
+
+    out = scorers.score_batch(rows, call, in_flight=4, per_call=1, attempts=2, backoff=0.01).collect()
+    failed = {r["id"] for r in out if r["response"] is None}
+    assert failed == {f"m{k}" for k in range(0, 40, 2)} and len(out) == 80
+    assert {r["call_error"] for r in out if r["id"] in failed} == {"RuntimeError: server went away"}
+    assert all(r["verdict"] == "benign" and r["call_error"] is None for r in out if r["id"] not in failed)
+    with pytest.raises(Exception, match="no verdict for .*slow|no verdict for .*went away"):
+        scorers.score_batch(rows, call, attempts=1, stop_on_error=True).collect()
+
+
+def test_ordered_table(spark, tmp_path):
+    from loomwatch.operators import ordering
+
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).alias("g"))
+    out = ordering.write_shuffled(rows, 7, str(tmp_path / "t"), parts=6)
+    want = [r["id"] for r in rows.orderBy(X.draw_key(F.col("id"), 7), "id").collect()]
+    assert [r["id"] for r in out.orderBy("ordinal").collect()] == want
+    assert sorted(r["ordinal"] for r in out.collect()) == list(range(5000))
+    assert [r["id"] for r in ordering.first_rows(out, 10).orderBy("ordinal").collect()] == want[:10]
+    files = sorted((tmp_path / "t").glob("part-*.parquet"))
+    import pyarrow.parquet as pq
+
+    assert [x for f in files for x in pq.read_table(f).column("id").to_pylist()] == want  # the table is in order as it lies there
+    assert ordering.write_shuffled(rows.limit(0), 7, str(tmp_path / "none")).count() == 0
