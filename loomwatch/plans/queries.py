@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from loomwatch.functions import constants as C
 from loomwatch.functions import expressions as X
 from loomwatch.functions.measures import wilson_or_null
-from loomwatch.operators import audit, corpus, evaluation, leakage, sampling, scorers, significance
+from loomwatch.operators import audit, corpus, evaluation, leakage, ordering, sampling, scorers, significance
 from loomwatch.plans import experiments, views
-from loomwatch.sources import ingest
-from loomwatch.streaming import incremental
+from loomwatch.sources import event_lines, ingest, shared
+from loomwatch.streaming import incremental, numbering, verdict_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -766,3 +766,223 @@ def significance_report(spark, sf):
 @_query("context_experiment")
 def context_experiment(spark, sf):
     return experiments.context_experiment(views.alerts(spark, sf), views.verdicts(spark, sf))
+
+
+# --- files, streams and stores that Spark derives from the tables ------------
+
+
+def _write_lines(rows: DataFrame, name: str, parts: int = 4) -> str:
+    """Text files of (capture, event_id, value) rows: a folder for each capture, lines in the order of events across its files."""
+    path = shared.new_path(rows.sparkSession, name)
+    dealt = rows.repartitionByRange(parts, "capture", "event_id").sortWithinPartitions("capture", "event_id")
+    dealt.select("capture", "value").write.partitionBy("capture").text(path)
+    return path
+
+
+def _capture_of(file: Column) -> Column:
+    return F.regexp_extract(file, "/capture=([^/]*)/", 1)
+
+
+_PLACED = f"""{_ALERTS}, raw AS (SELECT source_capture_id AS capture, event_id, is_malicious, source_host, {_RAW} AS raw_json FROM alerts),
+    placed AS (SELECT *, CAST(sum(strlen(raw_json) + 1) OVER (PARTITION BY capture ORDER BY event_id) - strlen(raw_json) - 1 AS BIGINT) AS place FROM raw)"""
+
+
+@_query("event_file_scan", f"{_PLACED} SELECT capture, place, event_id, md5(raw_json) AS line FROM placed")
+def event_file_scan(spark, sf):
+    rows = views.alerts(spark, sf).select(F.col("source_capture_id").alias("capture"), "event_id", F.expr(_RAW).alias("value"))
+    lines = event_lines.read_lines(spark, _write_lines(rows, "event-files"), split_bytes=100_000)
+    events = ingest.with_place(ingest.events_of(lines), _capture_of(F.col("file")))
+    return events.select(F.col("capture_id").alias("capture"), F.col("index").alias("place"), ingest.text_of(F.col("raw"), "RecordNumber").cast("long").alias("event_id"), F.md5("raw_json").alias("line"))
+
+
+@_query(
+    "capture_files",
+    f"""{_PLACED} SELECT concat_ws(':', 'single', capture, place, substr(sha256(concat_ws(':', capture, place, raw_json)), 1, 16)) AS id, source_host, capture AS source_capture_id,
+    'T101' || substr(capture, 5) AS attack_technique, '001' AS attack_subtechnique FROM placed WHERE is_malicious AND capture NOT IN ({_quote(_COMPOUND)})""",
+)
+def capture_files(spark, sf):
+    """Single-technique captures from files, paired with metadata documents, ids by place."""
+    rows = views.alerts(spark, sf).filter("is_malicious").select(F.col("source_capture_id").alias("capture"), "event_id", F.expr(_RAW).alias("value"))
+    path = shared.new_path(spark, "capture-metadata")
+    known = rows.filter(~F.col("capture").isin(_COMPOUND)).select(F.col("capture").alias("id")).distinct()
+    known.selectExpr("id", "id AS document", *_MAPPING.split(",\n")).write.partitionBy("document").json(path)  # a file for each capture
+    lines = event_lines.read_lines(spark, _write_lines(rows, "captures"), split_bytes=100_000)
+    events = ingest.with_place(ingest.events_of(lines), _capture_of(F.col("file"))).withColumn("file", F.concat("capture_id", F.lit(".json")))
+    found = ingest.normalise_single(events, ingest.read_metadata(spark, path).drop("document"), "single")
+    return found.select("id", "source_host", "source_capture_id", "attack_technique", "attack_subtechnique")
+
+
+_NESTED = """to_json(named_struct('Event', named_struct('System', named_struct('EventID', named_struct('#text', event_code), 'Channel', channel, 'Computer', source_host,
+    'TimeCreated', named_struct('#attributes', named_struct('SystemTime', moment)), 'EventRecordID', event_id, 'Level', k % 5),
+    'EventData', named_struct('CommandLine', concat('run ', k), 'Channel', 'of the data'))))"""
+
+
+@_query(
+    "nested_event_scan",
+    f"""{_ALERTS} SELECT CAST(event_id AS VARCHAR) AS "RecordNumber", CAST(event_code AS VARCHAR) AS "EventID", {_CHANNEL} AS "Channel", source_host AS "Hostname",
+    {_MOMENT} AS "EventTime", {_MOMENT} AS "@timestamp", CAST(k % 5 AS VARCHAR) AS "Level", 'run ' || k AS "CommandLine", CAST(8 AS BIGINT) AS keys FROM alerts WHERE NOT is_malicious""",
+)
+def nested_event_scan(spark, sf):
+    """Nested event logs in a folder tree, read as one source and flattened."""
+    rows = views.alerts(spark, sf).filter("NOT is_malicious").withColumns({"channel": F.expr(_CHANNEL), "moment": F.expr(_MOMENT)})
+    rows = rows.select(F.concat(F.lit("log-"), (F.col("event_id") % 3).cast("string")).alias("capture"), "event_id", F.expr(_NESTED).alias("value"))
+    lines = event_lines.read_lines(spark, _write_lines(rows, "nested-logs"), split_bytes=100_000)
+    flat = ingest.flatten_nested(lines, "line")
+    keys = ["RecordNumber", "EventID", "Channel", "Hostname", "EventTime", "@timestamp", "Level", "CommandLine"]
+    return flat.select(*[ingest.text_of(F.col("raw"), k).alias(k) for k in keys], F.size(F.map_keys("raw")).cast("long").alias("keys"))
+
+
+@_query("stream_numbering", f"{_ALERTS} SELECT source_capture_id AS capture_id, event_id, row_number() OVER (PARTITION BY source_capture_id ORDER BY event_id) - 1 AS index FROM alerts WHERE is_malicious")
+def stream_numbering(spark, sf):
+    """Events of captures that arrive as files in two turns, numbered by a stream that is stopped in between."""
+    rows = views.alerts(spark, sf).filter("is_malicious").select(F.col("source_capture_id").alias("capture_id"), "event_id")
+    half = rows.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    arriving, out, mark = (shared.new_path(spark, n) for n in ("arriving", "numbered", "numbered-mark"))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    known = spark.conf.get(setting)
+    spark.conf.set(setting, numbering.STORE)
+    try:
+        for part in (rows.filter(F.col("event_id") <= half), rows.filter(F.col("event_id") > half)):
+            part.write.mode("append").parquet(arriving)
+            stream = numbering.numbered(spark.readStream.schema(rows.schema).parquet(arriving), ["event_id"])
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, known)
+    return spark.read.parquet(out).select("capture_id", "event_id", "index")
+
+
+_STORED = "id AS record_id, verdict, confidence, CASE WHEN verdict = 'malicious' THEN 'T1059' END AS attack_technique"
+
+
+@_query(
+    "verdict_checkpoint",
+    f"""{_RICH}, {_VERDICTS[len(_ALERTS) + 1:]} SELECT p.id, p.is_malicious, p.event_code, p.attack_technique, b.bucket = 'context_rich' AS context_rich, p.verdict, p.confidence,
+    CASE WHEN p.verdict = 'malicious' THEN 'T1059' END AS predicted_technique FROM preds p JOIN bucketed b USING (id)""",
+)
+def verdict_checkpoint(spark, sf):
+    """Verdicts written to a committed store in two batches, one of them twice, and joined with their records."""
+    path, rows = shared.new_path(spark, "verdict-store"), views.verdicts(spark, sf).selectExpr(*_STORED.split(", "))
+    for k in (0, 1, 0):
+        verdict_store.append_batch(rows.filter(F.pmod(F.xxhash64("record_id"), F.lit(2)) == k), path, f"half-{k}")
+    return incremental.checkpoint_table(views.alerts(spark, sf), verdict_store.read_store(spark, path, rows.schema))
+
+
+# --- values, order and resampling at any size --------------------------------
+
+_WIDE = """CASE k % 6 WHEN 0 THEN concat('0x', substr(sha2(id, 256), 1, 40)) WHEN 1 THEN concat('-0X00', substr(sha2(id, 256), 1, 17 + k % 40)) WHEN 2 THEN concat('+000', translate(sha2(id, 256), 'abcdef', '123456'))
+    WHEN 3 THEN concat(' -', substr(translate(sha2(id, 256), 'abcdef', '987654'), 1, 1 + k % 50)) WHEN 4 THEN concat('0x', substr(sha2(id, 256), 1, 1 + k % 20)) ELSE concat(sha2(id, 256), 'x') END"""
+_BIG = "list_reduce(list_prepend(0::BIGNUM, list_transform(string_split(d, ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGNUM)), lambda a, c: list_sum([" + ", ".join(["a"] * 16) + ", c])::BIGNUM)"
+
+
+@_query(
+    "canonical_wide",
+    f"""{_ALERTS}, v AS (SELECT id, trim({_WIDE.replace('sha2(id, 256)', 'sha256(id)')}) AS t FROM alerts),
+    p AS (SELECT id, t, starts_with(t, '-') AS minus, lower(regexp_extract(t, '^-?0[xX]0*([0-9a-fA-F]+)$', 1)) AS d, regexp_extract(t, '^[+-]?0*([0-9]+)$', 1) AS n FROM v),
+    m AS (SELECT *, CASE WHEN n <> '' THEN n WHEN d <> '' THEN ({_BIG})::VARCHAR END AS size FROM p)
+    SELECT id, CASE WHEN size IS NULL THEN t WHEN NOT minus OR size = '0' THEN size WHEN length(size) < 19 OR (length(size) = 19 AND size::HUGEINT <= 9223372036854775808) THEN (18446744073709551616 - size::HUGEINT)::VARCHAR
+        ELSE '-' || size END AS value FROM m""",
+)
+def canonical_wide(spark, sf):
+    return views.alerts(spark, sf).select("id", X.canonical(F.expr(_WIDE)).alias("value"))
+
+
+_TYPED = """concat('{"Code":', CASE WHEN is_malicious THEN '"5"' ELSE '5' END, ',"Same":"', k, '","Mixed":', CASE WHEN k % 3 = 0 THEN 'null' WHEN k % 3 = 1 THEN '1.5' ELSE '{"a":1}' END, ',"Wide":', CASE WHEN k % 2 = 0 THEN '123456789012345678901' ELSE '7' END, CASE WHEN k % 4 = 0 THEN ',"Seldom":true' ELSE '' END, '}')"""
+
+
+@_query(
+    "value_type_audit",
+    f"""{_ALERTS}, j AS (SELECT is_malicious, {_TYPED} AS raw FROM alerts), keys AS (SELECT unnest(['Code', 'Same', 'Mixed', 'Wide', 'Seldom']) AS key),
+    typed AS (SELECT key, is_malicious, CASE json_type(raw, '$.' || key) WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'HUGEINT' THEN 'int' ELSE json_type(raw, '$.' || key) END AS type, json_extract_string(raw, '$.' || key) AS v FROM j, keys),
+    f AS (SELECT key, is_malicious, CASE WHEN v IS NULL OR type = 'NULL' THEN 'none' WHEN key = 'Wide' THEN 'int' ELSE type END AS type FROM typed),
+    c AS (SELECT key, type, count(*) FILTER (is_malicious) AS m, count(*) FILTER (NOT is_malicious) AS b FROM f GROUP BY 1, 2)
+    SELECT key, CAST(sum(m + b) AS BIGINT) AS n, round(sum(greatest(m, b)) / sum(m + b), 6) AS accuracy FROM c GROUP BY 1""",
+)
+def value_type_audit(spark, sf):
+    raw = F.from_json(F.expr(_TYPED), "map<string,variant>", {"mode": "FAILFAST"})
+    rows = views.alerts(spark, sf).select("is_malicious", F.transform_values(raw, lambda k, v: F.schema_of_variant(v)).alias("field_types"))
+    return _rounded(audit.type_accuracy(rows).select("key", "n", "accuracy"))
+
+
+@_query(
+    "core_key_parity",
+    f"""{_WITH_KV}, {_SHARED}, core AS (SELECT * FROM (VALUES (1, 'EventID'), (1, 'CaptureOnly'), (2, 'BaselineOnly'), (2, 'User'), (3, 'Image'), (4658, 'EventID')) AS t (event_code, key)),
+    {_SIDES}, need AS (SELECT core.* FROM core JOIN events2 USING (event_code)), s AS (SELECT need.*, coalesce(m, false) AS m, coalesce(b, false) AS b FROM need LEFT JOIN sides USING (event_code, key))
+    SELECT event_code, key, 'malicious' AS side FROM s WHERE NOT m UNION ALL SELECT event_code, key, 'benign' FROM s WHERE NOT b""",
+)
+def core_key_parity(spark, sf):
+    core = {1: ["EventID", "CaptureOnly"], 2: ["BaselineOnly", "User"], 3: ["Image"], 4658: ["EventID"]}
+    return leakage.missing_core_keys(views.alerts(spark, sf), core)
+
+
+@_query("metric_bundle", f"{_VERDICTS}, c AS (SELECT policy, {_COUNTS} FROM long WHERE pred IS NOT NULL GROUP BY 1) SELECT policy, tp + fp + fn + tn AS n, tp, fp, fn, tn, {_MEASURES} FROM c")
+def metric_bundle(spark, sf):
+    return _rounded(evaluation.metric_bundle(_long(spark, sf), ["policy"]))
+
+
+@_query("seeded_shuffle", f"{_ALERTS} SELECT row_number() OVER (ORDER BY md5(id || ':{SEED}'), id) - 1 AS ordinal, id FROM alerts")
+def seeded_shuffle(spark, sf):
+    return ordering.write_shuffled(views.alerts(spark, sf).select("id"), SEED, shared.new_path(spark, "shuffled"))
+
+
+@_query("ordered_strata", f"{_ALERTS}, s AS (SELECT CAST(event_code AS VARCHAR) AS stratum, count(*) AS n FROM alerts GROUP BY 1) SELECT row_number() OVER (ORDER BY stratum) - 1 AS ordinal, stratum, n FROM s")
+def ordered_strata(spark, sf):
+    strata = views.alerts(spark, sf).groupBy(F.col("event_code").cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    return ordering.write_ordered(strata, ["stratum"], shared.new_path(spark, "strata"))
+
+
+@_query("first_for_repeats", f"{_ALERTS}, o AS (SELECT id, row_number() OVER (ORDER BY md5(id || ':{SEED}'), id) AS r FROM alerts) SELECT id FROM o WHERE r <= 25")
+def first_for_repeats(spark, sf):
+    return experiments.first_rows(views.alerts(spark, sf).select("id"), 25, SEED)
+
+
+_REPLICATES = 40
+_POISSON = " + ".join(f"(u >= {b})::INTEGER" for b in significance.poisson_steps())
+
+
+@_query(
+    "poisson_bootstrap",
+    f"""{_VERDICTS}, h AS (SELECT is_malicious, pred_conservative AS pred, CAST('0x' || substr(md5(id || ':{SEED}'), 1, 8) AS BIGINT) % {significance.PRIME} AS h FROM preds WHERE pred_conservative IS NOT NULL),
+    a AS (SELECT *, (h + (r + 1) * 1000003) % {significance.PRIME} AS x FROM h, range({_REPLICATES}) AS t (r)), b AS (SELECT *, (x * x + h) % {significance.PRIME} AS y FROM a),
+    c AS (SELECT *, (y * 48271 + r) % {significance.PRIME} AS z FROM b), d AS (SELECT *, ((z * z + h * 3) % {significance.PRIME}) * 16807 % {significance.PRIME} AS u FROM c), w AS (SELECT *, {_POISSON} AS w FROM d)
+    SELECT r AS replicate, round(sum(w) FILTER (pred AND is_malicious) / sum(w) FILTER (pred), 6) AS value FROM w GROUP BY 1""",
+)
+def poisson_bootstrap(spark, sf):
+    """Precision under resampled rows."""
+    rows = _predictions(spark, sf).filter("pred_conservative IS NOT NULL")
+    pred, hit = F.col("pred_conservative").cast("int"), (F.col("pred_conservative") & F.col("is_malicious")).cast("int")
+    return _rounded(significance.poisson_bootstrap(rows, {"hits": hit, "preds": pred}, F.col("hits") / F.col("preds"), _REPLICATES, SEED))
+
+
+@_query(
+    "duplication_sketch",
+    f"""{_RULES}, kv AS ({_KV}), f AS ({_VECTOR}), days AS (SELECT f.* EXCLUDE (id), a.user_id % 5 AS part FROM f JOIN alerts a ON a.id = f.id) SELECT count(*) AS n, true AS within_2_percent FROM days""",
+)
+def duplication_sketch(spark, sf):
+    """Sketches of five parts, merged, against the exact number of distinct vectors."""
+    rows = views.alerts(spark, sf)
+    merged = corpus.merged_duplication(corpus.vector_sketch(rows.withColumn("part", F.col("user_id") % 5), ["part"]))
+    exact = corpus.duplication(rows).select(F.col("distinct").alias("exact"))
+    return merged.crossJoin(F.broadcast(exact)).select("n", (F.abs(F.col("distinct") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within_2_percent"))  # one row each
+
+
+@_query(
+    "quota_repeated_ids",
+    f"{_ALERTS}, s AS (SELECT event_code, count(*) AS n FROM alerts WHERE is_malicious GROUP BY 1), u AS (SELECT count(DISTINCT user_id % 7) AS ids FROM alerts WHERE is_malicious) SELECT event_code, least(n, 60) AS n FROM s",
+)
+def quota_repeated_ids(spark, sf):
+    """Quotas hold where seven ids stand for all rows."""
+    rows = views.alerts(spark, sf).filter("is_malicious").withColumn("few", (F.col("user_id") % 7).cast("string"))
+    sizes = rows.groupBy("event_code").agg(F.count(F.lit(1)).alias("n")).withColumn("quota", F.least("n", F.lit(60)))
+    return sampling.take_quota(rows, sizes, ["event_code"], SEED, "few").groupBy("event_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("resume_in_buckets", f"{_ALERTS} SELECT id FROM alerts WHERE CAST(event_id AS BIGINT) % 3 <> 0")
+def resume_in_buckets(spark, sf):
+    """What a log in buckets of ids has no verdict for."""
+    rows = views.alerts(spark, sf)
+    path = shared.new_path(spark, "verdict-log")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    scored = rows.filter("event_id % 3 = 0").select("id", F.lit("benign").alias("verdict"), F.lit(0.5).alias("confidence"), *[F.lit(None).cast(t).alias(n) for n, t in (("attack_technique", "string"), ("reasoning", "string"), ("key_indicators", "array<string>"))])
+    incremental.create_log(spark, table, 8, path)
+    incremental.append_to_log(scored, table, 8)
+    return incremental.pending_in_log(rows.select("id"), table)

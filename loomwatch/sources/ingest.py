@@ -30,6 +30,25 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return kept.select("file", "block", "line", F.col("value").alias("raw_json"), F.from_json("value", "map<string,variant>", {"mode": "FAILFAST"}).alias("raw"))
 
 
+def events_of(lines: DataFrame) -> DataFrame:
+    """(file, offset, position, raw_json, raw) of ``event_lines`` rows; blank lines are skipped, malformed ones raise."""
+    kept = lines.filter(F.trim("line") != "")
+    return kept.select("file", "offset", "position", F.col("line").alias("raw_json"), F.from_json("line", "map<string,variant>", {"mode": "FAILFAST"}).alias("raw"))
+
+
+def with_place(events: DataFrame, capture: Column) -> DataFrame:
+    """``capture_id`` and, as ``index``, the byte of the capture at which an event begins, its files one behind the other.
+
+    It orders and tells apart a capture's events as their count would, and
+    needs no window: one aggregate, a row for each capture, is joined back.
+    A capture's files must lie next to each other in the order of paths.
+    """
+    named = events.withColumn("capture_id", capture)
+    first = named.groupBy("capture_id").agg(F.min(F.col("position") - F.col("offset")).alias("__first")).withColumnRenamed("capture_id", "__capture")
+    joined = named.join(first, F.col("capture_id").eqNullSafe(F.col("__capture")))
+    return joined.withColumn("index", F.col("position") - F.col("__first")).drop("__first", "__capture")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Capture metadata, one JSON document per file; anything else raises."""
     return spark.read.schema(METADATA).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -111,7 +130,7 @@ def _records(rows: DataFrame, dataset: str, labels: dict[str, Column], start: in
 
 def normalise_single(events: DataFrame, metadata: DataFrame, dataset: str) -> DataFrame:
     """Events of single-technique captures, labelled by the first mapping of their capture."""
-    paired = pair_metadata(events, metadata).withColumn("capture_id", F.col("id"))
+    paired = pair_metadata(events.drop("capture_id"), metadata).withColumn("capture_id", F.col("id"))
     first = F.when(F.size("attack_mappings") > 0, F.col("attack_mappings")[0])
     labels = {
         "is_malicious": F.lit(True),

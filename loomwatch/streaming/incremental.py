@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomwatch.functions.expressions import context_rich
 from loomwatch.sources.ingest import VERDICT_LOG
 
 LOG_COLUMNS = ["record_id", "verdict", "confidence", "attack_technique", "reasoning", "key_indicators"]
@@ -32,13 +33,52 @@ def pending(rows: DataFrame, log: DataFrame, id_col: str = "id") -> DataFrame:
     return rows.join(log.select(F.col("record_id").alias(id_col)), id_col, "left_anti")
 
 
+LOG_TABLE = "record_id string, verdict string, confidence double, attack_technique string, reasoning string, key_indicators array<string>"
+
+
+def create_log(spark, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """A verdict log as a table in buckets of record ids, if there is none of this name; it lies at ``path`` or in the warehouse."""
+    place = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({LOG_TABLE}) USING parquet CLUSTERED BY (record_id) SORTED BY (record_id) INTO {int(buckets)} BUCKETS{place}")
+
+
+def append_to_log(scored: DataFrame, table: str, buckets: int = 64, id_col: str = "id") -> None:
+    """Add verdicts to a log of buckets; each task writes the buckets that it was dealt, one file a bucket."""
+    rows = scored.select(F.col(id_col).cast("string").alias("record_id"), *LOG_COLUMNS[1:])
+    rows.repartition(buckets, "record_id").write.mode("append").bucketBy(buckets, "record_id").sortBy("record_id").saveAsTable(table)
+
+
+def pending_in_log(rows: DataFrame, table: str, id_col: str = "id") -> DataFrame:
+    """Rows that the log has no verdict for. Only ``rows`` are dealt out; the log lies in its buckets and isn't moved."""
+    known = rows.sparkSession.table(table).select(F.col("record_id"))
+    return rows.join(known, rows[id_col].cast("string") == F.col("record_id"), "left_anti")
+
+
+def score_stream_into(stream: DataFrame, score: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, buckets: int = 64, id_col: str = "id", path: str | None = None) -> StreamingQuery:
+    """Score arriving records into a log of buckets; a micro-batch joins its own rows with the buckets in place."""
+    create_log(stream.sparkSession, table, buckets, path)
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        append_to_log(score(pending_in_log(rows.dropDuplicates([id_col]), table, id_col)), table, buckets, id_col)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_verdicts(scored: DataFrame, path: str, id_col: str = "id") -> None:
     scored.select(F.col(id_col).cast("string").alias("record_id"), *LOG_COLUMNS[1:]).write.mode("append").parquet(path)
 
 
 def checkpoint_table(rows: DataFrame, verdicts: DataFrame, event: str = "event_code") -> DataFrame:
-    """Records with their verdicts, flat."""
-    return rows.select("id", "is_malicious", event, "attack_technique").join(verdicts.select(F.col("record_id").alias("id"), "verdict", "confidence", F.col("attack_technique").alias("predicted_technique")), "id")
+    """Records with their verdicts, flat; where records have fields, with whether they tell who acted or on what."""
+    rich = [context_rich(F.col("fields")).alias("context_rich")] if "fields" in rows.columns else []
+    mine = rows.select("id", "is_malicious", event, "attack_technique", *rich)
+    return mine.join(verdicts.select(F.col("record_id").alias("id"), "verdict", "confidence", F.col("attack_technique").alias("predicted_technique")), "id")
+
+
+def path_exists(spark, path: str) -> bool:
+    """Whether a path is there, on whatever file system Spark reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], log_path: str, checkpoint: str, id_col: str = "id") -> StreamingQuery:
@@ -47,13 +87,8 @@ def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], log
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         todo = rows.dropDuplicates([id_col])
-        try:
-            log = spark.read.parquet(log_path)
-        except Exception as e:  # the log does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            todo = pending(todo, log, id_col)
+        if path_exists(spark, log_path):  # not before the first batch
+            todo = pending(todo, spark.read.parquet(log_path), id_col)
         append_verdicts(score(todo), log_path, id_col)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
