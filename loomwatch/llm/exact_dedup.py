@@ -18,9 +18,10 @@ How it runs:
   third of the table leaves each task once and an owner gets at most about
   twice the texts that it keeps. A bucket that is overfull at the last depth
   has pages, which are ranges of keys too and may have different owners.
-* The probe side carries ids, keys and digests but no texts. Where a key has
-  one entry, the owner has found all texts of that key equal, so the key names
-  the entry; only keys with a chain are compared by text again. Adaptive
+* The probe side of a table against its own index carries ids, keys and digests
+  but no texts. Where a key has one entry, the owner has found all texts of that
+  key equal, so the key names the entry; only keys with a chain are compared by
+  text again. Rows of other tables are compared by text. Adaptive
   execution may split a hot key there.
 
 Nulls and ties: a null text counts as empty. A null id is ignored when the
@@ -122,21 +123,30 @@ def build_index(
     return stored(chained.select("bucket", "page", "key", "slot", "chain", "text", F.col("id").alias("keep_id"), F.col("n").alias("group_size")), "dedup-index")
 
 
-def probe_index(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row per row whose text is in the index: id, keep_id, group_size, kept, text_sha256."""
+def probe_index(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_key: Callable[[Column], Column] = F.xxhash64, inside: bool = False) -> DataFrame:
+    """One row per row whose text is in the index: id, keep_id, group_size, kept, text_sha256.
+
+    A key only finds the entries to compare with: texts decide. Where all rows
+    are known to be ``inside`` the index, a key with one entry has that text, so
+    texts of such keys stay where they are.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), hash_key(text).alias("key"), F.sha2(text, 256).alias("text_sha256"), text.alias("text"))
-    found = rows.drop("text").join(index.filter("chain = 1").select("key", "keep_id", "group_size"), "key")
-    chained = index.filter("chain > 1").select("key", "text", "keep_id", "group_size")
-    if not chained.isEmpty():
-        found = found.unionByName(rows.join(chained, ["key", "text"]).drop("text"))
+    entry = ["keep_id", "group_size"]
+    if not inside:
+        found = rows.join(index.select("key", "text", *entry), ["key", "text"]).drop("text")
+    else:
+        found = rows.drop("text").join(index.filter("chain = 1").select("key", *entry), "key")
+        chained = index.filter("chain > 1").select("key", "text", *entry)
+        if not chained.isEmpty():
+            found = found.unionByName(rows.join(chained, ["key", "text"]).drop("text"))
     kept = F.col("id").eqNullSafe(F.col("keep_id"))
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000, max_depth: int = 14) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    return probe_index(docs, build_index(docs, id_col, text_col, capacity, max_depth), id_col, text_col)
+    return probe_index(docs, build_index(docs, id_col, text_col, capacity, max_depth), id_col, text_col, inside=True)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

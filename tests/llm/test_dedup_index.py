@@ -50,3 +50,11 @@ def test_one_exchange_for_texts(spark):
     placed = docs.select(F.xxhash64("text").alias("key"), "text").withColumn("owner", F.pmod("key", F.lit(4)).cast("int")).repartitionById(4, F.col("owner"))
     plan = placed.groupBy("owner", "key", "text").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_texts_outside_the_index(spark):
+    """A text that only shares a key with an entry is not found; nulls count as empty."""
+    by_length = lambda t: F.length(t).cast("long")
+    index = exact_dedup.build_index(spark.createDataFrame([(1, "aaa"), (2, ""), (3, "cc"), (4, "dd")], "doc_id long, text string"), hash_key=by_length)
+    probe = spark.createDataFrame([(7, "bbb"), (8, "aaa"), (9, None), (10, "ee"), (11, "dd"), (12, "longer")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["keep_id"]) for r in exact_dedup.probe_index(probe, index, hash_key=by_length).collect()) == [(8, 1), (9, 2), (11, 4)]
