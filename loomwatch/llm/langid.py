@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from loomwatch.llm.bytescan import slices
 
 _SLICE = 4096
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
+_ROWS, _CELLS = 64, 1 << 18  # texts counted at once, and cells of their sparse counts multiplied at once
 _UNDEFINED = "und"
 
 
@@ -40,6 +41,11 @@ def crc_of_id(id_col: str, buckets: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(buckets))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits and numbers of other scripts, as in a square or a circle, are none."""
+    return _LATIN.search(text) is not None or any(map(str.isalpha, text))
+
+
 def features(text: str, n: int, bits: int) -> np.ndarray:
     """Hashed n-grams of 1 to ``n`` code points."""
     points = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "replace"), np.uint32)
@@ -68,7 +74,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         for batch in batches:
             for part in slices(batch, "text"):
                 for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if _LETTER.search(text):
+                    if has_letter(text):
                         if label not in sums:
                             sums[label] = np.zeros(1 << bits, np.int64)
                         sums[label] += np.bincount(features(text, n, bits), minlength=1 << bits)
@@ -132,21 +138,41 @@ class _Scorer:
         self.logs = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model[1].T))
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        table, best, scores = self.logs.value, [], []
-        for text in texts.to_pylist():
-            if not self.labels or text is None or not _LETTER.search(text):
-                best.append(_UNDEFINED)
-                scores.append(0.0)
-                continue
-            counts = np.bincount(features(text, self.n, self.bits), minlength=1 << self.bits)
-            have = np.flatnonzero(counts)
-            sums = counts[have].astype(np.float64) @ table[have] + table[-1]
-            k = int(sums.argmax())
-            best.append(self.labels[k])
-            scores.append(float(1 / np.exp(sums - sums[k]).sum()))
+        table = self.logs.value
+        given = texts.to_pylist()
+        best, scores = [_UNDEFINED] * len(given), [0.0] * len(given)
+        known = [i for i, t in enumerate(given) if self.labels and t is not None and has_letter(t)]
+        for lo in range(0, len(known), _ROWS):
+            rows = known[lo : lo + _ROWS]
+            sums = _sparse_product(*_sparse_counts([features(given[i], self.n, self.bits) for i in rows], self.bits), table) + table[-1]
+            top = sums.argmax(axis=1)
+            share = 1 / np.exp(sums - sums[np.arange(len(rows)), top][:, None]).sum(axis=1)
+            for i, k, s in zip(rows, top.tolist(), share.tolist()):
+                best[i], scores[i] = self.labels[k], s
         return best, scores
 
 
+def _sparse_counts(found: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of features as a sparse matrix by rows: counts, columns, where each row begins."""
+    size = np.array([len(f) for f in found])
+    cells = np.concatenate(found).astype(np.int64) + np.repeat(np.arange(len(found)) << bits, size)
+    dense = np.bincount(cells, minlength=len(found) << bits)
+    have = np.flatnonzero(dense)
+    return dense[have].astype(np.float64), have & ((1 << bits) - 1), np.searchsorted(have, np.arange(len(found) + 1) << bits)
+
+
+def _sparse_product(counts: np.ndarray, columns: np.ndarray, begin: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The sparse matrix times ``table``, a bounded number of cells at a time."""
+    out = np.zeros((len(begin) - 1, table.shape[1]))
+    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    step = max(1, _CELLS // max(1, table.shape[1]))
+    for lo in range(0, len(counts), step):
+        some = slice(lo, lo + step)
+        first = np.flatnonzero(np.diff(row[some], prepend=-1))
+        out[row[some][first]] += np.add.reduceat(counts[some, None] * table[columns[some]], first, axis=0)
+    return out
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """Train on the learning folds and predict every row."""
     return predict(docs, train(docs, id_col, text_col, label_col), id_col, text_col)
