@@ -9,6 +9,7 @@ from loomwatch.functions.constants import UNRESOLVED
 from loomwatch.functions.expressions import features, pseudonym
 from loomwatch.operators.leakage import neutralize_times, restrict_to_shared_support
 from loomwatch.operators.sampling import stratified_sample, uniform_sample
+from loomwatch.sources.shared import written
 
 
 def label_violations(rows: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def assemble_corpus(rows: DataFrame, ratio: float = 4.0, seed: int = 20260818, m
     """
     _class_counts(rows)
     if mitigate:
-        rows = restrict_to_shared_support(rows, seed=seed, event=event).cache()
+        rows = written(restrict_to_shared_support(rows, seed=seed, event=event), "shared-support")
     m, b = _class_counts(rows)
     if mitigate:
         rows = neutralize_times(rows.withColumn("__c", F.concat_ws(":", "is_malicious", "source_capture_id")), "__c").drop("__c")

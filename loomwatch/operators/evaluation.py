@@ -63,24 +63,39 @@ def slice_report(rows: DataFrame, slices: list[str], truth: str = "is_malicious"
         kind = F.when(F.col("gid") == gid, s).otherwise(kind)
         value = F.when(F.col("gid") == gid, F.col(s).cast("string")).otherwise(value)
     out = grouped.withColumns({"slice_kind": kind, "slice_value": value}).filter(F.col("slice_value").isNotNull())
+    return with_measures(out).drop("gid", *slices)
+
+
+def with_measures(out: DataFrame) -> DataFrame:
+    """All measures of confusion counts, with Wilson bounds of recall, precision and false-positive rate."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     out = out.withColumns(measures(tp, fp, fn, tn))
     bounds = {"recall": (tp, tp + fn), "precision": (tp, tp + fp), "fpr": (fp, fp + tn)}
     for name, (s, n) in bounds.items():
         w = wilson_or_null(s, n)
         out = out.withColumns({f"{name}_low": w["low"], f"{name}_high": w["high"]})
-    return out.drop("gid", *slices)
+    return out
 
 
 def full_slice_report(rows: DataFrame, slices: list[str], truth: str = "is_malicious", pred: str = "pred") -> DataFrame:
-    """``slice_report`` with class sizes, ranking areas of committed rows, coverage and selective accuracy of every slice."""
+    """``slice_report`` with class sizes, ranking areas of committed rows, coverage and selective accuracy of every slice.
+
+    Rows are counted once, by policy, values of the slices and score; kinds of
+    slices are spread over these counts, and everything else is sums of them.
+    """
+    held = F.col(pred).isNotNull()
+    counted = rows.groupBy("policy", *slices, "score").agg(*confusion(F.col(truth), F.col(pred)), F.count_if(F.col(truth) & ~held).alias("m0"), F.count_if(~F.col(truth) & ~held).alias("b0"))
     kinds = F.array(F.struct(F.lit("pooled").alias("slice_kind"), F.lit("all").alias("slice_value")), *[F.struct(F.lit(s).alias("slice_kind"), F.col(s).cast("string").alias("slice_value")) for s in slices])
-    by = ["policy", "slice_kind", "slice_value"]
-    spread = rows.select("policy", truth, pred, "score", F.explode(kinds).alias("k")).select("policy", truth, pred, "score", "k.*").filter("slice_value IS NOT NULL")
-    sizes = spread.groupBy(*by).agg(F.count_if(F.col(truth)).alias("n_malicious"), F.count_if(~F.col(truth)).alias("n_benign"))
-    areas = ranking(spread.filter(F.col(pred).isNotNull()), by, truth)
-    chosen = selective(spread, by, pred, truth)
-    return slice_report(rows, slices, truth, pred).join(sizes, by).join(areas, by, "left").join(chosen, by, "left")
+    by, cells = ["policy", "slice_kind", "slice_value"], ["tp", "fp", "fn", "tn", "m0", "b0"]
+    spread = counted.withColumn("k", F.explode(kinds)).select("policy", "k.*", "score", *cells).filter("slice_value IS NOT NULL")
+    scores = spread.groupBy(*by, "score").agg(*[F.sum(c).alias(c) for c in cells])
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    committed = tp + fp + fn + tn
+    sums = with_measures(scores.groupBy(*by).agg(*[F.sum(c).alias(c) for c in cells]).filter(committed > 0))
+    n = committed + F.col("m0") + F.col("b0")
+    told = sums.withColumns({"n_malicious": tp + fn + F.col("m0"), "n_benign": fp + tn + F.col("b0"), "n": n, "committed": committed, "coverage": committed / n, "selective_accuracy": (tp + tn) / committed}).drop("m0", "b0")
+    points = scores.select(*by, "score", (tp + fn).alias("p"), (fp + tn).alias("n")).filter("p + n > 0")
+    return told.join(areas_of(points, by, "score"), by, "left")
 
 
 def technique_slices(rows: DataFrame, pred: str = "pred") -> DataFrame:
@@ -126,7 +141,11 @@ def ranking(rows: DataFrame, by: list[str], truth: str = "is_malicious", score:
 
     Ties are one threshold. Rows are first counted by distinct score.
     """
-    counted = rows.groupBy(*by, score).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n"))
+    return areas_of(rows.groupBy(*by, score).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n")), by, score)
+
+
+def areas_of(counted: DataFrame, by: list[str], score: str) -> DataFrame:
+    """``ranking`` from the rows of each class (p, n) at each distinct score."""
     sums = before(counted, by, score, ["p", "n"]).withColumns({"tp": F.col("p_before") + F.col("p"), "fp": F.col("n_before") + F.col("n")})
     points = sums.groupBy(*by).agg(
         F.sum("p").alias("pos"),
@@ -193,11 +212,11 @@ def risk_coverage(rows: DataFrame, position: str, pred: str = "pred", truth: str
 def area_under_risk(curve: DataFrame) -> DataFrame:
     """Trapezoid area of a risk-coverage curve, with a point at coverage 0 and the first risk.
 
-    Neighbours are met by joining k with k + 1, not by one sorted window.
+    Coverage grows by one row's share at each step, so the trapezoids add up to
+    the sum of risks with half of the first and without half of the last.
     """
-    after = curve.select((F.col("k") + 1).alias("k"), F.col("coverage").alias("c0"), F.col("risk").alias("r0"))
-    steps = curve.join(after, "k", "left").select((F.col("coverage") - F.coalesce("c0", F.lit(0.0))).alias("w"), ((F.col("risk") + F.coalesce("r0", "risk")) / 2).alias("h"))
-    return steps.agg(F.sum(F.col("w") * F.col("h")).alias("aurc"))
+    sums = curve.agg(F.sum("risk").alias("s"), F.min_by("risk", "k").alias("first"), F.max_by("risk", "k").alias("last"), F.min("coverage").alias("step"))
+    return sums.select(((F.col("s") + (F.col("first") - F.col("last")) / 2) * F.col("step")).alias("aurc"))
 
 
 def verdict_truth_table(verdicts: DataFrame) -> DataFrame:

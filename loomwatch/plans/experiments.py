@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwatch.functions.constants import POLICIES
 from loomwatch.functions.expressions import context_bucket, draw_key
 from loomwatch.operators import corpus, evaluation, sampling, scorers, significance
+from loomwatch.sources.shared import written
 
 SEED = 20260818
 CONTEXT_SEED = 20260819
@@ -65,12 +66,17 @@ def significance_report(predictions: DataFrame, headline: str = "conservative",
     return significance.mcnemar(left.join(right, "id"), ["system"])
 
 
+def technique_slice() -> Column:
+    """The technique of a record as a slice: none for unresolved records, which are reported apart."""
+    return F.when(F.col("technique_unresolved"), None).when(~F.col("is_malicious"), "benign").otherwise(F.coalesce("attack_technique", F.lit("unknown")))
+
+
 def report(predictions: DataFrame) -> dict[str, DataFrame]:
     """The metric tables of all systems, keyed by name."""
     rows = evaluation.by_policy(predictions).withColumn("policy", F.concat_ws("/", "system", "policy"))
     committed = predictions.filter(F.col("pred_conservative").isNotNull())
     return {
-        "slices": evaluation.slice_report(rows, ["event_code", "event_type"]),
+        "slices": evaluation.full_slice_report(rows.withColumn("technique", technique_slice()), ["event_code", "event_type", "technique"]),
         "techniques": evaluation.technique_slices(rows),
         "ranking": evaluation.ranking(committed, ["system"]),
         "selective": evaluation.selective(rows, ["policy"]),
@@ -87,7 +93,8 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
 
 def evaluate(rows: DataFrame, verdicts: DataFrame, size: int = 1925, fraction: float = 0.2, seed: int = SEED, pool: DataFrame | None = None, max_iter: int = 1000) -> dict[str, DataFrame]:
     """Sample (from ``pool``, if some captures are to be fitted on only), fit without leakage, score with all systems, and report."""
-    sample = sampling.eval_sample(rows if pool is None else pool, "event_code", size, fraction, seed).cache()
+    sample = sampling.eval_sample(rows if pool is None else pool, "event_code", size, fraction, seed)
+    sample = written(sample, "sample")
     fit, _ = corpus.leakage_safe_split(rows, sample)
     rate = base_rate(sample).first()["rate"]
     return report(systems(sample, fit, verdicts, rate, seed, max_iter))

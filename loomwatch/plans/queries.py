@@ -986,3 +986,60 @@ def resume_in_buckets(spark, sf):
     incremental.create_log(spark, table, 8, path)
     incremental.append_to_log(scored, table, 8)
     return incremental.pending_in_log(rows.select("id"), table)
+
+
+# --- significance and whole corpora, row by row -----------------------------
+
+@_query(
+    "mcnemar_by_event",
+    f"""{_VERDICTS}, b AS (SELECT id, {_BLOB} AS blob FROM alerts), r AS (SELECT b.id, ({_PATTERN}) OR a.event_code = 10 AS rule FROM b JOIN alerts a ON a.id = b.id),
+    j AS (SELECT event_code, pred_conservative = is_malicious AS a, rule = is_malicious AS b FROM preds JOIN r USING (id) WHERE pred_conservative IS NOT NULL AND CAST(user_id AS BIGINT) % 5 = 0),
+    c AS (SELECT event_code, count(*) AS n, count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (NOT a AND b) AS c FROM j GROUP BY 1),
+    t AS (SELECT *, CASE WHEN b + c >= 25 THEN (abs(b - c) - 1.0) * (abs(b - c) - 1.0) / (b + c) END AS statistic FROM c),
+    z AS (SELECT *, sqrt(statistic / 2) AS z FROM t),
+    e AS (SELECT *, -- erfc by its series for small z and its continued fraction for large z
+        CASE WHEN z < 2 THEN log10(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda k: power(-1, k) * power(z, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))))
+             ELSE -z * z / ln(10) - log10(sqrt(pi())) - log10(list_reduce(list_prepend(z, list_reverse(range(1, 200))::DOUBLE[]), lambda f, k: z + (k / 2) / f)) END AS tail,
+        least(0.0, log10(2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2)))))) AS exact FROM z)
+    SELECT event_code, n, b, c, round(statistic, 6) AS statistic, round(CASE WHEN statistic IS NOT NULL THEN tail WHEN b + c = 0 THEN 0.0 ELSE exact END, 5) AS log10_p FROM e""",
+)
+def mcnemar_by_event(spark, sf):
+    llm = _predictions(spark, sf).filter("user_id % 5 = 0").withColumn("pred", F.col("pred_conservative"))
+    pairs = significance.paired(llm, scorers.rules(views.alerts(spark, sf)), by=["event_code"])
+    tests = significance.mcnemar(pairs, ["event_code"])
+    return tests.select("event_code", "n", "b", "c", F.round("statistic", 6).alias("statistic"), F.round(F.log10("p"), 5).alias("log10_p"))
+
+
+_ASSEMBLED = f"""{_ALERTS}, {_QUOTAS}, c AS (SELECT count(*) FILTER (is_malicious) AS m, count(*) FILTER (NOT is_malicious) AS b FROM capped),
+    drawn AS (SELECT capped.*, row_number() OVER (PARTITION BY is_malicious ORDER BY md5(id || ':{SEED}'), id) AS place FROM capped)"""
+
+
+@_query(
+    "assemble_corpus_rows",
+    f"""{_ASSEMBLED} SELECT d.id, d.is_malicious, 'host-' || substr(sha256(lower(split_part(source_host, '.', 1))), 1, 12) AS source_host,
+    CAST(TIMESTAMP '2000-01-01' + (d.ts - min(d.ts) OVER (PARTITION BY d.is_malicious, d.source_capture_id)) AS VARCHAR)[1:19] AS moved
+    FROM drawn d, c QUALIFY d.is_malicious OR d.place <= round_even(c.m * 0.25, 0)""",
+)
+def assemble_corpus_rows(spark, sf):
+    """A corpus with a quarter as many benign rows, row by row."""
+    rows = corpus.assemble_corpus(views.alerts(spark, sf), ratio=0.25, seed=SEED)
+    return rows.select("id", "is_malicious", "source_host", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("moved"))
+
+
+@_query(
+    "baseline_systems",
+    f"""{_EVAL}, {_VERDICTS[len(_ALERTS) + 1:]}, bl AS (SELECT s.*, {_BLOB} AS blob FROM sample s),
+    systems AS (SELECT 'verdicts' AS system, p.is_malicious, p.event_type, p.pred_conservative AS pred FROM preds p SEMI JOIN sample USING (id)
+        UNION ALL SELECT 'majority', is_malicious, event_type, false FROM sample
+        UNION ALL SELECT 'random', is_malicious, event_type, {views.uniform_sql(f"id || ':{SEED}'", False)} < {RATE} FROM sample
+        UNION ALL SELECT 'rules', is_malicious, event_type, ({_PATTERN}) OR event_code = 10 FROM bl),
+    c AS (SELECT system, event_type, {_COUNTS} FROM systems WHERE pred IS NOT NULL GROUP BY 1, 2) SELECT system, event_type, tp, fp, fn, tn, {_MEASURES} FROM c""",
+)
+def baseline_systems(spark, sf):
+    """The verdicts and three baselines on one sample, by event type."""
+    sample = sampling.eval_sample(views.alerts(spark, sf), "event_code")
+    columns = ["system", "is_malicious", "event_type", "pred_conservative"]
+    out = evaluation.predictions_of_verdicts(sample, views.verdicts(spark, sf)).withColumn("system", F.lit("verdicts")).select(*columns)
+    for name, scored in (("majority", scorers.majority(sample)), ("random", scorers.stratified_random(sample, RATE, SEED)), ("rules", scorers.rules(sample))):
+        out = out.unionByName(scorers.as_predictions(scored, name).select(*columns))
+    return _rounded(evaluation.metric_table(out, ["system", "event_type"], pred="pred_conservative"))
