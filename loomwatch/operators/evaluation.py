@@ -7,7 +7,6 @@ have been counted, so their input is bounded by the number of scores.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,7 +110,7 @@ def cell_of(key: Column, borders: Column, step: int = 32) -> Column:
     return F.size(coarse) * step + F.size(F.filter(fine, lambda b: b <= key))
 
 
-def before(rows: DataFrame, by: list[str], key: str, values: list[str], ties: list[str] | None = None, cells: int = 512) -> DataFrame:
+def before(rows: DataFrame, by: list[str], key: str, values: list[str], ties: list[str] | None = None, cells: int = 128) -> DataFrame:
     """``rows`` with ``<value>_before``: the sum of a value over the group's rows with larger keys, or equal ones that ``ties`` puts first.
 
     A group's keys are cut into cells of about as many rows each, at borders
@@ -121,7 +120,7 @@ def before(rows: DataFrame, by: list[str], key: str, values: list[str], ties: li
     whose keys are as many as its rows. Null keys come last.
     """
     names = [f"__by{i}" for i in range(len(by))]
-    shares = F.lit(np.arange(1, cells) / cells)
+    shares = F.expr(f"array({', '.join(f'{k / cells!r}D' for k in range(1, cells))})")
     borders = F.percentile_approx(F.col(key).cast("double"), shares, 16 * cells).alias("__borders")
     span = rows.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)]).agg(borders)
     same = [rows[b].eqNullSafe(F.col(n)) for b, n in zip(by, names)]
