@@ -97,7 +97,7 @@ def evaluate(rows: DataFrame, verdicts: DataFrame, size: int = 1925, fraction: f
     sample = written(sample, "sample")
     fit, _ = corpus.leakage_safe_split(rows, sample)
     rate = base_rate(sample).first()["rate"]
-    return report(systems(sample, fit, verdicts, rate, seed, max_iter))
+    return report(written(systems(sample, fit, verdicts, rate, seed, max_iter), "predictions"))  # read by every table of the report
 
 
 def context_experiment(rows: DataFrame, verdicts: DataFrame, size: int = 1925, seed: int = CONTEXT_SEED, replicates: int = 10_000) -> DataFrame:
