@@ -9,13 +9,16 @@ of all learning documents.
 
 How it runs. Documents are packed into chunks of bounded size, stored
 compressed in the shared folder. Each chunk asks for the counts of its distinct
-n-grams: blobs of sorted 64-bit hashes, one for each range of hashes. A task
-per range adds up what all chunks have and answers each with two counts for
-every hash it asked for, in the same order, so an answer is small and no row is
-made for a single n-gram. Ranges are as many as the tokens need; what is
-shuffled follows the number of distinct n-grams per chunk and is blind to
-frequent words. The weights come from a histogram of quantised probabilities
-whose size doesn't depend on the corpus.
+n-grams: blobs of sorted hashes, one for each range of hashes. A task per range
+adds up what all chunks have and answers each with a count for every hash it
+asked for, in the same order, so an answer is small and no row is made for a
+single n-gram. A tuning chunk is answered twice, without and with what is held
+out for tuning. Ranges are as many as the tokens need; what is shuffled follows
+the number of distinct n-grams per chunk and is blind to frequent words. Words
+have hashes of 64 bits; longer n-grams have 24 bits more than the number of
+tokens has (64 at most), so that one in 16 million shares its hash with another,
+whatever the size of the corpus. The weights come from a histogram of quantised
+probabilities whose size doesn't depend on the corpus.
 
 Tokens are words without A-Z case, then one end per text. Nulls and ties: null
 text is empty, which is the end alone. A null id counts as the empty string for
@@ -26,6 +29,7 @@ empty table gives an empty result. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,8 @@ from loomwatch.llm.shared import stored
 _TEST, _TUNE, _FIT = 0, 1, 2
 _END, _BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xBF58476D1CE4E5B9)
 _BUCKETS = 48
+_SPARE_BITS = 24  # bits of an n-gram's hash beyond those of the number of tokens
+_HEAD = struct.Struct("<QB")  # how many values, and bytes of each
 _STEP = 4  # histogram cells for each doubling of a probability
 _PACKED = "chunk long, split int, tokens long, payload binary"
 _REQUEST = "level int, part int, chunk long, split int, hashes binary, counts binary"
@@ -50,12 +56,20 @@ _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """64-bit values byte by byte, so that the compression of shuffles meets runs of zeros."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Non-negative values byte by byte, as many bytes as the largest needs, compressed."""
+    v = values.astype("<u8")
+    width = (int(v.max(initial=0)).bit_length() + 7) // 8
+    raw = v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return _HEAD.pack(len(v), width) + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def _unplanes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+    n, width = _HEAD.unpack_from(blob)
+    out = np.zeros((n, 8), np.uint8)
+    if n and width:
+        raw = pa.decompress(blob[_HEAD.size :], decompressed_size=n * width, codec="zstd")
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 def _parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -63,6 +77,11 @@ def _parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
+def _unused_bits(level: int, tokens: int) -> np.uint64:
+    """Low bits that a hash of this level is without."""
+    return np.uint64(0 if level == 0 else max(0, 64 - _SPARE_BITS - tokens.bit_length()))
+
+
 def _pack(rows: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -115,7 +134,7 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str, folds: int, chunk_b
 class _Sequence:
     """The tokens of a chunk, and its distinct n-grams of each order."""
 
-    def __init__(self, payload: bytes, order: int):
+    def __init__(self, payload: bytes, order: int, tokens: int):
         batch = _unpack(payload)
         self.doc_ids = batch.column(0)
         words = Words(batch.column(1))
@@ -133,7 +152,8 @@ class _Sequence:
                 earlier = np.full(len(self.tokens), _BEGIN)
                 earlier[k - 1 :] = np.where(depth[k - 1 :] >= k - 1, self.tokens[: len(self.tokens) - k + 1], _BEGIN)
                 grams = chain(earlier, grams + np.uint64(k))
-            u, b = np.unique(grams, return_inverse=True)
+            low = _unused_bits(k - 1, tokens)
+            u, b = np.unique(grams >> low << low, return_inverse=True)
             self.unique.append(u)
             self.back.append(b.astype(np.int32))
 
@@ -144,23 +164,24 @@ class _Sequence:
         return np.add.reduceat(values, self.first)
 
 
-def gram_counts(packed: DataFrame, order: int, parts: int) -> DataFrame:
-    """Each chunk's answers: counts in the fit part and in all learning documents, and totals (chunk -1)."""
+def gram_counts(packed: DataFrame, order: int, parts: int, tokens: int) -> DataFrame:
+    """Each chunk's answers: counts in all learning documents and, for a tuning chunk, in the fit part; and totals (chunk -1)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("split", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
             for chunk, split, payload in zip(*(batch.column(k) for k in (0, 1, 2))):
                 release()
-                seq = _Sequence(payload.as_py(), order)
+                seq = _Sequence(payload.as_py(), order, tokens)
                 for level in range(order):
-                    hashes, counts = seq.unique[level], seq.counts(level)
+                    hashes, counts, low = seq.unique[level], seq.counts(level), _unused_bits(level, tokens)
                     cuts = np.searchsorted(_parts_of(hashes, parts), np.arange(parts + 1))
                     rows = []
                     for p in range(parts):
-                        h = hashes[cuts[p] : cuts[p + 1]]
+                        h = hashes[cuts[p] : cuts[p + 1]] >> low
                         if len(h):
-                            rows.append((level, p, chunk.as_py(), split.as_py(), _planes(np.diff(h, prepend=np.uint64(0))), _planes(counts[cuts[p] : cuts[p + 1]])))
+                            n = b"" if split.as_py() == _TEST else _planes(counts[cuts[p] : cuts[p + 1]])
+                            rows.append((level, p, chunk.as_py(), split.as_py(), _planes(np.diff(h, prepend=np.uint64(0))), n))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
@@ -177,7 +198,7 @@ def gram_counts(packed: DataFrame, order: int, parts: int) -> DataFrame:
                 if split == _FIT:
                     fit[where] += n
         level, part = int(group["level"].iloc[0]), int(group["part"].iloc[0])
-        rows = [(chunk, level, part, _planes(fit[w]), _planes(train[w]), 0, 0, 0, 0) for w, chunk in zip(pieces, group["chunk"])]
+        rows = [(chunk, level, part, _planes(fit[w]) if split == _TUNE else b"", _planes(train[w]), 0, 0, 0, 0) for w, chunk, split in zip(pieces, group["chunk"], group["split"])]
         release()
         rows.append((-1, level, part, b"", b"", int((fit > 0).sum()), int(fit.sum()), int((train > 0).sum()), int(train.sum())))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _REPLY.split(", ")])
@@ -229,16 +250,18 @@ def learn_weights(histogram: pd.DataFrame, order: int, rounds: int = 60) -> np.n
     return np.maximum(weights, 1e-9)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 2, chunk_bytes: int = 4 << 20, part_tokens: int = 400_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 3, chunk_bytes: int = 4 << 20, part_tokens: int = 400_000) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     packed = stored(pack_chunks(docs, id_col, text_col, folds, chunk_bytes), "lm-chunks")
     size = packed.groupBy("split").agg(F.sum("tokens").alias("tokens")).collect()
-    parts = max(4, -(-sum(r["tokens"] for r in size) // part_tokens))
-    replies = stored(gram_counts(packed, order, parts), "lm-counts")
+    tokens = int(sum(r["tokens"] for r in size))
+    parts = max(4, -(-tokens // part_tokens))
+    replies = stored(gram_counts(packed, order, parts, tokens), "lm-counts")
     sums = replies.filter("chunk = -1 AND level = 0").agg(*[F.sum(c).alias(c) for c in ("fit_types", "fit_tokens", "train_types", "train_tokens")]).first()
     totals = {k: int(v or 0) for k, v in sums.asDict().items()}
     answers = replies.filter("chunk >= 0").select("chunk", "level", "part", "fit", "train")
+    scored = answers.drop("fit")
     end_docs = packed.select("split", "chunk", "payload")
 
     def count_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +277,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         names = ["bucket", *[f"q{k}" for k in range(order + 1)], "n"]
         if not len(chunk):
             return pd.DataFrame(columns=names).astype("int64")
-        seq = _Sequence(chunk["payload"].iloc[0], order)
+        seq = _Sequence(chunk["payload"].iloc[0], order, tokens)
         _, probabilities, buckets = _estimates(seq, mine, "fit", totals)
         with np.errstate(divide="ignore"):
             cells = [buckets, *[np.where(p > 0, np.round(-np.log2(np.where(p > 0, p, 1.0)) * _STEP), -1).astype(np.int64) for p in probabilities]]
@@ -263,7 +286,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     fields = ["bucket", *[f"q{k}" for k in range(order + 1)]]
     tuning = packed.filter(F.col("split") == _TUNE)
-    mine = answers.join(tuning.select("chunk"), "chunk", "left_semi")
+    mine = answers.drop("train").join(tuning.select("chunk"), "chunk", "left_semi")
     cells = tuning.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInPandas(tune, ", ".join(f"{f} long" for f in [*fields, "n"]))
     weights = learn_weights(cells.groupBy(*fields).agg(F.sum("n").alias("n")).toPandas(), order)
     shared = spark.sparkContext.broadcast(weights)
@@ -273,7 +296,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         if not len(chunk):
             return pd.DataFrame(columns=names)
         release()
-        seq = _Sequence(chunk["payload"].iloc[0], order)
+        seq = _Sequence(chunk["payload"].iloc[0], order, tokens)
         counts, probabilities, buckets = _estimates(seq, mine, "train", totals)
         mixed = np.zeros(len(buckets))
         for k in range(order + 1):
@@ -293,4 +316,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             columns=names,
         )
 
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, _SCORE)
+    return packed.groupBy("chunk").cogroup(scored.groupBy("chunk")).applyInPandas(score, _SCORE)
