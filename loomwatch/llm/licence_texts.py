@@ -1,4 +1,4 @@
-"""Base phrases, and texts of licences and their notices with the phrase that each must have."""
+"""Base phrases, texts of licences and their notices with the phrase that each must have, identifiers."""
 
 #: Fixed base phrases and their labels.
 BASE_PHRASES = [
@@ -85,4 +85,59 @@ TEMPLATES = [
         publish, use, compile, sell, or distribute this software""",
         "free and unencumbered software",
     ),
+    (
+        "bsd",
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.""",
+        "may be used to endorse or promote products derived from this software",
+    ),
+    (
+        "mit",
+        """The above copyright notice and this permission notice shall be included in all copies or substantial portions
+        of the Software.""",
+        "shall be included in all copies or substantial portions of the Software",
+    ),
+    (
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation""",
+        "GNU Lesser General Public License",
+    ),
+    (
+        "cc-by",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "Creative Commons Attribution",
+    ),
+    ("cddl", "Common Development and Distribution License", "Common Development and Distribution License"),
+    ("eupl", "European Union Public Licence", "European Union Public Licence"),
+]
+
+#: Fixed identifiers of licences, as a line with SPDX-License-Identifier states them, and their labels.
+IDENTIFIERS = [
+    ("0BSD", "bsd"),
+    ("AGPL-3.0", "agpl"),
+    ("Apache-1.1", "apache"),
+    ("Apache-2.0", "apache"),
+    ("BSD-2-Clause", "bsd"),
+    ("BSD-3-Clause", "bsd"),
+    ("BSL-1.0", "bsl"),
+    ("CC-BY-3.0", "cc-by"),
+    ("CC-BY-4.0", "cc-by"),
+    ("CC-BY-SA-3.0", "cc-by-sa"),
+    ("CC-BY-SA-4.0", "cc-by-sa"),
+    ("CC0-1.0", "cc0"),
+    ("CDDL-1.0", "cddl"),
+    ("EPL-1.0", "epl"),
+    ("EPL-2.0", "epl"),
+    ("EUPL-1.2", "eupl"),
+    ("GPL-2.0", "gpl"),
+    ("GPL-3.0", "gpl"),
+    ("ISC", "isc"),
+    ("LGPL-2.1", "lgpl"),
+    ("LGPL-3.0", "lgpl"),
+    ("MIT", "mit"),
+    ("MPL-1.1", "mpl"),
+    ("MPL-2.0", "mpl"),
+    ("Unlicense", "unlicense"),
+    ("Zlib", "zlib"),
 ]

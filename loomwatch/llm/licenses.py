@@ -5,11 +5,15 @@ word its document frequency, and the index has a posting (template, offset) for
 every one of a template's words of highest IDF. A file looks up those of its
 words that the index has; every posting votes for the place where its template
 would begin. Places with enough votes are verified: the template's mandatory key
-phrase must stand there word for word.
+phrase must stand there word for word. An identifier line (``SPDX-License-Identifier``)
+is a template of one posting that is all key phrase.
 
 How it runs: built-in functions only, row by row, in one pass for all templates
-together: the plan doesn't grow with them, and votes are counted by a sort, so a
-text of nothing but licence words costs n log n. A second scan gathers document
+together: only the index in it grows with them. It is hashed into slots by the
+CRC-32 of a word, so a look-up takes the same time however many licences there
+are, and votes are counted by a sort, so a text of nothing but licence words
+costs n log n. The texts may come as a table; they are gathered on the driver, a
+row per licence text. A second scan gathers document
 frequencies, as many rows as the templates have words; it is the only shuffle.
 
 A word's index counts from 0 over all words of the text. Nulls and ties: null
@@ -23,12 +27,13 @@ are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwatch.llm.licence_texts import BASE_PHRASES, TEMPLATES
+from loomwatch.llm.licence_texts import BASE_PHRASES, IDENTIFIERS, TEMPLATES
 from loomwatch.llm.spans import let
 
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,14 +50,17 @@ class Template:
     key: tuple[str, ...]
     key_at: int
     base: bool
+    rare: int | None = None  # how many of its words the index has; None: as many as of others
 
 
 def _cut(text: str) -> tuple[str, ...]:
     return tuple("".join(c if c.isalnum() or ord(c) > 127 else " " for c in text).lower().split())
 
 
-def load_templates(texts: list[tuple[str, str, str]] = TEMPLATES) -> list[Template]:
-    """Base phrases, which are their own key phrases, and then ``texts``."""
+def load_templates(texts: list[tuple[str, str, str]] | DataFrame = TEMPLATES, identifiers: list[tuple[str, str]] = IDENTIFIERS) -> list[Template]:
+    """Base phrases, which are their own key phrases, then ``texts`` and lines that state an identifier."""
+    if isinstance(texts, DataFrame):
+        texts = [tuple(r) for r in texts.select("label", "text", "key").orderBy("label", "text", "key").collect()]
     out = [Template(label, _cut(p), _cut(p), 0, True) for p, label in BASE_PHRASES]
     for label, text, key in texts:
         words, k = _cut(text), _cut(key)
@@ -60,6 +68,9 @@ def load_templates(texts: list[tuple[str, str, str]] = TEMPLATES) -> list[Templa
         if not k or not places:
             raise ValueError(f"the key phrase of {label} isn't in its text: {key!r}")
         out.append(Template(label, words, k, places[0], False))
+    for name, label in identifiers:
+        words = _cut(f"SPDX-License-Identifier: {name}")
+        out.append(Template(label, words, words, 0, False, rare=1))
     return out
 
 
@@ -84,7 +95,7 @@ def build_index(templates: list[Template], idf: dict[str, float], rare: int = 8)
     sizes = []
     for k, t in enumerate(templates):
         first = {w: t.words.index(w) for w in t.words}
-        order = sorted(first.items(), key=lambda x: (-idf.get(x[0], 0.0), x[1]))[:rare]
+        order = sorted(first.items(), key=lambda x: (-idf.get(x[0], 0.0), x[1]))[: t.rare or rare]
         sizes.append(len(order))
         for w, at in order:
             postings.setdefault(w, []).append((k, at))
@@ -95,15 +106,26 @@ def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
+def _slots(postings: dict[str, list[tuple[int, int]]]) -> tuple[Column, int]:
+    """The index as an array of slots, each with the words of one CRC-32 remainder and their postings; and how many."""
+    n = max(1, 2 * len(postings))
+    slots: list[list[Column]] = [[] for _ in range(n)]
+    for w, places in sorted(postings.items()):
+        p = _longs([t * _STEP + _SHIFT - at for t, at in places])
+        slots[zlib.crc32(w.encode()) % n].append(F.struct(F.lit(w).alias("w"), p.alias("p")))
+    return F.array(*[F.array(*s).cast("array<struct<w:string,p:array<bigint>>>") for s in slots]), n
+
+
 def _found(words: Column, templates: list[Template], postings: dict[str, list[tuple[int, int]]], sizes: list[int], least: float) -> Column:
     """Verified beginnings in order, as an array of (t, s, share)."""
     names = sorted(postings)
-    table = F.create_map(*[x for w in names for x in (F.lit(w), _longs([t * _STEP + _SHIFT - at for t, at in postings[w]]))])
+    table, slots = _slots(postings)
     need = _longs([1 if t.base else max(1, math.ceil(least * n)) for t, n in zip(templates, sizes)])
     size, key_at = _longs(sizes), _longs([t.key_at for t in templates])
     keys = F.array(*[F.array(*[F.lit(w) for w in t.key]) for t in templates])
     places = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(names), i)))
-    votes = F.array_sort(F.flatten(F.transform(places, lambda i: F.transform(F.element_at(table, F.get(words, i)), lambda p: p + i))))
+    slot = lambda w: F.filter(F.get(table, (F.crc32(w) % slots).cast("int")), lambda e: e["w"] == w)
+    votes = F.array_sort(F.flatten(F.transform(places, lambda i: F.transform(F.flatten(F.transform(slot(F.get(words, i)), lambda e: e["p"])), lambda p: p + i))))
     part = lambda x: F.floor(x / F.lit(_STEP)).cast("int")
 
     def elected(v: Column) -> Column:
@@ -126,12 +148,12 @@ def _found(words: Column, templates: list[Template], postings: dict[str, list[tu
 
 
 def license_report(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, least: float = 0.6, texts: list[tuple[str, str, str]] = TEMPLATES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, least: float = 0.6, texts: list[tuple[str, str, str]] | DataFrame = TEMPLATES
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``texts`` are (label, text, key phrase) of the licences to find beside the
-    base phrases; ``least`` is the share of a template's ``rare`` words that must
+    base phrases and identifiers, a list or a table with columns label, text and key; ``least`` is the share of a template's ``rare`` words that must
     agree on a place. The score is the largest such share that was verified.
     """
     templates = load_templates(texts)

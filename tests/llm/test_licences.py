@@ -5,7 +5,7 @@ import random
 import pytest
 
 from loomwatch.llm import licenses
-from loomwatch.llm.licence_texts import TEMPLATES
+from loomwatch.llm.licence_texts import IDENTIFIERS, TEMPLATES
 
 
 def report(spark, texts):
@@ -23,7 +23,7 @@ def brute(texts, least=0.6, rare=8):
     for words in cut:
         labels, base, best = set(), [], 0.0
         for t in templates:
-            ranked = sorted({w: t.words.index(w) for w in t.words}.items(), key=lambda x: (df[x[0]], x[1]))[:rare]
+            ranked = sorted({w: t.words.index(w) for w in t.words}.items(), key=lambda x: (df[x[0]], x[1]))[: t.rare or rare]
             for s in range(-len(t.words), len(words)):
                 share = sum(0 <= s + at < len(words) and words[s + at] == w for w, at in ranked) / len(ranked)
                 k = s + t.key_at
@@ -46,7 +46,8 @@ def texts():
             changed.append(" ".join("changed" if rng.random() < share else w for w in text.split()))
         words = text.split()
         changed += [" ".join(words[len(words) // 3 :]), " ".join(words[: len(words) // 2]), text + " " + text]
-    return plain + whole + changed
+    lines = [f"# SPDX-License-Identifier: {name}-or-later\nsome code" for name, _ in IDENTIFIERS]
+    return plain + whole + changed + lines + ["spdx license", "SPDX-License-Identifier: another", "spdx " * 50]
 
 
 def test_against_every_place(spark, texts):
@@ -71,3 +72,19 @@ def test_long_run_and_bad_key(spark):
     assert (r["n_base"], r["first_word"], r["last_word"], r["labels"]) == (30_000, 0, 4 * 29_999, "gpl")
     with pytest.raises(ValueError):
         licenses.load_templates([("x", "some words", "other words")])
+
+
+def test_identifiers(spark):
+    out = report(spark, [f"// SPDX-License-Identifier: {name}" for name, _ in IDENTIFIERS] + ["SPDX-License-Identifier: other"])
+    for d, (name, label) in enumerate(IDENTIFIERS):
+        assert label in out[d]["labels"].split(",") and out[d]["score"] == 1.0, name
+    assert (out[len(IDENTIFIERS)]["labels"], out[len(IDENTIFIERS)]["score"]) == ("", 0.0)
+
+
+def test_many_licences_from_a_table(spark):
+    """Hundreds of texts of a table, each found by its own words alone."""
+    texts = [(f"l{k}", f"alpha{k} beta{k} gamma{k} common words of licence delta{k} epsilon{k}", f"beta{k} gamma{k}") for k in range(400)]
+    table = spark.createDataFrame(texts, "label string, text string, key string")
+    docs = spark.createDataFrame([(k, f"some words, then {texts[k][1]} and more") for k in range(0, 400, 7)] + [(1, "common words of licence")], "doc_id long, text string")
+    out = {r["doc_id"]: r["labels"] for r in licenses.license_report(docs, texts=table).collect()}
+    assert out == {**{k: f"l{k}" for k in range(0, 400, 7)}, 1: ""}
