@@ -172,3 +172,34 @@ def test_stages_decide_per_row(spark):
     bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
     out = decontaminate.drop_contaminated(docs, bench).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == sorted([(None, "clean"), (5, "clean too"), (6, None), (None, None)], key=repr)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, texts without letters, repeated ids, copies, a leak, a long text and clashing columns through all stages; then no rows."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    vocabulary = {"en": [f"the{chr(97 + k % 26)}th{k}" for k in range(200)], "fr": [f"é{chr(97 + k % 26)}eau{k}" for k in range(200)]}
+
+    def text(lang):
+        return " ".join(rng.choices(vocabulary[lang], k=30))
+
+    leak = "one two three four five six seven eight nine ten"
+    plain = [(k, text(lang), lang, "s", 1) for k, lang in enumerate(["en", "fr"] * 10)]
+    odd = [
+        (None, None, None, None, None), (30, None, "en", "s", 1), (31, "", "en", None, 0), (32, "12 34 !!", None, "s", 8),
+        (0, text("en"), "en", "s", 1), (None, text("fr"), None, None, None), (33, plain[1][1], "fr", "t", 1),
+        (34, plain[2][1] + " more", "en", "t", 1), (35, f"{text('en')} {leak} {text('en')}", "en", "t", 1), (36, LONG, "en", "t", len(LONG)),
+    ]
+    docs = spark.createDataFrame(plain + odd, SCHEMA).withColumns({c: F.lit("clash") for c in CLASH})
+    bench = spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string")
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").toPandas()
+    ids = sorted((-1 if d != d or d is None else int(d)) for d in out.loc[out["start"] == 0, "doc_id"])
+    assert ids == sorted([-1, 0, 0, *range(2, 20), 33, 36])
+    assert out.groupby("sequence_id")["length"].sum().max() <= 4096
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
