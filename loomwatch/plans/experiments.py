@@ -100,12 +100,17 @@ def evaluate(rows: DataFrame, verdicts: DataFrame, size: int = 1925, fraction: f
     return report(written(systems(sample, fit, verdicts, rate, seed, max_iter), "predictions"))  # read by every table of the report
 
 
+def context_cells(rows: DataFrame, verdicts: DataFrame, size: int = 1925, seed: int = CONTEXT_SEED, policy: str = "conservative") -> DataFrame:
+    """(bucket, tp, fp, fn, tn, mcc): the confusion of each context bucket's own sample."""
+    sample = sampling.eval_sample(with_bucket(rows), "event_code", size=size, seed=seed, by=["bucket"])
+    scored = evaluation.predictions_of_verdicts(sample, verdicts).withColumn("pred", F.col(f"pred_{policy}"))
+    return evaluation.metric_table(scored, ["bucket"]).select("bucket", "tp", "fp", "fn", "tn", "mcc")
+
+
 def context_experiment(rows: DataFrame, verdicts: DataFrame, size: int = 1925, seed: int = CONTEXT_SEED, replicates: int = 10_000) -> DataFrame:
     """Confusion cells and MCC of each bucket's own sample, with the interval of their difference and the outcome."""
     spark = rows.sparkSession
-    sample = sampling.eval_sample(with_bucket(rows), "event_code", size=size, seed=seed, by=["bucket"])
-    scored = evaluation.predictions_of_verdicts(sample, verdicts).withColumn("pred", F.col("pred_conservative"))
-    table = evaluation.metric_table(scored, ["bucket"]).select("bucket", "tp", "fp", "fn", "tn", "mcc")
+    table = context_cells(rows, verdicts, size, seed)
     cells = {r["bucket"]: [r["tp"], r["fp"], r["fn"], r["tn"]] for r in table.collect()}  # two rows
     if missing := {"context_rich", "context_poor"} - cells.keys():
         raise ValueError(f"no rows in {', '.join(sorted(missing))}")

@@ -675,7 +675,11 @@ def classical_ml(spark, sf):
     return evaluation.metric_table(scored, [])
 
 
-@_query("score_batch")
+@_query(
+    "score_batch",
+    f"""{_PROMPT} SELECT CASE WHEN contains(prompt, '-enc') THEN 'malicious' WHEN length(prompt) % 50 <> 0 THEN 'benign' END AS verdict,
+    NOT contains(prompt, '-enc') AND length(prompt) % 50 = 0 AS parse_failed, count(*) AS n FROM p GROUP BY 1, 2""",
+)
 def score_batch(spark, sf):
     def call(prompts: list[str]) -> list[str | None]:
         return ['{"verdict":"malicious","confidence":0.9,"reasoning":"encoded"}' if "-enc" in p else '{"verdict":"benign","confidence":0.8,"reasoning":"plain"}' if len(p) % 50 else None for p in prompts]
@@ -763,6 +767,20 @@ def significance_report(spark, sf):
     return _evaluated(spark, sf)["significance"]
 
 
+@_query(
+    "context_cells",
+    f"""{_RICH}, {_VERDICTS[len(_ALERTS) + 1:]}, sizes AS (SELECT bucket, is_malicious, event_code, count(*) AS n FROM bucketed GROUP BY 1, 2, 3),
+    {_quota_sql('CASE WHEN is_malicious THEN 385 ELSE 1540 END', 'bucket, is_malicious')},
+    r AS (SELECT *, row_number() OVER (PARTITION BY bucket, is_malicious, event_code ORDER BY md5(id || ':{experiments.CONTEXT_SEED}'), id) AS r FROM bucketed),
+    drawn AS (SELECT r.id, r.bucket FROM r JOIN quota q ON q.bucket = r.bucket AND q.event_code = r.event_code AND q.is_malicious = r.is_malicious WHERE r.r <= q.quota),
+    s AS (SELECT d.bucket, p.is_malicious, p.pred_conservative AS pred FROM drawn d JOIN preds p USING (id) WHERE p.pred_conservative IS NOT NULL),
+    c AS (SELECT bucket, {_COUNTS} FROM s GROUP BY 1), m AS (SELECT bucket, tp, fp, fn, tn, {_MEASURES} FROM c) SELECT bucket, tp, fp, fn, tn, mcc FROM m""",
+)
+def context_cells(spark, sf):
+    """The part of the context experiment that draws nothing at random."""
+    return _rounded(experiments.context_cells(views.alerts(spark, sf), views.verdicts(spark, sf)))
+
+
 @_query("context_experiment")
 def context_experiment(spark, sf):
     return experiments.context_experiment(views.alerts(spark, sf), views.verdicts(spark, sf))
@@ -1026,20 +1044,39 @@ def assemble_corpus_rows(spark, sf):
     return rows.select("id", "is_malicious", "source_host", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("moved"))
 
 
+_SYSTEMS = f"""{_EVAL}, {_VERDICTS[len(_ALERTS) + 1:]}, bl AS (SELECT s.*, {_BLOB} AS blob FROM sample s),
+    systems AS (SELECT 'verdicts' AS system, p.id, p.is_malicious, p.event_type, p.pred_conservative AS pred FROM preds p SEMI JOIN sample USING (id)
+        UNION ALL SELECT 'majority', id, is_malicious, event_type, false FROM sample
+        UNION ALL SELECT 'random', id, is_malicious, event_type, {views.uniform_sql(f"id || ':{SEED}'", False)} < {RATE} FROM sample
+        UNION ALL SELECT 'rules', id, is_malicious, event_type, ({_PATTERN}) OR event_code = 10 FROM bl)"""
+
+
+def _systems(spark, sf) -> DataFrame:
+    sample = sampling.eval_sample(views.alerts(spark, sf), "event_code")
+    columns = ["system", "id", "is_malicious", "event_type", "pred_conservative"]
+    out = evaluation.predictions_of_verdicts(sample, views.verdicts(spark, sf)).withColumn("system", F.lit("verdicts")).select(*columns)
+    for name, scored in (("majority", scorers.majority(sample)), ("random", scorers.stratified_random(sample, RATE, SEED)), ("rules", scorers.rules(sample))):
+        out = out.unionByName(scorers.as_predictions(scored, name).select(*columns))
+    return out
+
+
 @_query(
     "baseline_systems",
-    f"""{_EVAL}, {_VERDICTS[len(_ALERTS) + 1:]}, bl AS (SELECT s.*, {_BLOB} AS blob FROM sample s),
-    systems AS (SELECT 'verdicts' AS system, p.is_malicious, p.event_type, p.pred_conservative AS pred FROM preds p SEMI JOIN sample USING (id)
-        UNION ALL SELECT 'majority', is_malicious, event_type, false FROM sample
-        UNION ALL SELECT 'random', is_malicious, event_type, {views.uniform_sql(f"id || ':{SEED}'", False)} < {RATE} FROM sample
-        UNION ALL SELECT 'rules', is_malicious, event_type, ({_PATTERN}) OR event_code = 10 FROM bl),
-    c AS (SELECT system, event_type, {_COUNTS} FROM systems WHERE pred IS NOT NULL GROUP BY 1, 2) SELECT system, event_type, tp, fp, fn, tn, {_MEASURES} FROM c""",
+    f"""{_SYSTEMS}, c AS (SELECT system, event_type, {_COUNTS} FROM systems WHERE pred IS NOT NULL GROUP BY 1, 2) SELECT system, event_type, tp, fp, fn, tn, {_MEASURES} FROM c""",
 )
 def baseline_systems(spark, sf):
     """The verdicts and three baselines on one sample, by event type."""
-    sample = sampling.eval_sample(views.alerts(spark, sf), "event_code")
-    columns = ["system", "is_malicious", "event_type", "pred_conservative"]
-    out = evaluation.predictions_of_verdicts(sample, views.verdicts(spark, sf)).withColumn("system", F.lit("verdicts")).select(*columns)
-    for name, scored in (("majority", scorers.majority(sample)), ("random", scorers.stratified_random(sample, RATE, SEED)), ("rules", scorers.rules(sample))):
-        out = out.unionByName(scorers.as_predictions(scored, name).select(*columns))
-    return _rounded(evaluation.metric_table(out, ["system", "event_type"], pred="pred_conservative"))
+    return _rounded(evaluation.metric_table(_systems(spark, sf), ["system", "event_type"], pred="pred_conservative"))
+
+
+@_query(
+    "significance_of_baselines",
+    f"""{_SYSTEMS}, j AS (SELECT o.system, v.pred = v.is_malicious AS a, o.pred = o.is_malicious AS b FROM systems v JOIN systems o USING (id)
+        WHERE v.system = 'verdicts' AND o.system <> 'verdicts' AND v.pred IS NOT NULL AND o.pred IS NOT NULL),
+    c AS (SELECT system, count(*) AS n, count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (NOT a AND b) AS c FROM j GROUP BY 1)
+    SELECT *, round(CASE WHEN b + c >= 25 THEN (abs(b - c) - 1.0) * (abs(b - c) - 1.0) / (b + c) END, 6) AS statistic FROM c""",
+)
+def significance_of_baselines(spark, sf):
+    """McNemar's test of the verdicts against each baseline that isn't fitted; ``mcnemar_by_event`` compares p-values too."""
+    tests = experiments.significance_report(_systems(spark, sf))
+    return tests.select("system", "n", "b", "c", F.round("statistic", 6).alias("statistic"))
