@@ -47,17 +47,33 @@ def mcnemar_p(b: int, c: int, exact_below: int = 25) -> tuple[float | None, floa
     return statistic, math.erfc(math.sqrt(statistic / 2))
 
 
+def log10_erfc(z: float) -> float:
+    """Decimal logarithm of erfc(z), also where erfc itself is too small for a double."""
+    if z < 10:
+        return math.log10(math.erfc(z))
+    x = 1 / (2 * z * z)
+    series = 1 - x * (1 - 3 * x * (1 - 5 * x * (1 - 7 * x * (1 - 9 * x))))  # asymptotic; what is left out is below 1e-9 from z = 10 on
+    return -z * z / math.log(10) - math.log10(z * math.sqrt(math.pi)) + math.log10(series)
+
+
+def mcnemar_log10_p(b: int, c: int, exact_below: int = 25) -> float:
+    """Decimal logarithm of the p-value of ``mcnemar_p``, which is 0 as a double where the counts are large."""
+    statistic, p = mcnemar_p(b, c, exact_below)
+    return math.log10(p) if statistic is None else log10_erfc(math.sqrt(statistic / 2))
+
+
 def mcnemar(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts with statistic and p-value: a row for each compared system."""
+    """Counts with statistic, p-value and its decimal logarithm: a row for each compared system."""
     counts = mcnemar_counts(pairs, by)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tests = [mcnemar_p(int(b), int(c)) for b, c in zip(batch["b"], batch["c"])]
-            yield batch.assign(statistic=pd.Series([t[0] for t in tests], dtype="float64", index=batch.index), p=[t[1] for t in tests])
+            logs = [mcnemar_log10_p(int(b), int(c)) for b, c in zip(batch["b"], batch["c"])]
+            yield batch.assign(statistic=pd.Series([t[0] for t in tests], dtype="float64", index=batch.index), p=[t[1] for t in tests], log10_p=logs)
 
     schema = ", ".join(f"{n} {t}" for n, t in counts.dtypes)
-    return counts.mapInPandas(add, f"{schema}, statistic double, p double")
+    return counts.mapInPandas(add, f"{schema}, statistic double, p double, log10_p double")
 
 
 def mcc_of(cells: np.ndarray) -> np.ndarray:

@@ -1025,7 +1025,7 @@ def mcnemar_by_event(spark, sf):
     llm = _predictions(spark, sf).filter("user_id % 5 = 0").withColumn("pred", F.col("pred_conservative"))
     pairs = significance.paired(llm, scorers.rules(views.alerts(spark, sf)), by=["event_code"])
     tests = significance.mcnemar(pairs, ["event_code"])
-    return tests.select("event_code", "n", "b", "c", F.round("statistic", 6).alias("statistic"), F.round(F.log10("p"), 5).alias("log10_p"))
+    return tests.select("event_code", "n", "b", "c", F.round("statistic", 6).alias("statistic"), F.round("log10_p", 5).alias("log10_p"))
 
 
 _ASSEMBLED = f"""{_ALERTS}, {_QUOTAS}, c AS (SELECT count(*) FILTER (is_malicious) AS m, count(*) FILTER (NOT is_malicious) AS b FROM capped),

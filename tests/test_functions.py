@@ -48,6 +48,25 @@ def test_calibration_golden(spark):
     assert out["ece"] == pytest.approx(0.15)
 
 
+def test_mcnemar_p_too_small_for_a_double(spark):
+    """A p-value below 1e-308 keeps its logarithm; reference from erfc by its continued fraction."""
+
+    def reference(z):
+        f = z
+        for k in range(400, 0, -1):
+            f = z + (k / 2) / f
+        return -z * z / math.log(10) - math.log10(math.sqrt(math.pi) * f)
+
+    for z in (3.0, 9.99, 10.0, 26.9, 60.0):
+        assert significance.log10_erfc(z) == pytest.approx(reference(z), abs=1e-8)
+    pairs = spark.range(13_212).select((F.col("id") < 11_533).alias("a_right"), (F.col("id") >= 11_533).alias("b_right"))
+    row = significance.mcnemar(pairs).first()
+    assert row["p"] == 0.0 and row["log10_p"] == pytest.approx(-1597.62638, abs=1e-5)
+    assert significance.mcnemar_log10_p(3, 15) == pytest.approx(math.log10(significance.mcnemar_p(3, 15)[1]))
+    assert significance.mcnemar_log10_p(0, 0) == 0.0
+
+
+
 def test_selective_golden(spark):
     rows = [Row(pred=(k < 4) if k < 6 else None, is_malicious=True) for k in range(10)]
     out = evaluation.selective(spark.createDataFrame(rows, "pred boolean, is_malicious boolean"), []).first()
