@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomwatch.functions.constants import COLLECTOR_KEYS, CORE_KEYS, UNMAPPABLE_KEYS, VERSION_KEYS
 from loomwatch.functions.expressions import EPOCH, canonical, canonical_type, rebase_fields
 from loomwatch.operators.sampling import take_quota
+from loomwatch.sources.shared import written
 
 
 def sides(by: list[Column | str]) -> list[Column]:
@@ -59,7 +60,7 @@ def missing_core_keys(rows: DataFrame, core: dict[int, list[str]] | None = None,
 
 def restrict_fields(rows: DataFrame, event: str = "event_code") -> DataFrame:
     """Rows of shared events, with exactly the event's shared keys, in one spelling; missing ones are null."""
-    return with_fields(rows, shared_fields(rows, event), event)
+    return with_fields(rows, written(shared_fields(rows, event), "shared-fields"), event)
 
 
 def shared_fields(rows: DataFrame, event: str = "event_code") -> DataFrame:
@@ -101,16 +102,18 @@ def restrict_to_shared_support(rows: DataFrame, ratio: float = 1.5, seed: int =
     stay have their fields brought into one spelling.
     """
     kept = take_quota(rows, cap_quota(rows, ratio, event), [event, "is_malicious"], seed)
-    return with_fields(kept, shared_fields(rows, event), event)
+    return with_fields(kept, written(shared_fields(rows, event), "shared-fields"), event)
 
 
 def neutralize_times(rows: DataFrame, capture: str = "source_capture_id") -> DataFrame:
     """Every capture begins in the year 2000; distances within it stay, in ``ts`` and in the fields.
 
     The start of a capture is an aggregate joined back, not a window, since one
-    capture may hold most rows.
+    capture may hold most rows. It is written first, so that Spark knows its
+    size before it plans the join: few captures are broadcast and no row is
+    moved, so a large capture isn't read by one task.
     """
-    starts = rows.groupBy(capture).agg(F.min("ts").alias("__start")).withColumnRenamed(capture, "__capture")
+    starts = written(rows.groupBy(capture).agg(F.min("ts").alias("__start")).withColumnRenamed(capture, "__capture"), "capture-starts")
     joined = rows.join(starts, rows[capture].eqNullSafe(F.col("__capture")))
     moved = joined.withColumn("ts", F.expr(EPOCH) + (F.col("ts") - F.col("__start")))
     if "fields" in rows.columns:
