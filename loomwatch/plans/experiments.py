@@ -37,9 +37,8 @@ def with_bucket(rows: DataFrame) -> DataFrame:
 
 def bucket_events(rows: DataFrame) -> DataFrame:
     """Counts of each event code in both buckets, 0 where a bucket has none."""
-    sides = [rows.filter(F.col("bucket") == b).groupBy("event_code").agg(F.count(F.lit(1)).alias(short)) for b, short in (("context_rich", "rich"), ("context_poor", "poor"))]
-    both = sides[0].join(sides[1], "event_code", "full_outer")
-    return both.select("event_code", F.coalesce("rich", F.lit(0)).alias("rich"), F.coalesce("poor", F.lit(0)).alias("poor")).orderBy(F.desc(F.col("rich") + F.col("poor")), "event_code")
+    sides = [F.count_if(F.col("bucket") == b).alias(short) for b, short in (("context_rich", "rich"), ("context_poor", "poor"))]
+    return rows.groupBy("event_code").agg(*sides).orderBy(F.desc(F.col("rich") + F.col("poor")), "event_code")
 
 
 def systems(sample: DataFrame, fit: DataFrame, verdicts: DataFrame, rate: float, seed: int = SEED, max_iter: int = 1000) -> DataFrame:
