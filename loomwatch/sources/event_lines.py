@@ -4,8 +4,10 @@
 line). ``offset`` is where a line begins in its file. ``position`` is where it
 begins in all files of the folder tree put one behind the other in the order of
 their paths, so it orders the lines of a capture without a window or an id that
-depends on tasks. Files are cut into splits of ``split_bytes``; a split reads the
-lines that begin in it, whichever split they end in. Of a stream, which sees
+depends on tasks. Files are cut into splits of ``split_bytes``, or of more where
+these would be more than ``most_splits`` (for each file one at least), so that
+small splits don't become tasks without number; a split reads the lines that
+begin in it, whichever split they end in. Of a stream, which sees
 files come and grow, ``position`` is null, and a line is read once its line feed
 is there.
 
@@ -119,9 +121,12 @@ def _batch(split: Split, at: int, whole: bytes) -> Iterator[pa.RecordBatch]:
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.size = options["path"], int(options.get("split_bytes", 64 << 20))
+        self.most = int(options.get("most_splits", 1 << 12))
 
     def partitions(self) -> list[Split]:
-        return splits([(f, 0, n) for f, n in listed(self.path)], self.size, True) or [Split("", 0, 0, 0)]
+        files = listed(self.path)
+        size = max(self.size, -(-sum(n for _, n in files) // self.most))
+        return splits([(f, 0, n) for f, n in files], size, True) or [Split("", 0, 0, 0)]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         if split.end:
@@ -169,7 +174,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class EventLines(DataSource):
-    """``format("event_lines")``: options ``path`` and ``split_bytes``."""
+    """``format("event_lines")``: options ``path``, ``split_bytes`` and, of batches, ``most_splits``."""
 
     @classmethod
     def name(cls) -> str:
@@ -185,10 +190,11 @@ class EventLines(DataSource):
         return _StreamReader(self.options)
 
 
-def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20):
-    """(file, offset, position, line) of a file or folder tree."""
+def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20, most_splits: int | None = None):
+    """(file, offset, position, line) of a file or folder tree, in at most about eight splits for each core if ``most_splits`` isn't given."""
     spark.dataSource.register(EventLines)
-    return spark.read.format("event_lines").option("split_bytes", split_bytes).load(path)
+    most = most_splits or 8 * max(8, spark.sparkContext.defaultParallelism)
+    return spark.read.format("event_lines").option("split_bytes", split_bytes).option("most_splits", most).load(path)
 
 
 def stream_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20):

@@ -102,3 +102,10 @@ def test_normalise_a_stream(spark, tmp_path):
     query.awaitTermination(60)
     batch = ingest.normalise_benign(shape(spark.read.text(str(tmp_path / "in"))), "cap", "set", known_only=False).select("id", "event_type", "timestamp")
     assert sorted(map(tuple, spark.table("normalised").collect())) == sorted(map(tuple, batch.collect())) and batch.count() == 3
+
+
+def test_a_nested_document_is_parsed_once(spark):
+    """However many fields are taken from it; a parse for each made scans of nested logs slow."""
+    df = spark.createDataFrame([('{"Event":{"System":{"Channel":"a","Level":3},"EventData":{"x":"1"}}}',)], "value string")
+    plan = ingest.flatten_nested(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json(") + plan.lower().count("parsejson(") == 1

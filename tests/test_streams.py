@@ -200,3 +200,12 @@ def test_checkpoint_tells_the_context(spark):
     verdicts = spark.createDataFrame([("a", "malicious", 0.9, "T2"), ("b", None, None, None)], "record_id string, verdict string, confidence double, attack_technique string")
     out = {r["id"]: (r["context_rich"], r["verdict"], r["predicted_technique"]) for r in incremental.checkpoint_table(rows, verdicts).collect()}
     assert out == {"a": (True, "malicious", "T2"), "b": (False, None, None)}
+
+
+def test_splits_are_not_without_number(spark, tmp_path):
+    """Small splits grow where they would be more than ``most_splits``; lines and places stay the same."""
+    (tmp_path / "a.txt").write_text("".join(f"line {k}\n" for k in range(500)))
+    few, many = (event_lines.read_lines(spark, str(tmp_path), 10, most) for most in (6, 400))
+    assert few.rdd.getNumPartitions() <= 6 < 300 < many.rdd.getNumPartitions()
+    assert sorted(few.collect()) == sorted(many.collect())
+    assert event_lines.read_lines(spark, str(tmp_path), 10).rdd.getNumPartitions() <= 64
