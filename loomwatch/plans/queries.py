@@ -653,16 +653,11 @@ def paired_bootstrap(spark, sf):
     return significance.paired_accuracy_interval(_pairs(spark, sf), seed=SEED)
 
 
-def _cells(rows: DataFrame) -> list[int]:
-    r = evaluation.metric_table(rows, []).first()
-    return [r["tp"], r["fp"], r["fn"], r["tn"]]
-
-
 @_query("unpaired_bootstrap")
 def unpaired_bootstrap(spark, sf):
     rows = _predictions(spark, sf).withColumn("pred", F.col("pred_conservative")).withColumn("bucket", X.context_bucket(F.col("fields")))
-    rich, poor = (_cells(rows.filter(F.col("bucket") == b)) for b in ("context_rich", "context_poor"))
-    out = significance.mcc_difference_interval(spark, rich, poor, seed=SEED)
+    cells = {r["bucket"]: [r["tp"], r["fp"], r["fn"], r["tn"]] for r in evaluation.metric_table(rows, ["bucket"]).collect()}  # two rows, of one pass
+    out = significance.mcc_difference_interval(spark, *(cells.get(b, [0] * 4) for b in ("context_rich", "context_poor")), seed=SEED)
     return out.withColumn("outcome", significance.verdict_on_difference(F.col("low"), F.col("high")))
 
 
@@ -790,9 +785,12 @@ def context_experiment(spark, sf):
 
 
 def _write_lines(rows: DataFrame, name: str, parts: int = 4) -> str:
-    """Text files of (capture, event_id, value) rows: a folder for each capture, lines in the order of events across its files."""
+    """Text files of (capture, event_id, value) rows: a folder for each capture, lines in the order of events across its files.
+
+    ``parts`` ranges for each partition of the rows, so that writing tasks grow in number with the input.
+    """
     path = shared.new_path(rows.sparkSession, name)
-    dealt = rows.repartitionByRange(parts, "capture", "event_id").sortWithinPartitions("capture", "event_id")
+    dealt = rows.repartitionByRange(parts * max(1, rows.rdd.getNumPartitions()), "capture", "event_id").sortWithinPartitions("capture", "event_id")
     dealt.select("capture", "value").write.partitionBy("capture").text(path)
     return path
 
