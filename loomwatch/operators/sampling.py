@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomwatch.functions.expressions import draw_key, uniform
 from loomwatch.operators.evaluation import before
+from loomwatch.sources.shared import written
 
 FLOOR = 385
 
@@ -46,11 +47,11 @@ def take_quota(rows: DataFrame, quota: DataFrame, strata: list[str], seed: int,
 
     Where ids repeat, hashes don't spread as they would, and the band may miss
     the quota. So the rows below and within the band are counted first, by a job
-    of its own whose result, a row for each stratum, comes to the driver (all
-    strata are in one task of ``quotas`` as well); strata that miss their quota
-    are drawn by ``_take_repeated``. Where ids are unique there are none.
+    of its own whose result, a row for each stratum, is written; strata that miss
+    their quota are drawn by ``_take_repeated``. Where ids are unique there are none.
     """
-    named = quota.select(*[F.col(s).alias(f"__{s}") for s in strata], F.col("n").alias("__n"), F.col("quota").alias("__q"))
+    # Written, so that Spark knows its size: a join of few strata then moves no row, and the largest stratum isn't read by one task.
+    named = written(quota.select(*[F.col(s).alias(f"__{s}") for s in strata], F.col("n").alias("__n"), F.col("quota").alias("__q")), "quota")
     same = lambda left: [left[s].eqNullSafe(F.col(f"__{s}")) for s in strata]
     drop = [f"__{s}" for s in strata]
     joined = rows.join(named, same(rows)).drop(*drop)
@@ -61,11 +62,10 @@ def take_quota(rows: DataFrame, quota: DataFrame, strata: list[str], seed: int,
     near = joined.filter((q > 0) & (share <= (q + slack) / n)).withColumn("__sure", share <= (q - slack) / n)
     counts = near.groupBy(*strata).agg(F.count_if("__sure").alias("__in"), F.count_if(~F.col("__sure")).alias("__band"))
     had = named.filter(q > 0).join(counts, [F.col(f"__{s}").eqNullSafe(counts[s]) for s in strata], "left").select(*drop, "__n", "__q", F.coalesce("__in", F.lit(0)).alias("__in"), F.coalesce("__band", F.lit(0)).alias("__band"))
-    counted = had.collect()
-    repeated = any(r["__in"] > r["__q"] or r["__in"] + r["__band"] < min(r["__q"], r["__n"]) for r in counted)
-    had = rows.sparkSession.createDataFrame(counted, had.schema)
+    had = written(had, "quota-counts")
     fits = (F.col("__in") <= q) & (F.col("__in") + F.col("__band") >= F.least(q, n))
     odd = had.filter(~fits)
+    repeated = not odd.isEmpty()
     sure = near.filter("__sure")
     band = near.filter("NOT __sure").drop("__n", "__q").withColumn("__h", draw_key(F.col(id_col), seed))
     rank = Window.partitionBy(*strata).orderBy("__h", id_col)

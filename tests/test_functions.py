@@ -340,3 +340,49 @@ def test_ordered_table(spark, tmp_path):
 
     assert [x for f in files for x in pq.read_table(f).column("id").to_pylist()] == want  # the table is in order as it lies there
     assert ordering.write_shuffled(rows.limit(0), 7, str(tmp_path / "none")).count() == 0
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Only tables of a few kilobytes count as small."""
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _many(spark):
+    return spark.range(20_000).selectExpr(
+        "concat('ev:', id) AS id", "id % 3 = 0 AS is_malicious", "CAST(IF(id % 10 = 0, 1, 2) AS INT) AS event_code", "IF(id % 10 = 0, 'cap-1', 'base') AS source_capture_id",
+        "TIMESTAMP_NTZ '2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "map('EventID', '1', 'UtcTime', '2020-01-01 00:00:01.5') AS fields",
+    )
+
+
+def test_few_captures_move_no_row(spark, small_broadcasts):
+    """The starts of captures are broadcast by their own size, so a capture with most rows isn't read by one task."""
+    moved = leakage.neutralize_times(_many(spark))
+    assert "SortMergeJoin" not in _plan(moved) and "Exchange hashpartitioning" not in _plan(moved)
+    assert moved.agg(F.min("ts").cast("string")).first()[0] == "2000-01-01 00:00:00" and moved.count() == 20_000
+
+
+def test_few_strata_move_no_row(spark, small_broadcasts):
+    """Quotas and shared keys are broadcast by their own sizes; only the band of a stratum is ranked."""
+    rows = _many(spark)
+    sample = sampling.eval_sample(rows, "event_code", size=1000)
+    assert "SortMergeJoin" not in _plan(sample) and sample.count() == 1000
+    kept = leakage.restrict_to_shared_support(rows)
+    assert "SortMergeJoin" not in _plan(kept)
+    assert kept.filter("is_malicious").count() * 1.5 == pytest.approx(kept.filter("NOT is_malicious").count(), abs=2)
+
+
+def test_bucket_counts_are_one_pass(spark):
+    """Both buckets are counted by one scan and one aggregate."""
+    from loomwatch.plans import experiments
+
+    counts = experiments.bucket_events(experiments.with_bucket(_many(spark)))
+    assert _plan(counts).count("Range (0, 20000") == 1
+    assert [tuple(r) for r in counts.collect()] == [(2, 0, 18_000), (1, 0, 2_000)]
