@@ -4,7 +4,7 @@ Base spans are the leftmost non-overlapping matches of a pattern per kind that
 pass a check (address parts, digit counts, Luhn). Besides them, generators of
 high recall propose overlapping spans for each kind: the base patterns without
 their checks, and looser spellings. Features of a candidate's format and its
-context go to gradient-boosted trees, fitted on a bounded sample of candidates.
+context go to gradient-boosted trees, fitted on all candidates.
 A candidate's label comes from rules of its kind and not from the base: the
 spelling, once normalised, has the kind's format, and what stands around it does
 not speak against it. The trees see neither rule, only plain measures of the
@@ -16,15 +16,14 @@ span or a better candidate. Base spans always stay.
 How it runs: built-in functions and MLlib only. The fitted trees are turned into
 column expressions, so that scoring is part of the same projection as the
 patterns: no shuffle, no join back, and rows with repeated ids stay apart.
-Texts without digits or an at sign skip the generators. The sample is bounded
-by ``sample`` candidates, those with the smallest hashes, out of all documents;
-candidates apart from base spans, the only ones that can be added, are drawn 16
-times as often.
+Texts without digits or an at sign skip the generators. No candidate is left
+out of the fit: equal ones are counted first and weigh their number; those apart
+from base spans, the only ones that can be added, weigh 16 times as much.
 
 Offsets are code points, end exclusive. Nulls and ties: null text is empty and
 has no spans. Among overlapping candidates the higher score stays, then the
-earlier one, then the longer one. If the sample has candidates of one label
-only, there is nothing to fit and the rules themselves decide. Other columns of
+earlier one, then the longer one. If there are candidates of one label
+only, or fewer than 100 to learn from, there is nothing to fit and the rules themselves decide. Other columns of
 the input are not read.
 """
 
@@ -268,33 +267,32 @@ class CandidateModel:
         return score >= F.element_at(F.array(*[F.lit(x) for x in self.thresholds]), kind + 1)
 
 
-def fit_candidates(rows: DataFrame, sample: int = 20_000, trees: int = 16, depth: int = 4, precision: float = 0.98, seed: int = 17) -> CandidateModel | None:
-    """Fit on at most ``sample`` candidates; None if they have one label only.
+def fit_candidates(rows: DataFrame, trees: int = 16, depth: int = 4, precision: float = 0.98, seed: int = 17, free_weight: float = 16.0, least: int = 100) -> CandidateModel | None:
+    """Fit on all candidates; None if they have one label only or are fewer than ``least`` without the held-out ones.
 
-    A fifth of the sample is held out. A kind's threshold is the least one, in
-    hundredths, above which at least ``precision`` of its candidates are labelled
-    as personal data, and 2 (never) where there is none. It is calibrated on the
-    held-out candidates apart from base spans; if those are fewer than 20, on all
-    sampled ones apart from base spans, and if there are none, on all of the kind.
+    Candidates with the same measures, label and part are one row with their
+    number as weight, so every candidate counts and the trees' input is as long
+    as there are distinct ones. A fifth of the candidates, by hash, is held out.
+    A kind's threshold is the least one, in hundredths, above which at least
+    ``precision`` of its candidates are labelled as personal data, and 2 (never)
+    where there is none. It is calibrated on the held-out candidates apart from
+    base spans; if those are fewer than 20, on all apart from base spans, and if
+    there are none, on all of the kind.
     """
-    h = F.xxhash64("doc_id", "c.start", "c.end", F.lit(seed))
-    chosen = (
-        rows.select("doc_id", F.explode("found").alias("c"))
-        .select(h.alias("h"), F.when(F.col("c.free"), F.shiftrightunsigned(h, 5)).otherwise(F.shiftrightunsigned(h, 1)).alias("order"), "c.kind", "c.free", "c.label", "c.f")
-        .orderBy("order", "h", "kind")
-        .limit(sample)
-        .select("h", "kind", "free", "label", *[F.get("f", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)])
-    )
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(chosen).select("h", "kind", "free", "label", "features", F.array(*FEATURES).alias("f")).cache()
+    held = F.pmod(F.xxhash64("doc_id", "c.start", "c.end", F.lit(seed)), F.lit(5)) == 0
+    alike = rows.select("doc_id", F.explode("found").alias("c")).groupBy("c.kind", "c.free", held.alias("held"), "c.label", "c.f").agg(F.count(F.lit(1)).alias("n"))
+    named = alike.select("kind", "free", "held", "label", "f", "n", *[F.get("f", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)])
+    weight = F.col("n") * F.when(F.col("free"), free_weight).otherwise(1.0)
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(named).select("kind", "free", "held", "label", "features", "f", "n", weight.alias("weight")).cache()
     try:
-        held = F.pmod("h", F.lit(5)) == 0
-        learn = data.filter(~held)
-        seen = {r["label"] for r in learn.select("label").distinct().collect()}
-        if len(seen) < 2:
+        learn = data.filter("NOT held")
+        seen = {r["label"]: r["n"] for r in learn.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        if len(seen) < 2 or sum(seen.values()) < least:
             return None
-        fitted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed).fit(learn.select("label", "features"))
+        boosted = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=1024, seed=seed)  # borders come from all rows up to 2^20 distinct ones
+        fitted = boosted.fit(learn.select("label", "features", "weight"))
         model = CandidateModel(fitted.trees, list(fitted.treeWeights), [2.0] * len(KINDS))
-        cells = data.groupBy("kind", "free", held.alias("held"), F.floor(model.score(F.col("f")) * 100).cast("int").alias("s")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # 1616 rows at most
+        cells = data.groupBy("kind", "free", "held", F.floor(model.score(F.col("f")) * 100).cast("int").alias("s")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()  # 1616 rows at most
     finally:
         data.unpersist()
     for kind in range(len(KINDS)):
@@ -311,10 +309,10 @@ def fit_candidates(rows: DataFrame, sample: int = 20_000, trees: int = 16, depth
     return model
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, base and added spans (kind, start, end)."""
     rows = _with_candidates(docs, id_col, text_col)
-    return chosen_spans(rows, fit_candidates(rows, sample))
+    return chosen_spans(rows, fit_candidates(rows))
 
 
 def chosen_spans(rows: DataFrame, model: CandidateModel | None) -> DataFrame:

@@ -60,3 +60,17 @@ def test_many_candidates_in_one_text(spark, piece):
     large = run(4000)
     assert len(small["base"]) * 8 == len(large["base"])
     assert time.time() - middle < 24 * max(middle - at, 0.5)
+
+
+def test_every_candidate_is_learned_from(spark):
+    """Candidates beyond any number count: a spelling that all hashes of a bounded sample could miss decides a threshold."""
+    kind, found = "struct<kind:int,start:int,end:int,free:boolean,f:array<double>,label:double>", []
+    for label, first in ((1.0, 1.0), (0.0, 9.0)):
+        f = [0.0] * len(pii.FEATURES)
+        f[0], f[pii.FEATURES.index("first")] = 1.0, first
+        found.append((f, label))
+    expr = lambda k: f"struct(0 AS kind, CAST(id AS INT) AS start, CAST(id + 1 AS INT) AS end, {k == 1 and 'true' or 'false'} AS free, array({', '.join(f'{x}D' for x in found[k][0])}) AS f, {found[k][1]}D AS label)"
+    rows = spark.range(600_000).selectExpr("id AS doc_id", f"array(CAST(IF(id < 599990, {expr(1)}, {expr(0)}) AS {kind})) AS found")
+    model = pii.fit_candidates(rows)
+    passed = rows.select(F.explode("found").alias("c")).select("c.*").filter("label = 1").select(model.passes(F.col("kind"), model.score(F.col("f"))).alias("p"))
+    assert model is not None and passed.count() == 10
