@@ -36,6 +36,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwatch.llm.shared import stored
 from loomwatch.llm.spans import count_kind, digest, distinct_sorted, joined, let, spans_of
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -281,6 +282,7 @@ def fit_candidates(rows: DataFrame, trees: int = 16, depth: int = 4, precision:
     """
     held = F.pmod(F.xxhash64("doc_id", "c.start", "c.end", F.lit(seed)), F.lit(5)) == 0
     alike = rows.select("doc_id", F.explode("found").alias("c")).groupBy("c.kind", "c.free", held.alias("held"), "c.label", "c.f").agg(F.count(F.lit(1)).alias("n"))
+    alike = stored(alike, "pii-candidates")  # read in as many partitions as its size asks for, since each level of each tree is a job
     named = alike.select("kind", "free", "held", "label", "f", "n", *[F.get("f", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)])
     weight = F.col("n") * F.when(F.col("free"), free_weight).otherwise(1.0)
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(named).select("kind", "free", "held", "label", "features", "f", "n", weight.alias("weight")).cache()
