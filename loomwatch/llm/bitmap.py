@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwatch.llm.bytescan import mix
+from loomwatch.llm.shared import in_batches
 
 BITS = 24
 
@@ -36,7 +37,7 @@ class Bitmap:
                 masks = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)), first) if len(at) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(masks.view(np.int64))], names=["word", "mask"])
 
-        words = df.select(F.col(key).cast("long")).mapInArrow(run, "word long, mask long")
+        words = in_batches(df.select(F.col(key).cast("long")), run, "word long, mask long")
         merged = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # 2**(BITS - 6) rows at most
         table = np.zeros(1 << (BITS - 6), np.int64)
         table[merged["word"].to_numpy(np.int64)] = merged["mask"].to_numpy(np.int64)
@@ -58,7 +59,7 @@ def rows_where(df: DataFrame, key: str, bitmap: Bitmap, wanted: bool) -> DataFra
             has &= pc.is_valid(column).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(has == wanted))
 
-    return df.mapInArrow(run, df.schema)
+    return in_batches(df, run, df.schema)
 
 
 def filtered_lists(bitmap: Bitmap) -> Callable[[pa.ListArray], pa.ListArray]:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwatch.llm.bytescan import PlainWords, chain, mix, slices, spread
-from loomwatch.llm.shared import stored
+from loomwatch.llm.shared import in_batches, stored
 
 _PAD = np.uint64(0xA0761D6478BD642F)
 _FOLD = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -301,7 +301,7 @@ def read_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
                 yield out.filter(pa.array(np.diff(found.first) > 0))
 
     source = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "item_id long, words array<long>")
+    return in_batches(source, run, "item_id long, words array<long>")
 
 
 class Benchmark:
@@ -358,7 +358,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     columns = [part.column(0).take(pa.array(row)), pa.array(nth), pa.array(start), pa.array(distance.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "nth", "start_word", "distance"])
 
-        found = found.unionByName(source.mapInArrow(run, _MATCH))
+        found = found.unionByName(in_batches(source, run, _MATCH))
     best = F.min(F.struct("distance", "start_word")).alias("best")
     per_text = found.groupBy("doc_id", "nth").agg(best)
     return per_text.join(items.ids(), "nth").groupBy("doc_id", "item_id", "item_words").agg(F.min("best").alias("best")).select("doc_id", "item_id", "best.start_word", "best.distance", "item_words")
@@ -386,5 +386,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                     clean[scan(part.column(at).cast(pa.string()))[0]] = False
                     yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_batches(docs, run, docs.schema)
     return docs

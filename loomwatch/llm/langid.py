@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwatch.llm.bytescan import slices
+from loomwatch.llm.shared import in_batches
 
 _SLICE = 4096
 _LATIN = re.compile("[A-Za-z]")
@@ -98,7 +99,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     labels = sorted(r[0] for r in source.select("label").distinct().limit(most_languages + 1).collect())
     if len(labels) > most_languages:
         raise ValueError(f"more than {most_languages} labels")
-    rows = source.mapInArrow(count, schema).groupBy("label", "slice").applyInPandas(add, schema).collect()
+    rows = in_batches(source, count, schema).groupBy("label", "slice").applyInPandas(add, schema).collect()
     at = {label: i for i, label in enumerate(labels)}
     matrix, prior = np.zeros((len(labels), 1 << bits)), np.zeros(len(labels))
     for r in rows:
@@ -127,7 +128,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                     names=["doc_id", "held_out", "lang_pred", "score"],
                 )
 
-    return source.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_batches(source, score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 class _Scorer:
@@ -193,4 +194,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 best, scores = scorer(part.column(at))
                 yield part.filter(pa.array([b != _UNDEFINED and s >= least for b, s in zip(best, scores)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_batches(docs, keep, docs.schema)

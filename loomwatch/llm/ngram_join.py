@@ -47,9 +47,10 @@ from pyspark.sql import functions as F
 from loomwatch.llm.bitmap import Bitmap, filtered_lists, keep_decided, rows_where
 from loomwatch.llm.bytescan import Words, chain, mix, release, slices, spread
 from loomwatch.llm.components import connected_components
-from loomwatch.llm.shared import stored
+from loomwatch.llm.shared import in_batches, stored
 
 _PROFILE = "doc_id long, th long, n long, f1 long, f2 long, keys array<long>, prefix array<long>"
+_TEXT = 2 << 20  # bytes of text whose words and n-grams a worker holds at once
 _MINIMA = np.array([0, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)  # one for each hash function
 
 
@@ -81,6 +82,15 @@ def ngram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=rows))])
 
 
+def _among(values: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Whether each token is one of the sorted values, without a copy of them."""
+    if not len(values):
+        return np.zeros(len(tokens), bool)
+    at = np.searchsorted(values, tokens)
+    at[at == len(values)] = 0
+    return values[at] == tokens
+
+
 def _least(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-(n * percent) // 100)
 
@@ -103,13 +113,15 @@ def frequent_tokens(source: DataFrame, n: int, df: int, most: int) -> np.ndarray
         def flush() -> None:
             nonlocal held, size
             if held:
-                t, c = np.unique(np.concatenate(held), return_counts=True)
-                if (c > 1).any():
-                    kept.append((t[c > 1], c[c > 1]))
-                held, size = [], 0
+                met, held, size = np.concatenate(held), [], 0
+                met.sort()
+                again = met[1:][met[1:] == met[:-1]]  # a token that was met c times, c - 1 times
+                if len(again):
+                    t, c = np.unique(again, return_counts=True)
+                    kept.append((t, c + 1))
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _TEXT):
                 tokens, _ = ngram_sets(part.column(2), n)
                 held.append(tokens)
                 size += len(tokens)
@@ -120,7 +132,7 @@ def frequent_tokens(source: DataFrame, n: int, df: int, most: int) -> np.ndarray
             t, c = fold(kept)
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c)], names=["token", "c"])
 
-    counts = stored(source.mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= df), "ngram-frequent")
+    counts = stored(in_batches(source, count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= df), "ngram-frequent")
     sizes = {r["k"]: r["n"] for r in counts.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per doubling
     total, cut = 0, 64
     for k in sorted(sizes, reverse=True):
@@ -138,7 +150,7 @@ def profiles(source: DataFrame, n: int, percent: int, shared_tokens: int, freque
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _TEXT):
                 tokens, at = ngram_sets(part.column(2), n)
                 size = np.diff(at)
                 row = np.repeat(np.arange(len(size)), size)
@@ -151,7 +163,7 @@ def profiles(source: DataFrame, n: int, percent: int, shared_tokens: int, freque
                         f2[full] = np.add.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][full])
                         for k, x in enumerate(_MINIMA):
                             keys[full, k] = np.minimum.reduceat(mix(tokens ^ x) if k else tokens, at[:-1][full])
-                order = np.argsort(2 * row + np.isin(tokens, often), kind="stable")
+                order = np.argsort(2 * row + _among(often, tokens), kind="stable")
                 length = np.minimum(size - _least(size, percent) + shared_tokens, size)
                 place = np.arange(len(tokens)) - np.repeat(at[:-1], size)
                 taken = order[place < np.repeat(length, size)]
@@ -161,12 +173,15 @@ def profiles(source: DataFrame, n: int, percent: int, shared_tokens: int, freque
                 columns = [part.column(0), part.column(1), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (f1, f2)), minima, prefix]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "f1", "f2", "keys", "prefix"])
 
-    return source.mapInArrow(run, _PROFILE)
+    return in_batches(source, run, _PROFILE)
 
 
 def _sets(texts: pd.Series, n: int) -> list[np.ndarray]:
-    tokens, at = ngram_sets(pa.array(texts, pa.string()), n)
-    return [tokens[a:b] for a, b in zip(at[:-1], at[1:])]
+    out = []
+    for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), "text", _TEXT):
+        tokens, at = ngram_sets(part.column(0), n)
+        out += [tokens[a:b] for a, b in zip(at[:-1], at[1:])]
+    return out
 
 
 def open_groups(n: int, percent: int, inner: bool):
@@ -184,10 +199,12 @@ def open_groups(n: int, percent: int, inner: bool):
         sets = _sets(members["text"], n)
         size = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), size)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        union = np.unique(flat)
+        union = flat[np.diff(flat, prepend=~flat[:1]) != 0]
+        sets = sets if inner else []
+        del order
         parent = list(range(len(ids)))
         if len(members) and members["pure"].iloc[0]:
             parent = [0] * len(ids)
@@ -209,7 +226,7 @@ def open_groups(n: int, percent: int, inner: bool):
             return np.flatnonzero(100 * both >= percent * (size + len(s) - both))
 
         edges = []
-        for i, s in enumerate(sets if inner else []):
+        for i, s in enumerate(sets):
             for j in partners(s):
                 a, b = root(i), root(int(j))
                 if a != b:
@@ -256,7 +273,7 @@ class Links:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], thin(batch.column(3))], names=batch.schema.names)
 
-        self.prefixes = self._of_classes(whole.mapInArrow(thinned, whole.schema))
+        self.prefixes = self._of_classes(in_batches(whole, thinned, whole.schema))
 
     def _of_classes(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.names.withColumnRenamed("node", "row"), "row", "left_semi").withColumnRenamed("row", "node")

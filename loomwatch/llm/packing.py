@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwatch.llm.bytescan import Words, slices, spread
-from loomwatch.llm.shared import stored
+from loomwatch.llm.shared import in_batches, stored
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -213,7 +213,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = stored(source.mapInArrow(piece_reader(tokenizer_path, end_id, sequence_length), _PIECES), "pack-pieces")
+    pieces = stored(in_batches(source, piece_reader(tokenizer_path, end_id, sequence_length), _PIECES), "pack-pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most sequence_length rows
     slots = spark.sparkContext.broadcast(slot_table(shortest_pack_first(histogram, sequence_length)))
     total = sum(histogram.values())
@@ -246,4 +246,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             columns = [*batch.columns[:5], pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, _PIECES + ", sequence_id long, offset long")
+    return in_batches(ranked, place, _PIECES + ", sequence_id long, offset long")

@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +205,41 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert ids == sorted([-1, 0, 0, *range(2, 20), 33, 36])
     assert out.groupby("sequence_id")["length"].sum().max() <= 4096
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Spark's own bound is 64 MB; a bound that the session sets is left alone."""
+    from loomwatch.llm.shared import in_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id", "repeat('words ', 800) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+    run = lambda: [(r["n"], r["bytes"]) for r in in_batches(docs, sizes, "n long, bytes long").collect()]
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        found = run()
+        assert sum(n for n, _ in found) == 6000 and max(b for _, b in found) < 5 << 20
+        spark.conf.set(key, str(1 << 20))
+        assert max(b for _, b in run()) < 2 << 20
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_sets_of_long_texts_are_made_in_parts():
+    import pandas as pd
+
+    from loomwatch.llm import ngram_join
+
+    texts = [" ".join(f"w{k * j % 997}" for k in range(60_000)) for j in range(1, 20)] + [None, "", "one two"]
+    assert sum(len(t or "") for t in texts) > 2 * ngram_join._TEXT
+    tokens, at = ngram_join.ngram_sets(pa.array(texts, pa.string()), 3)
+    got = ngram_join._sets(pd.Series(texts), 3)
+    assert [s.tolist() for s in got] == [tokens[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    often = got[0][::2]
+    assert ngram_join._among(often, got[1]).tolist() == np.isin(got[1], often).tolist()
+    assert not ngram_join._among(often[:0], got[1]).any()
