@@ -79,15 +79,15 @@ def leakage_safe_split(rows: DataFrame, held: DataFrame, capture: str = "source_
     """
     used = held.select("is_malicious", capture).distinct()
     by_capture = rows.join(used, [capture, "is_malicious"], "left_anti")
+    left = by_capture.agg(F.count_if("is_malicious").alias("m"), F.count_if(~F.col("is_malicious")).alias("b")).first()
     strategy = "capture"
     benign = by_capture.filter(~F.col("is_malicious"))
-    if benign.isEmpty():
+    if not left["b"]:
         strategy = "id"
         benign = rows.filter(~F.col("is_malicious")).join(held.select("id"), "id", "left_anti")
-    fit = by_capture.filter("is_malicious").unionByName(benign)
-    counts = fit.agg(F.count_if("is_malicious").alias("m"), F.count_if(~F.col("is_malicious")).alias("b")).first()
-    if not counts["m"] or not counts["b"]:
+    if not left["m"] or (not left["b"] and benign.isEmpty()):
         raise ValueError("nothing left to fit on")
+    fit = by_capture.filter("is_malicious").unionByName(benign)
     return fit, strategy
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwatch.functions.constants import EVENT_TYPES, OTHER_MEANING, POLICIES
 from loomwatch.functions.expressions import estimate_tokens, features, matches_command, names_binary, text_blob, uniform
+from loomwatch.sources.shared import written
 
 
 def majority(rows: DataFrame) -> DataFrame:
@@ -35,33 +36,49 @@ def rules(rows: DataFrame) -> DataFrame:
 
 
 def classical(fit: DataFrame, rows: DataFrame, max_iter: int = 100) -> DataFrame:
-    """Logistic regression over the engineered features, with balanced class weights."""
-    from pyspark.ml import Pipeline
+    """Logistic regression over the engineered features, with balanced class weights.
+
+    Rows to fit on that have the same class and features are one row whose
+    weight is their number, which is written once: the fit reads the table once
+    and each of its steps is as long as there are distinct vectors. Features are
+    divided by the standard deviation over all rows and not centred, so vectors
+    stay sparse; the intercept, which is not penalised, makes up for the means.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.stat import Summarizer
 
     numbers = ["field_count", "command_line_length", "has_binary_name", "has_pattern", "has_parent_command_line", "has_target_object"]
+    parts = ["__t", "__e", *[f"__{x}" for x in numbers]]
 
     def vector(df: DataFrame) -> DataFrame:
         f = features(F.col("fields"), F.col("event_type"))
         return df.withColumn("__f", f).withColumns({"__t": F.col("__f.event_type"), "__e": F.col("__f.event_id"), **{f"__{n}": F.col(f"__f.{n}").cast("double") for n in numbers}})
 
-    counts = fit.agg(F.count_if("is_malicious").alias("m"), F.count_if(~F.col("is_malicious")).alias("b")).first()
+    alike = written(vector(fit).groupBy("is_malicious", *parts).agg(F.count(F.lit(1)).alias("__n")), "fit-vectors")
+    size = F.col("__n").cast("double")
+    counts = alike.agg(F.sum(F.when(F.col("is_malicious"), F.col("__n"))).alias("m"), F.sum(F.when(~F.col("is_malicious"), F.col("__n"))).alias("b"), F.sum(size * size).alias("squares")).first()
     if not counts["m"] or not counts["b"]:
         raise ValueError("both classes are needed to fit")
     n = counts["m"] + counts["b"]
     weight = F.when(F.col("is_malicious"), n / (2 * counts["m"])).otherwise(n / (2 * counts["b"]))
-    learn = vector(fit).withColumns({"__label": F.col("is_malicious").cast("double"), "__weight": weight})
+    learn = alike.withColumns({"__label": F.col("is_malicious").cast("double"), "__weight": weight * size})
     stages = [
         StringIndexer(inputCols=["__t", "__e"], outputCols=["__ti", "__ei"], handleInvalid="keep"),
         OneHotEncoder(inputCols=["__ti", "__ei"], outputCols=["__tv", "__ev"], dropLast=False),
         VectorAssembler(inputCols=["__tv", "__ev", *[f"__{x}" for x in numbers]], outputCol="__raw"),
-        StandardScaler(inputCol="__raw", outputCol="__x", withMean=True),
-        LogisticRegression(featuresCol="__x", labelCol="__label", weightCol="__weight", maxIter=max_iter, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, predictionCol="__p", probabilityCol="__prob", rawPredictionCol="__rawp"),
     ]
-    scored = Pipeline(stages=stages).fit(learn).transform(vector(rows))
-    from pyspark.ml.functions import vector_to_array
-
+    encoder = Pipeline(stages=stages).fit(learn)
+    spread = encoder.transform(learn).agg(Summarizer.variance(F.col("__raw"), size)).first()[0].toArray()
+    # The summary takes weights for reliabilities; these are numbers of rows.
+    spread = (spread * (n - counts["squares"] / n) / max(n - 1, 1)) ** 0.5
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([1 / s if s else 0.0 for s in spread]), inputCol="__raw", outputCol="__x")
+    regression = LogisticRegression(featuresCol="__x", labelCol="__label", weightCol="__weight", maxIter=max_iter, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, predictionCol="__p", probabilityCol="__prob", rawPredictionCol="__rawp")
+    model = regression.fit(scale.transform(encoder.transform(learn)))
+    scored = PipelineModel([encoder, scale, model]).transform(vector(rows))
     score = vector_to_array("__prob")[1]
     return scored.select(*rows.columns, score.alias("score"), (score >= 0.5).alias("pred"))
 

@@ -347,7 +347,7 @@ def assemble_corpus_counts(spark, sf):
 )
 def leakage_safe_split(spark, sf):
     rows = views.alerts(spark, sf)
-    held = sampling.eval_sample(rows, "event_code", size=1925).filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1"))
+    held = shared.written(sampling.eval_sample(rows, "event_code", size=1925).filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1")), "sample")
     fit, _ = corpus.leakage_safe_split(rows, held)
     return fit.groupBy("is_malicious").agg(F.count(F.lit(1)).alias("n"))
 
@@ -664,7 +664,7 @@ def unpaired_bootstrap(spark, sf):
 @_query("classical_ml")
 def classical_ml(spark, sf):
     rows = views.alerts(spark, sf)
-    held = sampling.eval_sample(rows, "event_code", size=1925).filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1"))
+    held = shared.written(sampling.eval_sample(rows, "event_code", size=1925).filter(~F.col("is_malicious") | F.col("source_capture_id").isin("cap-0", "cap-1")), "sample")
     fit, _ = corpus.leakage_safe_split(rows, held)
     scored = scorers.classical(fit, held, max_iter=1000)
     return evaluation.metric_table(scored, [])

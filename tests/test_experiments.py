@@ -63,6 +63,35 @@ def test_classical_baseline(spark):
         scorers.classical(fit.filter("is_malicious"), held)
 
 
+def test_classical_fits_distinct_vectors(spark, monkeypatch):
+    """The fit sees a row for each distinct vector and class, and scores as a fit on all rows with centred vectors does."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _alerts(spark, 1200).withColumn("is_malicious", F.expr("IF(crc32(id) % 5 = 0, NOT is_malicious, is_malicious)")).withColumn("event_type", F.expr("IF(crc32(id) % 3 = 0, 'file', event_type)"))
+    fit, held = rows.filter("crc32(id) % 4 <> 1"), rows.filter("crc32(id) % 4 = 1")
+    seen, plain = [], LogisticRegression._fit
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda self, df: seen.append(df.count()) or plain(self, df))
+    got = {r["id"]: r["score"] for r in scorers.classical(fit, held, max_iter=1000).collect()}
+    assert 0 < seen[0] < 100 < fit.count()
+
+    numbers = ["field_count", "command_line_length", "has_binary_name", "has_pattern", "has_parent_command_line", "has_target_object"]
+    vector = lambda df: df.withColumn("f", scorers.features(F.col("fields"), F.col("event_type"))).select("id", "is_malicious", "f.event_type", "f.event_id", *[F.col(f"f.{x}").cast("double").alias(x) for x in numbers])
+    m, n = fit.filter("is_malicious").count(), fit.count()
+    learn = vector(fit).withColumns({"y": F.col("is_malicious").cast("double"), "w": F.when(F.col("is_malicious"), n / (2 * m)).otherwise(n / (2 * (n - m)))})
+    stages = [
+        StringIndexer(inputCols=["event_type", "event_id"], outputCols=["ti", "ei"], handleInvalid="keep"),
+        OneHotEncoder(inputCols=["ti", "ei"], outputCols=["tv", "ev"], dropLast=False),
+        VectorAssembler(inputCols=["tv", "ev", *numbers], outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="x", withMean=True),
+        LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=1000, regParam=1.0 / n, standardization=False),
+    ]
+    want = Pipeline(stages=stages).fit(learn).transform(vector(held)).select("id", vector_to_array("probability")[1]).collect()
+    assert len(want) == len(got) > 100 and all(got[i] == pytest.approx(p, abs=1e-4) for i, p in want)
+
+
 def test_majority_and_random(spark):
     rows = _alerts(spark, 50)
     assert {(r["pred"], r["score"]) for r in scorers.majority(rows).collect()} == {(False, 0.0)}
