@@ -96,6 +96,7 @@ def evaluate(rows: DataFrame, verdicts: DataFrame, size: int = 1925, fraction: f
     sample = written(sample, "sample")
     fit, _ = corpus.leakage_safe_split(rows, sample)
     rate = base_rate(sample).first()["rate"]
+    verdicts = verdicts.join(sample.select("id"), "id", "left_semi")  # before verdicts are grouped by item
     return report(written(systems(sample, fit, verdicts, rate, seed, max_iter), "predictions"))  # read by every table of the report
 
 

@@ -143,3 +143,13 @@ def test_bundle_and_ordered_buckets(spark):
     assert sum(r["rich"] + r["poor"] for r in events) == 30
     assert experiments.first_rows(_alerts(spark, 30), 5).count() == 5
     assert corpus.duplication(_alerts(spark, 30)).first()["n"] == 30
+
+
+def test_only_verdicts_of_the_sample_are_grouped(spark, monkeypatch):
+    rows = _alerts(spark, 400)
+    verdicts = rows.select("id", F.when(F.col("is_malicious"), "malicious").otherwise("benign").alias("verdict"), F.lit(0.8).alias("confidence"))
+    seen, plain = [], experiments.evaluation.predictions_of_verdicts
+    monkeypatch.setattr(experiments.evaluation, "predictions_of_verdicts", lambda items, given: seen.append((items.count(), given.count())) or plain(items, given))
+    pool = rows.filter("NOT is_malicious OR source_capture_id IN ('cap0', 'cap2')")
+    assert experiments.evaluate(rows, verdicts, size=50, fraction=0.2, pool=pool, max_iter=20)["significance"].count() == 4
+    assert seen == [(50, 50)]
