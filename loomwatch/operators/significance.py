@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 
 def paired(a: DataFrame, b: DataFrame, pred: str = "pred", id_col: str = "id", by: list[str] | None = None) -> DataFrame:
-    """Items on which both systems commit: a_right, b_right."""
+    """Items on which both systems commit: a_right, b_right. Items without a value of ``by`` are a group too."""
     by = by or []
     left = a.filter(F.col(pred).isNotNull()).select(*by, id_col, (F.col(pred) == F.col("is_malicious")).alias("a_right"))
-    right = b.filter(F.col(pred).isNotNull()).select(*by, id_col, (F.col(pred) == F.col("is_malicious")).alias("b_right"))
-    return left.join(right, [*by, id_col])
+    right = b.filter(F.col(pred).isNotNull()).select(*[F.col(c).alias(f"__{c}") for c in [*by, id_col]], (F.col(pred) == F.col("is_malicious")).alias("b_right"))
+    alike = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return left.join(right, [F.col(id_col) == F.col(f"__{id_col}"), *alike]).select(*by, id_col, "a_right", "b_right")
 
 
 def mcnemar_counts(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
